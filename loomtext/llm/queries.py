@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import language_id, sharding, toxicity
 
-_MODULES = [sharding]
+_MODULES = [language_id, sharding, toxicity]
 
 
 def queries() -> dict:
