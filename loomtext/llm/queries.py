@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding, toxicity
+from . import language_id, near_dedup, sharding, toxicity
 
-_MODULES = [language_id, sharding, toxicity]
+_MODULES = [language_id, near_dedup, sharding, toxicity]
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ FEATURES = 2048
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 SWAP_PENALTY = 4.0
-RIDGE = 2e-3
+RIDGE = 1e-3
 
 # Identity terms by group; a term is swapped for the next of its group.
 IDENTITY_TERMS = [
