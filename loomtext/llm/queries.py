@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, sharding, toxicity
+from . import language_id, near_dedup, pii, sharding, toxicity
 
-_MODULES = [language_id, near_dedup, sharding, toxicity]
+_MODULES = [language_id, near_dedup, pii, sharding, toxicity]
 
 
 def queries() -> dict:
