@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, pii, sharding, toxicity
+from . import bpe, language_id, near_dedup, packing, pii, sharding, toxicity
 
-_MODULES = [language_id, near_dedup, packing, pii, sharding, toxicity]
+_MODULES = [bpe, language_id, near_dedup, packing, pii, sharding, toxicity]
 
 
 def queries() -> dict:
