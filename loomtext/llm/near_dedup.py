@@ -6,7 +6,8 @@ keys; documents that share a key are candidates, the Jaccard similarity estimate
 for registers that agree by chance) drops the hopeless ones, and the rest is confirmed on the full shingle sets.
 
 Groups of any size: equal sets are one class from the start. In a band bucket every class is first compared with
-the bucket's smallest id only, which settles large groups of near copies. What is then still in different
+the bucket's smallest id only, and of the buckets of a class only with two: the smallest and the most frequent of
+these ids. That settles large groups of near copies. What is then still in different
 components of a bucket is compared in blocks, so no pair of classes that shares a key goes unseen.
 """
 
@@ -196,7 +197,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = table_of(bands.join(hubs, "key"), "shared")
 
     regs = classes.select("id", "registers")
-    to_hub = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    met_hubs = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    two = met_hubs.groupBy("id").agg(F.array_distinct(F.array(F.min("hub"), F.max_by("hub", F.struct("n", -F.col("hub"))))).alias("hubs"))
+    to_hub = table_of(two.select(F.col("id").alias("a"), F.explode("hubs").alias("b")), "to-hub")
     texts = docs.where("doc_id is not null")
 
     def linked(pairs: DataFrame) -> DataFrame:
