@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity
+from . import bpe, edit_fingerprints, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity
 
-_MODULES = [bpe, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity]
+_MODULES = [bpe, edit_fingerprints, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity]
 
 
 def queries() -> dict:
