@@ -60,3 +60,10 @@ def by_bytes(batches, column: str, limit: int = 2 << 20):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+
+
+def carried(docs: DataFrame, held_out: Column, carry: tuple[str, ...], run, schema: str) -> DataFrame:
+    """mapInArrow of run over doc_id, text, held_out and the columns of docs to carry, named carry_ and their name on the way."""
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    return rows.mapInArrow(run, ", ".join([schema, *[f"`carry_{c}` {kinds[c]}" for c in carry]]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, in_fold, read_table
+from .common import by_bytes, carried, in_fold, read_table
 
 #: The bound of the sample: so many labelled documents of a language, lowest hash first, and so many of their characters.
 SAMPLE_DOCS = 48
@@ -154,10 +154,11 @@ def sample_texts(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMP
 _parsers: dict[int, CrossParser] = {}
 
 
-def identify_languages(docs: DataFrame, learn_from: DataFrame, held_out=None) -> DataFrame:
+def identify_languages(docs: DataFrame, learn_from: DataFrame, held_out=None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Predict the language of every whole text of docs (doc_id, text) from learn_from (doc_id, text, lang).
 
-    Returns doc_id, held_out, lang_pred, score (0 to 1), n_letters and pieces (for each language in order of name).
+    Returns doc_id, held_out, lang_pred, score (0 to 1), n_letters and pieces (for each language in order of name), and
+    the columns of docs named in carry, as they are.
     Defined cases: a null text, or one without letters, is ``und`` with score 0; so is everything if nothing can be
     learned; ties between languages go to the first in order of name; repeated rows get a row each; other columns
     are ignored.
@@ -185,12 +186,12 @@ def identify_languages(docs: DataFrame, learn_from: DataFrame, held_out=None) ->
             else:
                 preds, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(score), pa.array(n_letters), pa.array(found.tolist(), pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "lang_pred", "score", "n_letters", "pieces"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(score), pa.array(n_letters), pa.array(found.tolist(), pa.list_(pa.int64())), *[batch.column(f"carry_{c}") for c in carry]],
+                names=["doc_id", "held_out", "lang_pred", "score", "n_letters", "pieces", *[f"carry_{c}" for c in carry]],
             )
 
     out = F.lit(None).cast("boolean") if held_out is None else held_out
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out.alias("held_out")).mapInArrow(run, _SCHEMA)
+    return carried(docs, out, carry, run, _SCHEMA)
 
 
 def op2_cross_parsing(spark, sf_dir):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, in_fold, read_table
+from .common import by_bytes, carried, in_fold, read_table
 
 #: The bound of the labelled sample: so many rows of either label, lowest hash of the id first.
 TRAIN_A_LABEL = 3072
@@ -164,8 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, a_label: int = TRAIN_A_LABEL)
     return train(rows.mapInArrow(_counted_rows, "y int, f array<long>, n array<int>, g array<long>, m array<int>").toArrow())
 
 
-def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every whole text of docs.
+def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score and predicted of every whole text of docs, and the columns of docs named in carry.
 
     Defined cases: a null or empty text, or one without known words, gets the model's score for no words; without
     labels of both kinds the score is the same for all; repeated rows get a row each; other columns are ignored.
@@ -175,10 +175,10 @@ def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             scores = np.array([sent.value.score(t) for t in batch.column("text").to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *[batch.column(f"carry_{c}") for c in carry]], names=["doc_id", "held_out", "score", "predicted", *[f"carry_{c}" for c in carry]])
 
     out = F.lit(None).cast("boolean") if held_out is None else held_out
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out.alias("held_out")).mapInArrow(run, _SCORES)
+    return carried(docs, out, carry, run, _SCORES)
 
 
 def learnable(col: str):
