@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def object_text(col: str) -> Column:
@@ -78,6 +79,6 @@ def repaired(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     return s.map(repaired)

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_CONTAINED, MIN_PART, LCS_SHARE = 10, 5, 0.8
 
@@ -58,7 +59,7 @@ def normalized(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(normalized)
 
@@ -77,7 +78,7 @@ def longest_common(a: str, b: str) -> int:
     return low
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def shares_most(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether the longest common substring has LCS_SHARE of the shorter text; both of MIN_CONTAINED characters at least."""
     return pd.Series([min(len(x), len(y)) >= MIN_CONTAINED and longest_common(x, y) >= LCS_SHARE * min(len(x), len(y)) for x, y in zip(a, b, strict=True)])

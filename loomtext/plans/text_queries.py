@@ -175,6 +175,9 @@ def llm_request(spark, sf_dir):
     return requests.answers(_requests(spark, sf_dir), empty)[0].select("conv_id", "answer")
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _sources(spark, sf_dir):
     """Quotations of every sentence, by its place: as it is, without its last mark and in capitals, cut, or with an ellipsis."""
     s = d.sentence_rows(spark, sf_dir).where("length(text) >= 30")
@@ -183,7 +186,7 @@ def _sources(spark, sf_dir):
     return s.select("chapter_id", "fragment_id", (F.col("chapter_id") * d.IDS + F.col("sentence_index")).alias("source_id"), quoted.alias("text"))
 
 
-@query(""", src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id, CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN upper(text) WHEN 2 THEN "left"(text, length(text) - 8)
+@query(""", src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id, CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, length(text) - 8)
   ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s WHERE length(text) >= 30)
 SELECT s.chapter_id, s.fragment_id, source_id, max(sentence_index) AS sentence_index FROM src JOIN s ON s.chapter_id = src.chapter_id AND s.fragment_id = src.fragment_id AND s.text = src.text GROUP BY 1, 2, 3""", base=True)
 def exact_match(spark, sf_dir):
@@ -191,7 +194,7 @@ def exact_match(spark, sf_dir):
 
 
 _SIMPLE = """, nrm AS (SELECT *, lower(text) AS norm FROM s), src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id,
-  CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN upper(text) WHEN 2 THEN "left"(text, length(text) - 8) ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s WHERE length(text) >= 30)
+  CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, length(text) - 8) ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s WHERE length(text) >= 30)
 """
 
 

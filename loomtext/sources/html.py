@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strict_pieces(html: bytes | str | None) -> list[str]:
@@ -44,12 +45,12 @@ def lenient_pieces(html: str | None) -> list[str]:
     return p.pieces
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_pieces_strict(s: pd.Series) -> pd.Series:
     return s.map(strict_pieces)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_pieces(s: pd.Series) -> pd.Series:
     return s.map(lenient_pieces)
 

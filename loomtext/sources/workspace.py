@@ -32,7 +32,8 @@ class Workspace:
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows whose key is new; of several with one key the first in order of all columns."""
         names = schema(table).fieldNames()
-        new = first_wins(self.read(table), rows.select(*names), KEYS[table], names[0])
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)])
+        new = first_wins(self.read(table), typed, KEYS[table], names[0])
         writer = new.write.mode("append")
         (writer.partitionBy("chapter_id") if "chapter_id" in names else writer).parquet(f"{self.path}/{table}")
 
