@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import by_bytes, read_table, table_of
 from .components import components
 
-REGISTERS, BANDS, MANTISSA_BITS = 192, 32, 10
-#: What the estimate may fall short of the threshold: over 5 standard deviations at 192 registers.
-MARGIN = 0.15
+REGISTERS, MANTISSA_BITS = 512, 3
+BANDS, BAND_WIDTH = 32, 6
+#: What the estimate may fall short of the threshold: over 4 standard deviations at 512 registers.
+MARGIN = 0.07
 #: Classes in a block of the residual comparison, about.
 BLOCK = 64
 
@@ -71,8 +72,8 @@ def registers_of(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(h), 4096):
         low = np.minimum(low, (_A * h[at : at + 4096] + _B).min(axis=1))
     mantissa, exponent = np.frexp(low.astype(np.float64) + 1)  # exact: 33 bits
-    zeros = (33 - exponent).astype(np.uint16)
-    bits = ((mantissa * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.uint16)
+    zeros = np.minimum(33 - exponent, 31).astype(np.uint8)
+    bits = ((mantissa * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.uint8)
     return (zeros << MANTISSA_BITS) | bits
 
 
@@ -111,20 +112,20 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = REGISTERS // BANDS
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
-            regs = _matrix(batch.column("registers")).reshape(-1, BANDS, width).astype(np.uint64)
+            regs = _matrix(batch.column("registers"))[:, : BANDS * BAND_WIDTH].reshape(-1, BANDS, BAND_WIDTH).astype(np.uint64)
             key = np.arange(BANDS, dtype=np.uint64)[None, :] * _MIX[0]
-            for i in range(width):
+            for i in range(BAND_WIDTH):
                 key = (key ^ regs[:, :, i]) * _MIX[i + 1]
                 key ^= key >> np.uint64(31)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["key", "id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(band), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["key", "band", "id"])
 
 
 def _estimated(least: float):
@@ -138,18 +139,21 @@ def _estimated(least: float):
 
 def _blocks_compared(least: float):
     def unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["registers"] for m in members), np.uint16).reshape(-1, REGISTERS))
+        return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["registers"] for m in members), np.uint8).reshape(-1, REGISTERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1)
+                band = one.column("band")[0].as_py()
                 (i, ci, ri), (j, cj, rj) = unpack(one.column("left")[0].as_py()), unpack(one.column("right")[0].as_py())
                 for k in range(len(i)):
-                    near = (cj != ci[k]) & (estimate(rj, ri[k]) >= least)
+                    near = np.flatnonzero((cj != ci[k]) & (estimate(rj, ri[k]) >= least))
+                    same = (rj[near, : BANDS * BAND_WIDTH] == ri[k, : BANDS * BAND_WIDTH]).reshape(-1, BANDS, BAND_WIDTH).all(axis=2)
+                    near = near[same.argmax(axis=1) == band] if len(near) else near  # a pair counts in the first band it shares
                     b += j[near].tolist()
-                    a += [int(i[k])] * int(near.sum())
+                    a += [int(i[k])] * len(near)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     digest = ["digest_a", "digest_b"]
     classes = table_of(full.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers")), "classes")
-    bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, id long"), "bands")
+    bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, band int, id long"), "bands")
     hubs = table_of(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
     shared = table_of(bands.join(hubs, "key"), "shared")
 
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = components(links)
 
     # what shares a key and is not in one component yet
-    marked = shared.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    marked = shared.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     marked = table_of(marked, "marked")
     mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_rows = table_of(marked.join(table_of(mixed, "mixed"), "key"), "open")
@@ -227,12 +231,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .withColumn("block", F.expr(f"pmod(xxhash64(id), (m + {BLOCK - 1}) div {BLOCK})"))
     )
     blocks = table_of(
-        placed.join(regs, "id").groupBy("key", "pool", "block").agg(F.collect_list(F.struct("id", "component", "registers")).alias("members")),
+        placed.join(regs, "id").groupBy("key", "band", "pool", "block").agg(F.collect_list(F.struct("id", "component", "registers")).alias("members")),
         "blocks",
     )
-    left, right = blocks.toDF("key", "pool_a", "block_a", "left"), blocks.toDF("key", "pool_b", "block_b", "right")
+    left, right = blocks.toDF("key", "band", "pool_a", "block_a", "left"), blocks.drop("band").toDF("key", "pool_b", "block_b", "right")
     met = left.join(right, "key").where("(pool_a < pool_b or pool_a = pool_b and pool_a = -1 and block_a <= block_b)")
-    rest = met.select("left", "right").mapInArrow(_blocks_compared(least), "a long, b long")
+    rest = met.select("band", "left", "right").mapInArrow(_blocks_compared(least), "a long, b long")
     done = likely_pairs(to_hub)
     rest = rest.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
     more = linked(rest)
