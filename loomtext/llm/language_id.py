@@ -97,12 +97,15 @@ class CrossParser:
         tables, self.starts, base = [], [], 0
         for lang in self.langs:
             moves = suffix_automaton(np.searchsorted(self.alphabet, texts[lang]).tolist())
-            table = np.full((len(moves), width), -1, np.int32)
+            lost = base + len(moves) * width  # after a character that the sample lacks: a piece of its own
+            table = np.full((len(moves) + 1, width), -1, np.int32)
             for s, to in enumerate(moves):
                 for c, q in to.items():
                     table[s, c] = base + q * width
-            first = np.where(table[0] >= 0, table[0], base) | self.END
-            tables.append(np.where(table >= 0, table, first).ravel())
+            first = np.where(table[0] >= 0, table[0], lost)
+            table[1:] = np.where(table[1:] >= 0, table[1:], first | self.END)
+            table[0] = first
+            tables.append(table.ravel())
             self.starts.append(base)
             base += table.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)

@@ -134,8 +134,9 @@ def train(rows: pa.Table) -> Model:
     pairs = np.unique(row_s)
     change = dense(row_s, g, m)[pairs] - x[pairs] if len(pairs) else x[:0]
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
-    step = 1.0 / (0.25 * float((x * x).sum(axis=1).mean()) + 1e-6)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
+    steepest = 0.25 * float(weight @ ((x * x).sum(axis=1) + 1)) + RIDGE + (SWAP_PENALTY * float((change * change).sum(axis=1).mean()) if len(pairs) else 0)
+    step = 1.0 / steepest
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(250):  # accelerated gradient descent
         p = 1 / (1 + np.exp(-(x @ ahead + ahead_bias).clip(-30, 30)))
