@@ -62,7 +62,7 @@ class Places:
     """Sampled places of each level, as far as asked for."""
 
     def __init__(self):
-        self.upto, self.levels = 0, {}
+        self.upto, self.levels = -1, {}
 
     def at(self, level: int, length: int) -> np.ndarray:
         if length > self.upto:

@@ -28,6 +28,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 SWAP_PENALTY = 4.0
 RIDGE = 1e-3
+STEPS = 150
 
 # Identity terms by group; a term is swapped for the next of its group.
 IDENTITY_TERMS = [
@@ -133,23 +134,47 @@ def train(rows: pa.Table) -> Model:
     row_s, g, m = flat("g", "m")
     pairs = np.unique(row_s)
     change = dense(row_s, g, m)[pairs] - x[pairs] if len(pairs) else x[:0]
+    fold = np.arange(len(y)) % 3
+    margins = np.zeros(len(y))
+    for k in range(3):  # margins of rows that the weights were not fitted on
+        w, bias = _descended(x[fold != k], y[fold != k], change[fold[pairs] != k])
+        margins[fold == k] = x[fold == k] @ w + bias
+    scale, shift = _calibration(margins, y)
+    w, bias = _descended(x, y, change)
+    return Model(features, scale * w.astype(np.float64), scale * bias + shift)
+
+
+def _descended(x: np.ndarray, y: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent; either label has half of the weight."""
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
-    steepest = 0.25 * float(weight @ ((x * x).sum(axis=1) + 1)) + RIDGE + (SWAP_PENALTY * float((change * change).sum(axis=1).mean()) if len(pairs) else 0)
-    step = 1.0 / steepest
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(len(y) - y.sum(), 1)).astype(np.float32)
+    steepest = 0.25 * float(weight @ ((x * x).sum(axis=1) + 1)) + RIDGE + (SWAP_PENALTY * float((change * change).sum(axis=1).mean()) if len(change) else 0)
     ahead, ahead_bias, t = w.copy(), bias, 1.0
-    for _ in range(250):  # accelerated gradient descent
+    for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(x @ ahead + ahead_bias).clip(-30, 30)))
         err = weight * (p - y).astype(np.float32)
         slope = x.T @ err + RIDGE * ahead
-        if len(pairs):
-            slope += SWAP_PENALTY / len(pairs) * (change.T @ (change @ ahead))
-        w_new, bias_new = ahead - step * slope, ahead_bias - step * float(err.sum())
+        if len(change):
+            slope += SWAP_PENALTY / len(change) * (change.T @ (change @ ahead))
+        w_new, bias_new = (ahead - slope / steepest).astype(np.float32), ahead_bias - float(err.sum()) / steepest
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_bias = w_new + (t - 1) / t_new * (w_new - w), bias_new + (t - 1) / t_new * (bias_new - bias)
-        w, bias, t = w_new.astype(np.float32), bias_new, t_new
-        ahead = ahead.astype(np.float32)
-    return Model(features, w.astype(np.float64), bias)
+        rate = np.float32((t - 1) / t_new)
+        ahead, ahead_bias = w_new + rate * (w_new - w), bias_new + float(rate) * (bias_new - bias)
+        w, bias, t = w_new, bias_new, t_new
+    return w, bias
+
+
+def _calibration(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the margins by a logistic fit in one dimension, by Newton steps; the scale is 1 at least."""
+    ones = np.stack([margins, np.ones(len(y))], axis=1)
+    weight = np.where(y == 1, max(1.0, ((len(y) - y.sum()) / y.sum()) ** 0.5), 1.0)  # between the labels' own shares and equal ones
+    at = np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(ones @ at).clip(-30, 30)))
+        slope = ones.T @ (weight * (p - y)) + 0.01 * (at - [1.0, 0.0])
+        curve = (ones * (weight * p * (1 - p))[:, None]).T @ ones + 0.01 * np.eye(2)
+        at = at - np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] >= 1 else (1.0, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, a_label: int = TRAIN_A_LABEL) -> Model:
