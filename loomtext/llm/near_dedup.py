@@ -34,25 +34,35 @@ BLOCK = 64
 _A = np.array([xxhash.xxh32_intdigest(b"a%d" % i) | 1 for i in range(REGISTERS)], np.uint32)[:, None]
 _B = np.array([xxhash.xxh32_intdigest(b"b%d" % i) for i in range(REGISTERS)], np.uint32)[:, None]
 _MIX = [np.uint64(xxhash.xxh64_intdigest(b"w%d" % i) | 1) for i in range(16)]
+_BYTE_HASH = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+_IS_WORD_BYTE = np.array([i != 0x20 and not 0x09 <= i <= 0x0D for i in range(256)])
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the shingles of k words of a text; words are cached."""
+    """Sorted distinct 64-bit hashes of the shingles of k words of a text; nothing is kept between texts but powers."""
 
     def __init__(self, k: int):
-        self.k, self._known = k, {}
+        self.k, self._powers = k, np.ones(1, np.uint64)
+
+    def _word_hashes(self, text: str | None) -> np.ndarray:
+        """A polynomial hash, mixed, of each word: runs of bytes other than ASCII white space, A-Z in lower case."""
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+        inner = _IS_WORD_BYTE[data]
+        edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        sizes = ends - starts
+        if (longest := int(sizes.max())) > len(self._powers):
+            self._powers = np.cumprod(np.full(longest, _MIX[3])) * _MIX[4]
+        firsts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+        h = np.add.reduceat(_BYTE_HASH[data[inner]] * self._powers[place], firsts)
+        h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+        return h ^ (h >> np.uint64(29))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known = self._known
-        if len(known) > 1_000_000:
-            known.clear()
-        hashes = []
-        for w in words:
-            if (h := known.get(w)) is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
+        h = self._word_hashes(text)
         if not len(h):
             return h
         k = min(self.k, len(h))
@@ -170,7 +180,7 @@ def _confirmed(words: int, percent: int):
                 s = sets[key] = shingles_of(text)
             return s
 
-        for batch in batches:
+        for batch in by_bytes(batches, "text_a", 8 << 20):
             keep = []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 x, y = of(a, ta), of(b, tb)
