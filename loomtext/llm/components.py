@@ -11,19 +11,17 @@ from .common import table_of
 def components(links: DataFrame) -> DataFrame:
     """links: a, b long. Returns id, component (the smallest id reachable) of every id that has a link.
 
-    A round takes the smallest label among the neighbours, then the label of that label; the number of rounds
-    grows with the logarithm of the longest chain. Every round is a written table, so lineage stays short.
+    A round gives each id the smallest of its own label, its neighbours' labels and its label's label; the number of
+    rounds grows with the logarithm of the longest chain. Every round is one written table, so lineage stays short.
     """
     both = table_of(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = table_of(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        met = table_of(
-            labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("low")),
-            "labels",
-        )
-        far = met.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        new = table_of(met.join(far, "low", "left").select("id", F.least("low", "lower").alias("component"), (F.least("low", "lower") < F.col("component")).alias("moved")), "labels")
+        above = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        low = F.least("component", "m", "above")
+        met = labels.join(near, labels.id == near.a, "left").join(above, "component", "left")
+        new = table_of(met.select("id", low.alias("component"), (low < F.col("component")).alias("moved")), "labels")
         if new.where("moved").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
