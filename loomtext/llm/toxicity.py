@@ -73,7 +73,7 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             g, m = counted(swapped) if swapped != words else (f[:0], n[:0])
             out.append((f, n, g, m))
         lists = [pa.array([x[k] for x in out], pa.list_(pa.int64() if k % 2 == 0 else pa.int32())) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), *lists], names=["y", "f", "n", "g", "m"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *lists], names=["id", "y", "f", "n", "g", "m"])
 
 
 class Model:
@@ -186,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, a_label: int = TRAIN_A_LABEL)
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "id long"))  # 2 * a_label ids
     marked = F.broadcast(marks.join(chosen, "id").distinct())
-    rows = docs.join(marked, docs["doc_id"] == marked["id"]).select(F.col("y").cast("int").alias("y"), docs["text"])
-    return train(rows.mapInArrow(_counted_rows, "y int, f array<long>, n array<int>, g array<long>, m array<int>").toArrow())
+    rows = docs.join(marked, docs["doc_id"] == marked["id"]).select(marked["id"].cast("long").alias("id"), F.col("y").cast("int").alias("y"), docs["text"])
+    found = rows.mapInArrow(_counted_rows, "id long, y int, f array<long>, n array<int>, g array<long>, m array<int>").toArrow()
+    return train(found.sort_by([("id", "ascending"), ("y", "ascending")]))  # the same model however the rows were dealt
 
 
 def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
