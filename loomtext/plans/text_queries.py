@@ -182,7 +182,7 @@ def _sources(spark, sf_dir):
     """Quotations of every sentence, by its place: as it is, without its last mark and in capitals, cut, or with an ellipsis."""
     s = d.sentence_rows(spark, sf_dir).where("length(text) >= 30")
     t, kind = F.col("text"), F.col("sentence_index") % 4
-    quoted = F.when(kind == 0, t).when(kind == 1, F.upper(t)).when(kind == 2, F.expr("substring(text, 1, length(text) - 8)")).otherwise(F.concat(F.substring(t, 1, 12), F.lit("..."), F.expr("substring(text, length(text) - 11)")))
+    quoted = F.when(kind == 0, t).when(kind == 1, F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 2, F.expr("substring(text, 1, length(text) - 8)")).otherwise(F.concat(F.substring(t, 1, 12), F.lit("..."), F.expr("substring(text, length(text) - 11)")))
     return s.select("chapter_id", "fragment_id", (F.col("chapter_id") * d.IDS + F.col("sentence_index")).alias("source_id"), quoted.alias("text"))
 
 
