@@ -30,6 +30,9 @@ ALPHABETS = {
     "Α-Ω": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     "一-鿿": "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗",
 }
+#: Draws that keep every character's class; later ones lengthen the surrogate with the attempt, so that a free one is always found.
+KEEP_DRAWS = 4
+_FREE = "abcdefghijklmnopqrstuvwxyz0123456789"
 # Given names by script and gender.
 GIVEN_NAMES = {
     ("latin", "f"): "Anna Maria Emma Julia Sarah Laura Claire Sophie Elena Lucia Alice Helen Marta Nora Ines Clara".split(),
@@ -135,35 +138,43 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, secre
     seed = F.sha2(base, 512)
     plain = _characters(norm, lambda c, i: _like(c, seed, i))
     hexes = _characters(norm, lambda c, i: _hex_like(c, seed, i))
+    grown = F.greatest(attempt - KEEP_DRAWS, F.lit(0))
+    digits = F.substring(F.translate(F.sha2(seed, 256), "abcdef", "012345"), F.lit(1), grown)
+    letters = F.substring(F.translate(F.sha2(seed, 256), "0123456789", "ghijklmnop"), F.lit(1), grown)
+    places = F.sequence(F.lit(0), F.greatest(F.length(norm) + grown, F.lit(1)) - 1)
+    free = F.array_join(F.transform(places, lambda i: F.substring(F.lit(_FREE), _drawn(seed, i, len(_FREE)) + 1, F.lit(1))), "")
+    fixed = (grown > 0) | ~norm.rlike(f"[{''.join(ALPHABETS)}]")  # its own characters leave nothing to draw from
     top = F.regexp_extract(norm, r"(\.[A-Za-z]{2,})$", 1)
     body = F.expr("substring(norm, 1, length(norm) - length(regexp_extract(norm, '([.][A-Za-z]{2,})$', 1)))")
-    mail = F.concat(_characters(body, lambda c, i: _like(c, seed, i)), top)
+    mail = F.concat(letters, _characters(body, lambda c, i: _like(c, seed, i)), top)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(seed, i * 8 + 1, 6), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
     short = F.expr("substring(norm, 1, length(norm) - 1)")
-    card_body = _characters(short, lambda c, i: _like(c, seed, i))
+    card_body = F.concat(_characters(short, lambda c, i: _like(c, seed, i)), digits)
     card = F.when(
         _luhn_sum(norm, 0) % 10 == 0, F.concat(card_body, ((10 - _luhn_sum(card_body, 1) % 10) % 10).cast("string"))
-    ).otherwise(plain)
+    ).otherwise(F.concat(plain, digits))
     code = F.expr("substring(norm, 1, greatest(length(norm) - 10, 0))")  # the country code stays
-    phone = F.concat(code, _characters(F.expr("substring(norm, greatest(length(norm) - 10, 0) + 1)"), lambda c, i: _like(c, seed, i)))
-    account = F.concat(F.substring(norm, 1, 2), _characters(F.expr("substring(norm, 3)"), lambda c, i: _like(c, seed, i)))
+    phone = F.concat(code, _characters(F.expr("substring(norm, greatest(length(norm) - 10, 0) + 1)"), lambda c, i: _like(c, seed, i)), digits)
+    account = F.concat(F.substring(norm, 1, 2), _characters(F.expr("substring(norm, 3)"), lambda c, i: _like(c, seed, i)), digits)
     given = None
     for (script, g), names in GIVEN_NAMES.items():
         test = (gender == g) & (norm.rlike("[а-яё]") if script == "cyrillic" else ~norm.rlike("[а-яё]"))
         drawn = F.element_at(F.array(*[F.lit(n.lower()) for n in names]), _drawn(seed, F.lit(50), len(names)) + 1)
         given = F.when(test, drawn) if given is None else given.when(test, drawn)
     family = F.expr("regexp_extract(norm, '([^ ]+)$', 1)")
-    kin = F.concat(_characters(family, lambda c, i: _like(c, seed, i)), F.when(attempt > 8, F.substring(F.translate(F.sha2(seed, 256), "0123456789", "ghijklmnop"), 1, 4)).otherwise(""))
+    kin = F.concat(_characters(family, lambda c, i: _like(c, seed, i)), F.when(attempt > 8, F.substring(F.translate(F.sha2(seed, 256), "0123456789", "ghijklmnop"), F.lit(1), attempt - 4)).otherwise(""))
     name = F.when(norm.contains(" ") & (gender != ""), F.concat_ws(" ", given, kin)).otherwise(F.concat_ws(" ", F.when(norm.contains(" "), _characters(F.expr("regexp_extract(norm, '^([^ ]+)', 1)"), lambda c, i: _like(c, F.sha2(seed, 512), i))), kin))
     return (
         F.when(kind == "email", mail).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "iban", account).when(kind == "name", name)
-        .when(kind == "phone", phone).when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), hexes).otherwise(plain)
+        .when(kind == "phone", phone).when(kind == "ssn", F.concat(plain, digits)).when((kind == "secret") & fixed, free).when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), hexes).otherwise(plain)
     )
 
 
 def rendered(kind: Column, mention: Column, new: Column) -> Column:
-    """A surrogate in the layout of a mention: its separators, case and quotes."""
+    """A surrogate in the layout of a mention: its separators, case and quotes; what is longer goes to the end."""
     letters = F.regexp_replace(mention, r"\D", "")
+    rest = F.expr("substring(new, length(regexp_replace(mention, '[^0-9]', '')) + 1)")
+    spaced_rest = F.expr("substring(new, length(replace(mention, ' ', '')) + 1)")
     in_layout = F.expr(
         "array_join(transform(split(mention, ''), (c, i) -> case when c rlike '^[0-9]$' then "
         "substring(new, length(regexp_replace(substring(mention, 1, i + 1), '[^0-9]', '')), 1) else c end), '')"
@@ -177,8 +188,8 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
     head = secret_head(mention)
     tail = F.when(mention.rlike("[\"']$"), F.substring(mention, -1, 1)).otherwise("")
     return (
-        F.when(kind.isin("phone", "card", "ssn") & (F.length(letters) == F.length(new)), in_layout)
-        .when(kind == "iban", spaced).when(kind == "email", cased).when(kind == "secret", F.concat(head, new, tail))
+        F.when(kind.isin("phone", "card", "ssn") & (F.length(letters) <= F.length(new)), F.concat(in_layout, rest))
+        .when(kind == "iban", F.concat(spaced, spaced_rest)).when(kind == "email", cased).when(kind == "secret", F.concat(head, new, tail))
         .when(kind == "name", F.concat(title, F.initcap(new))).otherwise(new)
     )
 
@@ -186,7 +197,8 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
 def assigned(entities: DataFrame, secret: str) -> DataFrame:
     """entities: kind, norm, gender, distinct by kind and norm. Adds new, distinct by kind and no real entity's form.
 
-    Of those that meet, the first in order of normal form stays; the others draw again.
+    Of those that meet, the first in order of normal form stays; the others draw again, from the fifth time on longer
+    forms each time. A secret without any character that has another of its class becomes letters and digits at once.
     """
     current = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("norm").alias("new"), F.lit(True).alias("taken"))

@@ -96,6 +96,36 @@ def test_surrogates_are_distinct_and_no_real_entity(spark):
     assert len(got) == len(rows) and len({(r.kind, r.new) for r in got}) == len(rows) and not {(r.kind, r.new) for r in got} & real
 
 
+@pytest.fixture()
+def few_rounds(monkeypatch):
+    made, table_of = [], pii.table_of
+
+    def counted(df, name):
+        made.append(name)
+        assert len(made) < 60, "the redraw loop does not end"
+        return table_of(df, name)
+
+    monkeypatch.setattr(pii, "table_of", counted)
+
+
+def test_redraw_ends_where_characters_leave_no_other(spark, few_rounds):
+    values = ["********", "------", "....", "ひみつです", "**a*"]
+    texts = [(i, f"password: {v}") for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    new = [got[i].text.removeprefix("password: ") for i in range(len(values))]
+    assert len(set(new)) == len(values) and not set(new) & set(values) and all(got[i].n_replaced == 1 for i in got)
+    assert [len(n) for n in new] == [len(v) for v in values] and all(re.fullmatch("[a-z0-9]+", n) for n in new[:4])
+
+
+def test_redraw_ends_where_all_replacements_are_used(spark, few_rounds):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("secret", f"--{c}-", "") for c in letters] + [("phone", f"{i:02d}", "") for i in range(100)] + [("email", f"{c}@-.co", "") for c in letters]
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, norm string, gender string"), "k").collect()
+    real = {(k, n) for k, n, _ in rows}
+    assert len(got) == len(rows) == len({(r.kind, r.new) for r in got}) and not {(r.kind, r.new) for r in got} & real
+    assert all(re.fullmatch(r"[a-z]+@-\.co", r.new) for r in got if r.kind == "email") and all(r.new.isdigit() for r in got if r.kind == "phone")
+
+
 # -- language
 
 
