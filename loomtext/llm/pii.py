@@ -49,7 +49,7 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!
 CARD = r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-SECRET = r"(?<!\w)(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{4,200}\"|'[^'\s]{4,200}'|[^\s\"']{4,200})|(?<!\w)(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{16,80})(?!\w)"
+SECRET = r"(?<!\w)(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{4,}+\"|'[^'\s]{4,}+'|[^\s\"']{4,}+)|(?<!\w)(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9_-]{20,}+|sk-[A-Za-z0-9_-]{16,}+)(?!\w)"
 NAMED = "|".join(n for names in GIVEN_NAMES.values() for n in names)
 NAME = rf"(?<!\w)(?:(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{NAMED}) \p{{Lu}}[\p{{L}}'-]+)(?!\w)"
 # every kind begins where a word does; what a place begins with tells which kinds are tried there

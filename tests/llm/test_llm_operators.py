@@ -126,6 +126,19 @@ def test_redraw_ends_where_all_replacements_are_used(spark, few_rounds):
     assert all(re.fullmatch(r"[a-z]+@-\.co", r.new) for r in got if r.kind == "email") and all(r.new.isdigit() for r in got if r.kind == "phone")
 
 
+def test_secrets_of_any_length_are_replaced_whole(spark):
+    dice = random.Random(3)
+    key = {n: "".join(dice.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(n)) for n in (201, 300, 5000)}
+    bodies = [f(v) for v in key.values() for f in ("token={}".format, 'secret = "{}"'.format, "password: '{}'".format, "ghp_{}".format, "sk-{}".format)]
+    bodies += ["sk-proj-" + key[201][:60] + "_" + key[300][:60] + "-" + key[300][60:90], "ghp_" + key[201][:20] + "_" + key[201][20:40]]
+    got = {r.i: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(f"a {b} z" for b in bodies)), "i int, text string")).collect()}
+    for i, body in enumerate(bodies):
+        new = got[i].text
+        assert got[i].n_replaced == 1 and len(new) == len(body) + 4 and new.startswith("a ") and new.endswith(" z")
+        value = re.search(r"[\w-]+(?=[\"']?$)", body)[0]
+        assert not any(value[at : at + 12] in new for at in range(8, len(value) - 11))
+
+
 # -- language
 
 
