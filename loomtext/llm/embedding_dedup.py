@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits the vectors again and again by a random direction near the median of the projections; what lies
-near the split goes to both sides. Vectors that share a leaf of any tree are compared by cosine in double precision;
+near the split, measured by how far apart linked vectors can be, goes to both sides. A node most of which would go to
+both sides is a tight group and stays whole. Vectors that share a leaf of any tree are compared by cosine in double precision;
 the links found are united to components. Equal vectors are one class from the start. The splits are fitted on a
 bounded sample, every vector is then routed; a leaf with many vectors is compared block by block, each block pair in
 a task of its own, so leaves of any size are compared whole.
@@ -23,8 +24,8 @@ from .components import components
 
 #: Vectors that the splits are fitted on, lowest hash of the id first, and the number of trees.
 SAMPLE, TREES = 32_768, 6
-#: Share of a node's vectors that goes to both sides.
-SPILL = 0.15
+#: Width of the overlap in link radii, times the usual length of a projected unit; a node with a greater share in it by all of some directions is not split.
+OVERLAP, WHOLE, DIRECTIONS = 1.0, 0.35, 6
 #: Vectors in a leaf, about; a leaf with more than two blocks is compared block by block.
 LEAF, BLOCK = 256, 512
 
@@ -58,7 +59,7 @@ def _unit(vecs: list[bytes], size: int) -> np.ndarray:
 class Tree:
     """Splits by node number (the root is 1, its sides 2 and 3, and so on): direction, lower and upper end of the overlap."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int, spill: float = SPILL):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, width: float):
         dice = np.random.Generator(np.random.PCG64(seed))
         self.splits: dict[int, tuple[np.ndarray, float, float]] = {}
         at = {1: np.arange(len(sample))}
@@ -67,9 +68,14 @@ class Tree:
             for node, rows in at.items():
                 if len(rows) < 8:
                     continue
-                direction = dice.normal(size=sample.shape[1])
-                p = sample[rows] @ direction
-                low, high = np.quantile(p, [0.5 - spill / 2, 0.5 + spill / 2])
+                for _ in range(DIRECTIONS):  # a group beside the median is no reason to keep the rest with it
+                    direction = dice.normal(size=sample.shape[1])
+                    p = sample[rows] @ direction
+                    low, high = np.median(p) - width / 2, np.median(p) + width / 2
+                    if ((p >= low) & (p <= high)).mean() <= WHOLE:
+                        break
+                else:
+                    continue
                 self.splits[node] = (direction, float(low), float(high))
                 sides[2 * node], sides[2 * node + 1] = rows[p <= high], rows[p >= low]
             at = sides
@@ -92,9 +98,11 @@ class Tree:
         return np.concatenate(rows), np.concatenate(nodes)
 
 
-def fit_forest(sample: np.ndarray, n_rows: int, trees: int = TREES) -> list[Tree]:
+def fit_forest(sample: np.ndarray, n_rows: int, trees: int = TREES, least: float = 0.95) -> list[Tree]:
+    # projected on a random direction, two vectors at the link radius differ by a normal number of that deviation
+    width = OVERLAP * float(np.sqrt(max(2 - 2 * least, 0)))
     depth = max(0, int(np.ceil(np.log2(max(n_rows, 1) / LEAF))))
-    return [Tree(sample, depth, 1000 + t) for t in range(trees)]
+    return [Tree(sample, depth, 1000 + t, width) for t in range(trees)]
 
 
 def _routed(sent, size: int):
@@ -145,7 +153,7 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "
     n = classes.count()
     if n:
         sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
-        sent = spark.sparkContext.broadcast(fit_forest(_unit(sample.column("vec").to_pylist(), size), n))
+        sent = spark.sparkContext.broadcast(fit_forest(_unit(sample.column("vec").to_pylist(), size), n, least=least))
         routed = table_of(classes.select("id", "vec").mapInArrow(_routed(sent, size), "leaf long, id long, vec binary"), "leaves")
         sizes = table_of(routed.groupBy("leaf").agg(F.count("*").alias("m")), "leaf-sizes")
         blocks = F.expr(f"case when m > {2 * BLOCK} then (m + {BLOCK - 1}) div {BLOCK} else 1 end").cast("int")

@@ -394,6 +394,25 @@ def test_large_leaves_are_compared_block_by_block(spark, monkeypatch):
     assert {r.n_links for r in got} == {89}
 
 
+def test_forest_keeps_the_links_of_a_large_tight_group():
+    dice = np.random.default_rng(6)
+    center = dice.normal(size=64)
+    x = np.concatenate([center / np.linalg.norm(center) + np.sqrt(0.035 / 64) * dice.normal(size=(10_000, 64)), dice.normal(size=(20_000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = dice.integers(0, 10_000, (2, 20_000))
+    linked = (a != b) & ((x[a] * x[b]).sum(axis=1) >= 0.95)
+    assert linked.sum() > 10_000
+    met = np.zeros(len(a), bool)
+    for tree in embedding_dedup.fit_forest(x, len(x)):
+        rows, nodes = tree.leaves(x)
+        reached = set(zip(rows.tolist(), nodes.tolist(), strict=True))
+        of: dict[int, list[int]] = {}
+        for row, node in zip(rows.tolist(), nodes.tolist(), strict=True):
+            of.setdefault(row, []).append(node)
+        met |= np.array([any((q, node) in reached for node in of[p]) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+    assert met[linked].mean() >= 0.9
+
+
 # -- toxicity
 
 
