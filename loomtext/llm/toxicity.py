@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, carried, in_fold, read_table
+from .common import by_bytes, carried, in_fold, read_table, table_of
 
 #: The bound of the labelled sample: so many rows of either label, lowest hash of the id first.
 TRAIN_A_LABEL = 3072
@@ -25,6 +25,8 @@ TRAIN_A_LABEL = 3072
 FEATURES = 2048
 #: Lengths of the beginnings of words that count besides the whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words whose features a scoring task keeps.
+KNOWN_WORDS = 100_000
 THRESHOLD = 0.7
 SWAP_PENALTY = 4.0
 RIDGE = 1e-3
@@ -89,7 +91,7 @@ class Model:
         known, weights = self._known, self.weights
         for w in distinct_words(text):
             if (found := known.get(w)) is None:
-                if len(known) > 400_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 found = known[w] = tuple(f for f in features_of(w) if f in weights)
             for f in found:
@@ -102,60 +104,90 @@ def strength(n):
     return np.log2(1 + n)
 
 
-def train(rows: pa.Table) -> Model:
-    """rows: y, features f with counts n, and g with m of the swapped text (empty where nothing was swapped)."""
+def chosen_features(counted: DataFrame) -> np.ndarray:
+    """The FEATURES features that tell the labels apart best, in ascending order, from rows with y and f; ties go to the lower feature.
+
+    An aggregate over the sampled rows: the driver gets FEATURES numbers, however long the texts are.
+    """
+    sums = counted.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    n_1, n_0 = sums[0], sums[1] - sums[0]
+    by = counted.select("y", F.explode("f").alias("feature")).groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    share_1, share_0 = (F.col("a") + 0.5) / (n_1 + 1), (F.col("b") + 0.5) / (n_0 + 1)
+    told = by.where("a + b >= 3").select("feature", ((share_1 - share_0) ** 2 / (share_1 + share_0)).alias("told"))
+    return np.array(sorted(r.feature for r in told.orderBy(F.desc("told"), "feature").limit(FEATURES).collect()), np.int64)
+
+
+def _chosen_rows(sent):
+    """Rows cut to the chosen features: their places and counts, and for a swapped text the new counts where they differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = sent.value
+
+        def places(f, n) -> np.ndarray:
+            f, n = np.array(f, np.int64), np.array(n, np.int64)
+            at = np.searchsorted(features, f).clip(max=len(features) - 1)
+            kept = features[at] == f
+            full = np.zeros(len(features), np.int64)
+            full[at[kept]] = n[kept]
+            return full
+
+        for batch in batches:
+            out: list[list[bytes]] = [[], [], [], []]
+            for f, n, g, m in zip(*(batch.column(c).to_pylist() for c in "fngm"), strict=True):
+                own = places(f, n)
+                swapped = places(g, m) if g else own
+                for k, (at, values) in enumerate(((np.flatnonzero(own), own), (np.flatnonzero(swapped != own), swapped))):
+                    out[2 * k].append(at.astype("<u2").tobytes())
+                    out[2 * k + 1].append(values[at].clip(max=65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *[pa.array(x, pa.binary()) for x in out]], names=["id", "y", "at", "n", "swap_at", "swap_n"])
+
+    return run
+
+
+def train(features: np.ndarray, rows: pa.Table) -> Model:
+    """rows, of _chosen_rows: y, places at with counts n, and swap_at with swap_n where the swapped text's counts differ.
+
+    Holds one matrix of rows by features and one of the swapped rows' differences, both of 4-byte floats: with the
+    bounds 2 * TRAIN_A_LABEL and FEATURES at most 50 MB each. Folds are weights of 0, not copies.
+    """
     y = rows.column("y").to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
+    if not len(features) or not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -4, 4)))
-
-    def flat(features: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lists = rows.column(features).combine_chunks()
-        row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-        return row, lists.flatten().to_numpy(), rows.column(counts).combine_chunks().flatten().to_numpy()
-
-    row, f, n = flat("f", "n")
-    names, at = np.unique(f, return_inverse=True)
-    with_1 = np.bincount(at, y[row], minlength=len(names))
-    with_0 = np.bincount(at, 1 - y[row], minlength=len(names))
-    share_1, share_0 = (with_1 + 0.5) / (y.sum() + 1), (with_0 + 0.5) / (len(y) - y.sum() + 1)
-    told = np.where(with_1 + with_0 >= 3, (share_1 - share_0) ** 2 / (share_1 + share_0), 0)
-    chosen = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
-    features, place = names[chosen], np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def dense(row, f, n) -> np.ndarray:
-        at = np.searchsorted(names, f).clip(max=len(names) - 1)
-        col = np.where(names[at] == f, place[at], -1)
-        out = np.zeros((len(y), len(features)), np.float32)
-        out[row[col >= 0], col[col >= 0]] = strength(n[col >= 0])
-        return out
-
-    x = dense(row, f, n)
-    row_s, g, m = flat("g", "m")
-    pairs = np.unique(row_s)
-    change = dense(row_s, g, m)[pairs] - x[pairs] if len(pairs) else x[:0]
+    x = np.zeros((len(y), len(features)), np.float32)
+    pairs, change = [], []
+    for i in range(len(y)):
+        at, n, swap_at, swap_n = (np.frombuffer(rows.column(c)[i].as_py(), "<u2") for c in ("at", "n", "swap_at", "swap_n"))
+        x[i, at] = strength(n.astype(np.float32))
+        if len(swap_at):
+            other = np.zeros(len(features), np.float32)
+            other[swap_at] = strength(swap_n.astype(np.float32)) - x[i, swap_at]
+            pairs.append(i)
+            change.append(other)
+    pairs, change = np.array(pairs, np.int64), np.stack(change) if change else x[:0]
     fold = np.arange(len(y)) % 3
     margins = np.zeros(len(y))
     for k in range(3):  # margins of rows that the weights were not fitted on
-        w, bias = _descended(x[fold != k], y[fold != k], change[fold[pairs] != k])
-        margins[fold == k] = x[fold == k] @ w + bias
+        w, bias = _descended(x, y, change, fold != k, fold[pairs] != k)
+        margins[fold == k] = (x @ w + bias)[fold == k]
     scale, shift = _calibration(margins, y)
-    w, bias = _descended(x, y, change)
+    w, bias = _descended(x, y, change, np.ones(len(y), bool), np.ones(len(pairs), bool))
     return Model(features, scale * w.astype(np.float64), scale * bias + shift)
 
 
-def _descended(x: np.ndarray, y: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent; either label has half of the weight."""
+def _descended(x: np.ndarray, y: np.ndarray, change: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from the marked rows and pairs, by accelerated gradient descent; either label has half of the weight."""
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(len(y) - y.sum(), 1)).astype(np.float32)
-    steepest = 0.25 * float(weight @ ((x * x).sum(axis=1) + 1)) + RIDGE + (SWAP_PENALTY * float((change * change).sum(axis=1).mean()) if len(change) else 0)
+    n_1 = y[rows].sum()
+    weight = (np.where(y == 1, 0.5 / max(n_1, 1), 0.5 / max(rows.sum() - n_1, 1)) * rows).astype(np.float32)
+    kept, n_pairs = pairs.astype(np.float32), int(pairs.sum())
+    steepest = 0.25 * float(weight @ (np.einsum("ij,ij->i", x, x) + 1)) + RIDGE + (SWAP_PENALTY * float(kept @ np.einsum("ij,ij->i", change, change)) / n_pairs if n_pairs else 0)
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(x @ ahead + ahead_bias).clip(-30, 30)))
         err = weight * (p - y).astype(np.float32)
         slope = x.T @ err + RIDGE * ahead
-        if len(change):
-            slope += SWAP_PENALTY / len(change) * (change.T @ (change @ ahead))
+        if n_pairs:
+            slope += SWAP_PENALTY / n_pairs * (change.T @ (kept * (change @ ahead)))
         w_new, bias_new = (ahead - slope / steepest).astype(np.float32), ahead_bias - float(err.sum()) / steepest
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         rate = np.float32((t - 1) / t_new)
@@ -178,17 +210,24 @@ def _calibration(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, a_label: int = TRAIN_A_LABEL) -> Model:
-    """Fit on a_label rows of either label at most; learn says which ids may be learned from."""
-    marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learn("id"))
-    ids = [r.id for k in (0, 1) for r in marks.where(F.col("y") == k).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(a_label).collect()]
-    if not ids:
-        return train(pa.table({"y": pa.array([], pa.int32())}))
+    """Fit on a_label ids of either label at most, lowest hash first; learn says which ids may be learned from.
+
+    The sampled texts become a written table of features; the driver gets the chosen features' numbers and, for each
+    sampled row, its chosen features alone (4 bytes each). Of rows that repeat an id the text with the lowest hash is
+    learned from, so repeated rows don't add to the sample.
+    """
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "id long"))  # 2 * a_label ids
-    marked = F.broadcast(marks.join(chosen, "id").distinct())
-    rows = docs.join(marked, docs["doc_id"] == marked["id"]).select(marked["id"].cast("long").alias("id"), F.col("y").cast("int").alias("y"), docs["text"])
-    found = rows.mapInArrow(_counted_rows, "id long, y int, f array<long>, n array<int>, g array<long>, m array<int>").toArrow()
-    return train(found.sort_by([("id", "ascending"), ("y", "ascending")]))  # the same model however the rows were dealt
+    marks = labels.select(F.col("doc_id").cast("long").alias("mark_id"), F.col("toxic").cast("int").alias("mark")).where(F.col("mark").isin(0, 1) & F.col("mark_id").isNotNull() & learn("mark_id"))
+    picked = [(r.mark_id, k) for k in (0, 1) for r in marks.where(F.col("mark") == k).select("mark_id", F.xxhash64("mark_id").alias("h")).distinct().orderBy("h", "mark_id").limit(a_label).collect()]
+    marked = F.broadcast(spark.createDataFrame(picked, "mark_id long, mark int"))  # 2 * a_label rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("mark_id"), F.col("text").alias("body")).join(marked, "mark_id")
+    one = texts.groupBy("mark_id", "mark").agg(F.min_by("body", F.xxhash64("body")).alias("text"))
+    rows = one.select(F.col("mark_id").alias("id"), F.col("mark").alias("y"), "text")
+    counted = table_of(rows.mapInArrow(_counted_rows, "id long, y int, f array<long>, n array<int>, g array<long>, m array<int>"), "toxicity-features")
+    features = chosen_features(counted)
+    sent = spark.sparkContext.broadcast(features)
+    found = counted.mapInArrow(_chosen_rows(sent), "id long, y int, at binary, n binary, swap_at binary, swap_n binary").toArrow() if len(features) else counted.select("id", "y").toArrow()
+    return train(features, found.sort_by([("id", "ascending"), ("y", "ascending")]))  # the same model however the rows were dealt
 
 
 def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
