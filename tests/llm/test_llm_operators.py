@@ -47,7 +47,7 @@ def held(docs):
 
 
 OPERATORS = {
-    "pii": lambda d: pii.replace_entities(d),
+    "pii": lambda d: pii.replace_entities(d, "k"),
     "language": lambda d: language_id.identify_languages(d, d),
     "edit": edit_fingerprints.edit_fingerprints,
     "ppm": held,
@@ -75,7 +75,7 @@ def test_surrogates(spark):
         (3, "nothing here, version 2.0"),
         (4, None),
     ]
-    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
     one, two = got[1].text, got[2].text
     mails = re.findall(r"\S+@[A-Za-z0-9.]+[A-Za-z]", one)
     assert len(mails) == 2 and mails[0].lower() == mails[1].lower() and mails[1].isupper() and mails[0].lower() != "jane.doe@mail.example.org" and mails[0].lower().endswith(".org")
@@ -111,7 +111,7 @@ def few_rounds(monkeypatch):
 def test_redraw_ends_where_characters_leave_no_other(spark, few_rounds):
     values = ["********", "------", "....", "ひみつです", "**a*"]
     texts = [(i, f"password: {v}") for i, v in enumerate(values)]
-    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
     new = [got[i].text.removeprefix("password: ") for i in range(len(values))]
     assert len(set(new)) == len(values) and not set(new) & set(values) and all(got[i].n_replaced == 1 for i in got)
     assert [len(n) for n in new] == [len(v) for v in values] and all(re.fullmatch("[a-z0-9]+", n) for n in new[:4])
@@ -131,7 +131,7 @@ def test_secrets_of_any_length_are_replaced_whole(spark):
     key = {n: "".join(dice.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(n)) for n in (201, 300, 5000)}
     bodies = [f(v) for v in key.values() for f in ("token={}".format, 'secret = "{}"'.format, "password: '{}'".format, "ghp_{}".format, "sk-{}".format)]
     bodies += ["sk-proj-" + key[201][:60] + "_" + key[300][:60] + "-" + key[300][60:90], "ghp_" + key[201][:20] + "_" + key[201][20:40]]
-    got = {r.i: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(f"a {b} z" for b in bodies)), "i int, text string")).collect()}
+    got = {r.i: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(f"a {b} z" for b in bodies)), "i int, text string"), "k").collect()}
     for i, body in enumerate(bodies):
         new = got[i].text
         assert got[i].n_replaced == 1 and len(new) == len(body) + 4 and new.startswith("a ") and new.endswith(" z")
@@ -139,6 +139,51 @@ def test_secrets_of_any_length_are_replaced_whole(spark):
         assert not any(value[at : at + 12] in new for at in range(8, len(value) - 11))
 
 
+def replaced(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_replaced) for r in pii.replace_entities(rows, "k").orderBy("doc_id").collect()]
+
+
+def test_names_keep_their_family_and_gender(spark):
+    (a, n), (b, _) = replaced(spark, "Mr Smith met John Smith, and Mr. Smith left. Smith's car was SMITH red; blacksmith.", "Mrs Smith and Dr. Smith")
+    family = re.match(r"Mr (\p{Lu}\S+) met".replace(r"\p{Lu}", "[A-Z]"), a)[1]
+    given = re.search(r"met (\S+) ", a)[1]
+    assert family != "Smith" and a == f"Mr {family} met {given} {family}, and Mr. {family} left. {family}'s car was SMITH red; blacksmith." and n == 4
+    assert given in pii.GIVEN_NAMES["latin", "m"] and given != "John" and b == f"Mrs {family} and Dr. {family}"
+
+
+def test_names_beyond_the_list_are_found_by_context(spark):
+    got = replaced(spark, "Zorbla Quenn and Tariq Khan met here", "a man named Bork Vandel, and Bork Vandel slept", "the Apache License of New York", "Carol Jones was there")
+    assert not re.search("Zorbla|Quenn|Khan", got[0][0]) and "Vandel" not in got[1][0] and "Jones" not in got[3][0]
+    assert got[2] == ("the Apache License of New York", 0)
+
+
+def test_numbers_without_a_right_check_digit_are_no_cards(spark):
+    (a, n), (b, m) = replaced(spark, "number 12345678901234 here", "card 4539148803436467 and 4539148803436468")
+    assert (a, n, m) == ("number 12345678901234 here", 0, 1) and "4539148803436467" not in b and "4539148803436468" in b
+
+
+def test_surrogates_need_a_key_that_decides(spark):
+    docs = spark.createDataFrame([(1, "Mr Smith at 10.1.2.3", 7)], "doc_id long, text string, n_replaced int")
+    one, other = (pii.replace_entities(docs, k).first() for k in ("k", "l"))
+    assert one.text != other.text and one.n_replaced == 2 and len(one) == 3
+    with pytest.raises(ValueError):
+        pii.replace_entities(docs, "")
+
+
+def test_distinct_over_whole_texts(spark):
+    dice = random.Random(9)
+    mails = [f"{dice.choice(WORDS)}.{i}@m.example.org" for i in range(300)]
+    texts = [" ".join(dice.sample(mails, 8)) for _ in range(200)]
+    got = replaced(spark, *texts)
+    new = {}
+    for t, (g, n) in zip(texts, got, strict=True):
+        assert n == 8
+        for a, b in zip(t.split(), g.split(), strict=True):
+            assert new.setdefault(a, b) == b
+    assert len(set(new.values())) == len(new) and not set(new.values()) & set(new)
+
+
 # -- language
 
 
