@@ -15,7 +15,7 @@ from loomtext.llm.common import read_table, table_of
 from loomtext.llm.language_id import UNKNOWN, identify_languages
 from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.packing import pack
-from loomtext.llm.pii import replace_entities
+from loomtext.llm.pii import replace_entities, session_secret
 from loomtext.llm.toxicity import fit, learnable, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates and counts the characters anew."""
-    return replace_entities(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return replace_entities(docs, session_secret(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
