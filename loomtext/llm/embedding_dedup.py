@@ -2,44 +2,62 @@
 
 Each tree splits the vectors again and again by a random direction near the median of the projections; what lies
 near the split, measured by how far apart linked vectors can be, goes to both sides. A node most of which would go to
-both sides is a tight group and stays whole. Vectors that share a leaf of any tree are compared by cosine in double precision;
-the links found are united to components. Equal vectors are one class from the start. The splits are fitted on a
-bounded sample, every vector is then routed; a leaf with many vectors is compared block by block, each block pair in
-a task of its own, so leaves of any size are compared whole.
+both sides is a tight group and stays whole. There are as many trees as a pair at the link radius needs to meet in a
+leaf of some tree almost surely. Vectors that share a leaf are compared by cosine in double precision; the links found
+are united to components. Equal vectors are one class from the start; vectors of unlike lengths are apart.
+
+The first splits are fitted on a bounded sample and broadcast; leaves that are still large are split again in
+rounds, each on a sample of its own rows, in tasks. Every vector is routed; between rounds only ids travel, and the vectors
+join them where they are routed or compared. A leaf with many vectors is compared block by block, each block pair
+in a task of its own, so leaves of any size are compared whole.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, table_of
 from .components import components
 
-#: Vectors that the splits are fitted on, lowest hash of the id first, and the number of trees.
-SAMPLE, TREES = 32_768, 6
+#: Vectors that the first splits are fitted on (of all lengths together, lowest hash first), and those of a large leaf's own sample, about.
+SAMPLE, LEAF_SAMPLE = 32_768, 2_048
+#: A node is split only with so many rows of the sample, so that the median is known well.
+LEAST_FIT = 64
+#: Share of the pairs at the link radius that may meet in no tree, and the fewest trees.
+MISSED, LEAST_TREES = 0.002, 4
 #: Width of the overlap in link radii, times the usual length of a projected unit; a node with a greater share in it by all of some directions is not split.
-OVERLAP, WHOLE, DIRECTIONS = 1.0, 0.35, 6
+OVERLAP, WHOLE, DIRECTIONS = 0.7, 0.35, 6
 #: Vectors in a leaf, about; a leaf with more than two blocks is compared block by block.
-LEAF, BLOCK = 256, 512
+LEAF, BLOCK = 384, 512
+#: Rounds of splits, 9 levels or so each, and rows of a leaf that are routed with one copy of its splits.
+MOST_ROUNDS, PART = 8, 65_536
 
 
 def checked(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, size (0 for what links with nothing), digest_a, digest_b and vec, the vector's doubles as bytes."""
+    """vec_id, size (0 for what links with nothing), digest_a, digest_b and vec, the vector's components as bytes.
+
+    Components are kept as 4-byte floats if the column holds such, else as doubles; either way none is rounded.
+    """
+    narrow = dict(rows.dtypes)[vector_col] == "array<float>"
+    kind = np.float32 if narrow else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, a, b, vecs = [], [], [], []
             for v in batch.column("v").to_pylist():
-                x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
+                x = np.array(v, kind) if v and None not in v else np.zeros(0, kind)
                 good = len(x) > 0 and np.isfinite(x).all() and x.any()
-                raw = (x + 0.0).tobytes() if good else None
+                raw = (x + kind(0)).tobytes() if good else None
                 d = xxhash.xxh3_128_digest(raw or b"")
                 sizes.append(len(x) if good else 0)
                 a.append(int.from_bytes(d[:8], "little", signed=True))
@@ -47,26 +65,29 @@ def checked(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                 vecs.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sizes, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "size", "digest_a", "digest_b", "vec"])
 
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, size int, digest_a long, digest_b long, vec binary")
+    column = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), column.alias("v")).mapInArrow(run, "vec_id long, size int, digest_a long, digest_b long, vec binary")
 
 
 def _unit(vecs: list[bytes], size: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(-1, size)
+    kind = np.float32 if vecs and len(vecs[0]) == 4 * size else np.float64
+    x = np.frombuffer(b"".join(vecs), kind).reshape(-1, size).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 class Tree:
-    """Splits by node number (the root is 1, its sides 2 and 3, and so on): direction, lower and upper end of the overlap."""
+    """Splits by node number (the root is 1, its sides 2 and 3, and so on): direction, lower and upper end of the overlap; tight: nodes kept whole."""
 
     def __init__(self, sample: np.ndarray, depth: int, seed: int, width: float):
         dice = np.random.Generator(np.random.PCG64(seed))
         self.splits: dict[int, tuple[np.ndarray, float, float]] = {}
+        self.tight: set[int] = set()
         at = {1: np.arange(len(sample))}
         for _ in range(depth):
             sides = {}
             for node, rows in at.items():
-                if len(rows) < 8:
+                if len(rows) < LEAST_FIT:
                     continue
                 for _ in range(DIRECTIONS):  # a group beside the median is no reason to keep the rest with it
                     direction = dice.normal(size=sample.shape[1])
@@ -75,6 +96,7 @@ class Tree:
                     if ((p >= low) & (p <= high)).mean() <= WHOLE:
                         break
                 else:
+                    self.tight.add(node)
                     continue
                 self.splits[node] = (direction, float(low), float(high))
                 sides[2 * node], sides[2 * node + 1] = rows[p <= high], rows[p >= low]
@@ -98,79 +120,176 @@ class Tree:
         return np.concatenate(rows), np.concatenate(nodes)
 
 
-def fit_forest(sample: np.ndarray, n_rows: int, trees: int = TREES, least: float = 0.95) -> list[Tree]:
-    # projected on a random direction, two vectors at the link radius differ by a normal number of that deviation
-    width = OVERLAP * float(np.sqrt(max(2 - 2 * least, 0)))
-    depth = max(0, int(np.ceil(np.log2(max(n_rows, 1) / LEAF))))
-    return [Tree(sample, depth, 1000 + t, width) for t in range(trees)]
+def link_radius(least: float) -> float:
+    """The distance of two unit vectors at the threshold: projected on a random direction they differ by a normal number of that deviation."""
+    return float(np.sqrt(max(2 - 2 * least, 0)))
+
+
+def depth_of(n_rows: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(n_rows, 1) / LEAF))))
+
+
+def trees_for(depth: int, least: float) -> int:
+    """Trees by which a pair at the link radius meets in a leaf but for a share MISSED.
+
+    A split parts such a pair if their projections lie on both sides of the overlap: with the density of the
+    projections at the median, 1 / sqrt(2 pi), times what their difference exceeds the overlap's width by on average.
+    """
+    tail = 0.5 * math.erfc(OVERLAP / math.sqrt(2))
+    excess = 2 * (math.exp(-OVERLAP * OVERLAP / 2) / math.sqrt(2 * math.pi) - OVERLAP * tail)
+    lost = 1 - (1 - min(0.9, link_radius(least) * excess / math.sqrt(2 * math.pi))) ** max(depth, 1)
+    return max(LEAST_TREES, math.ceil(math.log(MISSED) / math.log(lost))) if lost > 0 else LEAST_TREES
+
+
+def fit_forest(sample: np.ndarray, n_rows: int, least: float = 0.95) -> list[Tree]:
+    depth = depth_of(n_rows)
+    return [Tree(sample, depth, 1000 + t, OVERLAP * link_radius(least)) for t in range(trees_for(depth, least))]
+
+
+_ROUTED = "leaf long, tight boolean, size int, id long"
+
+
+def _leaf_key(*parts: int) -> int:
+    """A number for a leaf; should two leaves get one number, they are compared as one."""
+    return int.from_bytes(xxhash.xxh3_64_digest(repr(parts).encode()), "little", signed=True)
 
 
-def _routed(sent, size: int):
+def _placed(batch: pa.RecordBatch, tree: Tree, x: np.ndarray, size: int, *above: int) -> pa.RecordBatch:
+    rows, nodes = tree.leaves(x)
+    found, at = np.unique(nodes, return_inverse=True)
+    keys = np.array([_leaf_key(*above, int(node)) for node in found], np.int64)
+    tight = np.array([int(node) in tree.tight for node in found], bool)
+    ids = batch.column("id").to_numpy()[rows]
+    return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(tight[at]), pa.array(np.full(len(rows), size, np.int32)), pa.array(ids)], names=["leaf", "tight", "size", "id"])
+
+
+def _runs(batch: pa.RecordBatch, column: str, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch in which the column keeps its value, of so many rows at most."""
+    values = batch.column(column).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for at in range(a, b, most):
+            yield batch.slice(at, min(most, b - at))
+
+
+def _routed(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for batch in _runs(whole.take(pc.sort_indices(whole, [("size", "ascending")])), "size") if whole.num_rows else ():
+                size = batch.column("size")[0].as_py()
+                forest = sent.value.get(size) or [Tree(np.zeros((0, size)), 0, 0, 0.0)]
                 x = _unit(batch.column("vec").to_pylist(), size)
-                for t, tree in enumerate(sent.value):
-                    rows, nodes = tree.leaves(x)
-                    picked = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes * len(sent.value) + t), picked.column("id"), picked.column("vec")], names=["leaf", "id", "vec"])
+                for t, tree in enumerate(forest):
+                    yield _placed(batch, tree, x, size, size, t)
 
     return run
 
 
-def _compared(size: int, least: float):
+def _refitted(least: float):
+    """Splits of a large leaf from a sample of its rows, pickled."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        leaf, size, m = int(rows["leaf"][0]), int(rows["size"][0]), int(rows["m"][0])
+        sample = _unit(rows.sort_values("id")["vec"].tolist(), size)
+        tree = Tree(sample, depth_of(m), leaf & 0xFFFFFFFF, OVERLAP * link_radius(least))
+        return pd.DataFrame({"leaf": [leaf], "tree": [pickle.dumps(tree)]})
+
+    return run
+
+
+def _rerouted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in _runs(whole, "leaf") if whole.num_rows else ():
+            size, leaf = batch.column("size")[0].as_py(), batch.column("leaf")[0].as_py()
+            yield _placed(batch, pickle.loads(batch.column("tree")[0].as_py()), _unit(batch.column("vec").to_pylist(), size), size, leaf)
+
+
+def _compared(least: float):
+    """Links of a block pair; of the leaves that both vectors are in, a pair counts in the one with the lowest number."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["block", "id"], ignore_index=True)
-        ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
-        x = _unit(rows["vec"].tolist(), size)
+        ids, block, leaf = rows["id"].to_numpy(), rows["block"].to_numpy(), int(rows["leaf"][0])
+        x = _unit(rows["vec"].tolist(), int(rows["size"][0]))
         i, j = int(rows["one"][0]), int(rows["other"][0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = x[left] @ x[right].T >= least
-        a, b = np.nonzero(near)
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+        a, b = np.nonzero(x[left] @ x[right].T >= least)
+        a, b = left[a], right[b]
+        keep = ids[a] < ids[b] if i == j else ids[a] != ids[b]
+        a, b = a[keep], b[keep]
+        lower = [set(k for k in leaves if k < leaf) for leaves in rows["leaves"]] if len(a) else []
+        keep = np.array([lower[p].isdisjoint(lower[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        a, b = ids[a[keep]], ids[b[keep]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
+def leaves_of(classes: DataFrame, least: float) -> DataFrame:
+    """leaf, size, id: all leaves of every class (id, size, vec), as a written table."""
+    spark = classes.sparkSession
+    counts = {r["size"]: r["count"] for r in classes.groupBy("size").count().where(F.col("count") > LEAF).collect()}
+    each = max(SAMPLE // max(len(counts), 1), LEAST_FIT)
+    nth = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("id"), "id"))
+    picked = classes.where(F.col("size").isin(list(counts))).select("size", "id").withColumn("nth", nth).where(F.col("nth") <= each) if counts else None
+    sample = classes.join(F.broadcast(picked.select("id")), "id").select("size", "id", "vec").toArrow().sort_by([("size", "ascending"), ("id", "ascending")]) if counts else None
+    forests = {}
+    for size, n in counts.items():
+        vecs = sample.filter(pc.equal(sample.column("size"), size)).column("vec").to_pylist()
+        forests[size] = fit_forest(_unit(vecs, size), n, least)
+    routed = table_of(classes.select("id", "size", "vec").mapInArrow(_routed(spark.sparkContext.broadcast(forests)), _ROUTED), "leaves")
+    done: list[DataFrame] = []
+    for _ in range(MOST_ROUNDS):
+        sizes = table_of(routed.groupBy("leaf").agg(F.count("*").alias("m"), F.max("tight").alias("tight")), "leaf-sizes")
+        large = sizes.where(f"m > {2 * LEAF} and not tight and m > {LEAST_FIT}").select("leaf", "m")
+        if large.isEmpty():
+            break
+        done.append(routed.join(large, "leaf", "left_anti"))
+        of = table_of(routed.drop("tight").join(large, "leaf"), "large-leaves")
+        own = of.where(F.pmod(F.xxhash64("id", "leaf"), F.lit(1 << 32)) / F.lit(float(1 << 32)) < F.lit(float(LEAF_SAMPLE)) / F.col("m"))
+        fitted = table_of(own.join(classes.select("id", "vec"), "id").groupBy("leaf").applyInPandas(_refitted(least), "leaf long, tree binary"), "leaf-splits")
+        parts = F.expr(f"cast((m + {PART - 1}) div {PART} as int)")
+        trees = fitted.join(large, "leaf").select("leaf", "tree", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        rows = of.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(classes.select("id", "vec"), "id")
+        routed = table_of(rows.join(trees, ["leaf", "part"]).select("leaf", "size", "id", "vec", "tree").mapInArrow(_rerouted, _ROUTED), "leaves")
+    done.append(routed)
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("leaf", "size", "id")
+
+
 def near_duplicate_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose length is not
-    the table's most frequent one (of equally frequent ones the greatest), links with nothing; so does a null id,
-    whose component is null; equal vectors are linked; repeated rows count as vectors of their own; other columns
-    are ignored; an empty table gives no rows.
+    Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing; so
+    does a null id, whose component is null; vectors of unlike lengths never link; equal vectors are linked; repeated
+    rows count as vectors of their own; other columns are ignored; an empty table gives no rows.
     """
-    spark = rows.sparkSession
     every = table_of(checked(rows, id_col, vector_col), "vectors")
-    usual = every.where("size > 0 and vec_id is not null").groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
-    size = usual["size"] if usual else 0
-    digest = ["digest_a", "digest_b"]
-    good = (F.col("size") == size) & (F.col("size") > 0) & F.col("vec_id").isNotNull()
-    classes = table_of(every.where(good).groupBy(*digest).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vector-classes")
-    n = classes.count()
-    if n:
-        sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
-        sent = spark.sparkContext.broadcast(fit_forest(_unit(sample.column("vec").to_pylist(), size), n, least=least))
-        routed = table_of(classes.select("id", "vec").mapInArrow(_routed(sent, size), "leaf long, id long, vec binary"), "leaves")
-        sizes = table_of(routed.groupBy("leaf").agg(F.count("*").alias("m")), "leaf-sizes")
-        blocks = F.expr(f"case when m > {2 * BLOCK} then (m + {BLOCK - 1}) div {BLOCK} else 1 end").cast("int")
-        placed = routed.join(sizes, "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = met.select("leaf", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id", "vec")
-        links = table_of(pairs.groupBy("leaf", "one", "other").applyInPandas(_compared(size, least), "a long, b long").distinct(), "vector-links")
-    else:
-        links = spark.createDataFrame([], "a long, b long")
+    good = (F.col("size") > 0) & F.col("vec_id").isNotNull()
+    # a class is known by half of its digest, as ids may repeat with unlike vectors
+    classes = every.where(good).groupBy("digest_a").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("vec").alias("vec"))
+    classes = table_of(classes.withColumnRenamed("digest_a", "id"), "vector-classes")
+    leaves = leaves_of(classes, least)
+    sizes = table_of(leaves.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1"), "leaf-sizes")
+    blocks = F.expr(f"case when m > {2 * BLOCK} then (m + {BLOCK - 1}) div {BLOCK} else 1 end").cast("int")
+    placed = leaves.join(sizes, "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    per_id = leaves.groupBy("id").agg(F.collect_list("leaf").alias("leaves"))  # a few for each tree
+    vectors = table_of(classes.select("id", "vec").join(per_id, "id"), "vector-leaves")
+    met = placed.join(vectors, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = met.select("leaf", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "size", "id", "vec", "leaves")
+    links = table_of(pairs.groupBy("leaf", "one", "other").applyInPandas(_compared(least), "a long, b long"), "vector-links")
     parts = components(links)
     copies = classes.select("id", "copies")
     both = links.select("a", "b").union(links.select("b", "a")).toDF("id", "to")
     linked = both.join(copies.toDF("to", "n"), "to").groupBy("id").agg(F.sum("n").alias("linked"))
-    per_class = table_of(classes.join(linked, "id", "left").join(parts, "id", "left").select(*digest, (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("part")), "class-links")
-    keyed = every.select("vec_id", *[F.when(good, F.col(c)).alias(c) for c in digest])
+    lowest = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
+    part_of = parts.join(lowest, "component").select("id", "part")
+    per_class = table_of(classes.join(linked, "id", "left").join(part_of, "id", "left").select(F.col("id").alias("digest_a"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("part", "lowest").alias("part")), "class-links")
+    keyed = every.select("vec_id", F.when(good, F.col("digest_a")).alias("digest_a"))
     part = F.when(F.col("vec_id").isNotNull(), F.coalesce("part", "vec_id"))
-    return keyed.join(per_class, digest, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec_id") == part, F.lit(True)).alias("kept"))
+    return keyed.join(per_class, "digest_a", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec_id") == part, F.lit(True)).alias("kept"))
 
 
 def op8_projection_forest(spark, sf_dir):

@@ -458,6 +458,27 @@ def test_forest_keeps_the_links_of_a_large_tight_group():
     assert met[linked].mean() >= 0.9
 
 
+def test_vectors_link_within_their_length_and_ids_may_repeat(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.0]), (5, [3.0, -1.0, 0.5]), (6, [0.0, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.01])]
+    got = [tuple(r) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("vec_id", "n_links").collect()]
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (6, 1, 6, True), (7, 1, 6, False)]
+
+
+@pytest.mark.parametrize("sample", [32_768, 512])  # splits of the first fit alone, then in rounds of their own
+def test_recall_near_the_threshold(spark, monkeypatch, sample):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 24)
+    dice = np.random.default_rng(8)
+    base = dice.normal(size=(4000, 32))
+    near = base[:3000] + dice.uniform(0.2, 0.34, size=(3000, 1)) * dice.normal(size=(3000, 32))  # cosines about 0.95 to 0.98
+    x = np.concatenate([base, near])
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and want.sum() > 3000 and found.sum() >= 0.97 * want.sum()
+
+
 # -- toxicity
 
 
