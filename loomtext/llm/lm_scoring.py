@@ -1,15 +1,17 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 Training counts every byte after every context of ORDER bytes, over all training texts; shorter contexts follow by
-summing. Contexts of 0 to 2 bytes are nodes of the trie in any case, longer ones if they make up at least
-2**-SHARE_BITS of all positions, so the trie's size has a bound that does not depend on the corpus. A symbol is
-predicted in the longest context that is a node; one that was not seen there escapes (method D: half a count of each
-symbol seen goes to the escape) to the next shorter context, where the symbols of the longer ones
-are excluded. The model is pretrained and static, so the probability of each symbol in each node is a table.
-
-The base score is that of single words. Their counts are joined to the documents' words: the words that make up at
-least 2**-SHARE_BITS of all tokens are looked up in a broadcast table (there are 2**SHARE_BITS at most), all others
-go through a shuffle.
+summing. Together they are the trie, level by level, as tables: every context that occurs is a node, however rare. A
+symbol is predicted in the longest context that is a node; one that was not seen there escapes (method D: half a count
+of each symbol seen goes to the escape) to the next shorter context, where the symbols of the longer ones are excluded.
+The model is pretrained and static, so a context and the byte after it (a gram) have one probability.
+
+Most positions of a text are grams that make up at least 2**-GRAM_BITS of all positions in training; they are looked up in a
+broadcast table (there are 2**GRAM_BITS at most). All others are counted by text and meet their probabilities in
+a join; for grams that training never saw these are found level by level, once for each distinct gram.
+
+The base score is that of single words. Likewise the words that make up at least 2**-SHARE_BITS of all tokens are
+looked up in a broadcast table, all others go through the same join.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import by_bytes, in_fold, read_table, table_of
 
 ORDER = 5
-SHARE_BITS = 19
+SHARE_BITS, GRAM_BITS = 19, 22
 _PAD = b"\0" * ORDER  # what stands before a text; a single one ends it
 #: Entries that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
+HELD_WORDS, HELD_GRAMS = 200_000, 1_000_000
+#: How the token of a gram begins in the join; no word holds a blank.
+_GRAM = b"  "
 
 
 def lowered(text: str | None) -> bytes:
@@ -46,127 +50,110 @@ def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return joined, places, firsts
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ORDER context bytes and the byte after them, with counts."""
-    joined, places, _ = flat(texts)
+def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The code of every position, ORDER context bytes and the byte after them, and where each text's positions begin."""
+    joined, places, firsts = flat(texts)
     code = np.zeros(len(places), np.int64)
     for k in range(ORDER, -1, -1):
         code = code << 8 | joined[places - k]
-    return np.unique(code, return_counts=True)
+    return code, firsts
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with counts."""
+    return np.unique(codes_of(texts)[0], return_counts=True)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def out(tokens, token_n, code, code_n) -> pa.RecordBatch:
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(at, np.concatenate([n for _, n in held]), minlength=len(codes)).astype(np.int64)
+
+    def out(words: dict, code: np.ndarray, code_n: np.ndarray) -> pa.RecordBatch:
         nothing = [None] * len(code)
-        return pa.RecordBatch.from_arrays([pa.array([*tokens, *nothing], pa.binary()), pa.array(np.concatenate([np.zeros(len(tokens), np.int64), code])), pa.array(np.concatenate([np.array(token_n, np.int64), code_n]))], names=["token", "code", "n"])
+        n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), code_n])
+        return pa.RecordBatch.from_arrays([pa.array([*words, *nothing], pa.binary()), pa.array(np.concatenate([np.zeros(len(words), np.int64), code])), pa.array(n)], names=["token", "code", "n"])
 
+    none = np.zeros(0, np.int64)
     for batch in by_bytes(batches, "text"):
         texts = [lowered(t) for t in batch.column("text").to_pylist()]
         for t in texts:
             words.update(t.split())
         words[b""] += len(texts)  # the ends
-        c, n = grams(texts)
-        codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
+        held.append(grams(texts))
+        if sum(len(c) for c, _ in held) > HELD_GRAMS:
+            held = [merged()]
+            if len(held[0][0]) > HELD_GRAMS // 2:
+                yield out({}, *held[0])
+                held = []
         if len(words) > HELD_WORDS:
-            yield out(list(words.keys()), list(words.values()), codes[:0], counts[:0])
+            yield out(words, none, none)
             words = Counter()
-    yield out(list(words.keys()), list(words.values()), codes, counts)
-
-
-class Trie:
-    """Tables of a PPM model: for each node the log10 probability of each symbol."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each order the codes (context bytes and symbol) of its nodes and their counts."""
-        symbols = np.unique(np.concatenate([c & 255 for c, _ in levels])) if len(levels[0][0]) else np.zeros(0, np.int64)
-        self.width = len(symbols) + 1  # the last column: any byte that was never seen
-        self.class_of = np.full(256, len(symbols), np.int32)
-        self.class_of[symbols] = np.arange(len(symbols))
-        w = self.width
-        contexts = [np.unique(c >> 8) for c, _ in levels]
-        offsets = np.cumsum([0, *map(len, contexts)])
-        total = int(offsets[-1])
-        if not len(contexts[0]):
-            contexts[0], total, offsets = np.zeros(1, np.int64), 1, np.array([0, 1, *[1] * ORDER])
-        counts = np.zeros((total, w), np.float64)
-        parent = np.zeros(total, np.int64)
-        order = np.zeros(total, np.int64)
-        for k, (codes, n) in enumerate(levels):
-            at = offsets[k] + np.searchsorted(contexts[k], codes >> 8)
-            np.add.at(counts, (at, self.class_of[codes & 255]), n)
-            mine = slice(offsets[k], offsets[k + 1])
-            order[mine] = k
-            if k:
-                shorter = contexts[k] & ((1 << 8 * (k - 1)) - 1)
-                parent[mine] = offsets[k - 1] + np.searchsorted(contexts[k - 1], shorter)
-        self.log = np.zeros((total, w), np.float32)
-        for at in range(0, total, 4096):
-            self.log[at : at + 4096] = self._rows(counts, parent, order, np.arange(at, min(at + 4096, total)))
-        self._index(contexts, offsets)
-
-    def _rows(self, counts, parent, order, nodes) -> np.ndarray:
-        out = np.zeros((len(nodes), self.width))
-        excluded = np.zeros((len(nodes), self.width), bool)
-        escape = np.zeros(len(nodes))
-        alive, at = np.ones(len(nodes), bool), nodes.copy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for _ in range(ORDER + 1):
-                c = counts[at] * ~excluded * alive[:, None]
-                kinds, total = (c > 0).sum(axis=1), c.sum(axis=1)
-                seen = c > 0
-                out = np.where(seen, escape[:, None] + np.log10((c - 0.5) / total[:, None]), out)
-                escape = np.where(kinds > 0, escape + np.log10(kinds / (2 * total)), escape)
-                excluded |= seen
-                alive = alive & (order[at] > 0)
-                at = parent[at]
-            rest = 256 - excluded.sum(axis=1)
-            return np.where(excluded, out, (escape - np.log10(np.maximum(rest, 1)))[:, None])
-
-    def _index(self, contexts, offsets) -> None:
-        """pair[a, b]: node of the context b before a, or of a shorter one; longer[node, c]: node of the context with c before it, or itself."""
-        w, total = self.width, int(offsets[-1])
-        self.longer = np.repeat(np.arange(total, dtype=np.int32)[:, None], w, axis=1)
-        for k in range(1, ORDER + 1):
-            c = contexts[k]
-            tail = offsets[k - 1] + np.searchsorted(contexts[k - 1], c & ((1 << 8 * (k - 1)) - 1))
-            self.longer[tail, self.class_of[c >> 8 * (k - 1)]] = offsets[k] + np.arange(len(c))
-        self.depth_starts = offsets
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        if not texts:
-            return np.zeros(0)
-        joined, places, firsts = flat(texts)
-        symbols = self.class_of[joined]
-        node = np.zeros(len(places), np.int32)
-        for k in range(1, ORDER + 1):
-            longer = self.longer[node, symbols[places - k]]
-            # a node of fewer than k - 1 bytes is final: only the next longer context may follow
-            node = np.where(node >= self.depth_starts[k - 1], longer, node)
-        return np.add.reduceat(self.log[node, symbols[places]].astype(np.float64), firsts)
+    yield out(words, *(merged() if held else (none, none)))
+
+
+class GramTable:
+    """log10 probabilities by code, looked up for many codes at once: open addressing, at most a quarter of the slots in use."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        bits = max(4, int(4 * max(len(codes), 1) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.logs = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        slot, left, self.probes = self._slots(codes), np.arange(len(codes)), 0
+        while len(left):
+            self.probes += 1
+            free = self.keys[slot[left]] < 0
+            self.keys[slot[left[free]]] = codes[left[free]]  # of several, the last stays
+            here = self.keys[slot[left]] == codes[left]
+            self.logs[slot[left[here]]] = logs[left[here]]
+            left = left[~here]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities, 0 where a code is not held, and the places of those."""
+        slot = self._slots(codes)
+        keys = self.keys[slot]
+        out = np.where(keys == codes, self.logs[slot], np.float32(0))
+        open_ = np.flatnonzero((keys != codes) & (keys >= 0))
+        missing = [np.flatnonzero(keys < 0)]
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at = (slot[open_] + 1) & self.mask
+            slot[open_] = at
+            keys = self.keys[at]
+            here = keys == codes[open_]
+            out[open_[here]] = self.logs[at[here]]
+            missing.append(open_[keys < 0])
+            open_ = open_[~here & (keys >= 0)]
+        return out, np.sort(np.concatenate([*missing, open_]))
 
 
 class Model:
-    """The trie's levels and the common words with their counts; the trie's tables are made where they are used."""
+    """The common grams with their log10 probabilities and the common words with their counts."""
 
-    def __init__(self, levels, common: dict[bytes, int]):
-        self.levels, self.common, self._trie = levels, common, None
+    def __init__(self, codes: np.ndarray, logs: np.ndarray, common: dict[bytes, int]):
+        self.codes, self.logs, self.common, self._table = codes, logs, common, None
 
-    def trie(self) -> Trie:
-        if self._trie is None:
-            self._trie = Trie(self.levels)
-        return self._trie
+    def table(self) -> GramTable:
+        if self._table is None:
+            self._table = GramTable(self.codes, self.logs)
+        return self._table
 
     def __getstate__(self):
-        return {"levels": self.levels, "common": self.common, "_trie": None}
+        return self.__dict__ | {"_table": None}
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """The model, the table of words (token, c), and the sums N and V, from all rows of texts (text)."""
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, int, int]:
+    """The model, the tables of words (token, c) and of grams (code, n, logp), and the sums N and V, from all rows of texts (text)."""
     counted = table_of(texts.select("text").mapInArrow(_counts, "token binary, code long, n long").groupBy("token", "code").agg(F.sum("n").alias("n")), "lm-counts")
     words = counted.where("token is not null and n > 0").select("token", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -174,15 +161,37 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
     # the end is a word of its own; it is looked up like a common one however rare it is
     ends = words.where(F.col("token") == F.lit(b"")).collect()
     coded = counted.where("token is null").select("code", "n")
-    positions = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
-    for k in range(ORDER + 1):
-        level = coded.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
-        if k > 2:
-            level = level.withColumn("all", F.sum("n").over(Window.partitionBy(F.shiftright("code", 8)))).where(F.col("all") * (1 << SHARE_BITS) >= positions)
-        got = level.select("code", "n").toArrow()  # at most 2**SHARE_BITS contexts
-        levels.append((got.column("code").to_numpy(), got.column("n").to_numpy()))
-    return Model(levels, {bytes(r.token): r.c for r in [*common, *ends]}), words, int(total), int(distinct)
+    all_after = F.sum("n").over(Window.partitionBy(F.shiftright("code", 8)))
+    seen = table_of(coded.withColumn("logp", F.log10((F.col("n") - 0.5) / all_after)), "lm-grams")
+    positions = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = seen.where(F.col("n") * F.lit(1 << GRAM_BITS) >= positions).select("code", F.col("logp").cast("float").alias("logp")).toArrow()  # at most 2**GRAM_BITS
+    return Model(got.column("code").to_numpy(), got.column("logp").to_numpy(), {bytes(r.token): r.c for r in [*common, *ends]}), words, seen, int(total), int(distinct)
+
+
+def unseen_grams(asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """code, logp of distinct codes that training never saw, by escapes from level to level. seen: code, n.
+
+    The symbols of a context are among those of each shorter one, so what a level excludes are the symbols of the last
+    context that was a node. Contexts that are asked for join level by level; those of one byte at most are broadcast.
+    """
+    left = table_of(asked.select("code", F.lit(0.0).alias("escape"), F.array().cast("array<int>").alias("known"), F.lit(None).cast("double").alias("logp")), "lm-unseen")
+    for k in range(ORDER, -1, -1):
+        context, symbol = F.shiftright(F.col("code") % F.lit(1 << 8 * (k + 1)), 8), (F.col("code") % 256).cast("int")
+        keyed = left.withColumn("context", context).withColumn("symbol", symbol)
+        level = seen.select(context.alias("context"), symbol.alias("s"), "n")
+        if k > 1:
+            level = level.join(keyed.where("logp is null").select("context").distinct(), "context", "left_semi")
+        nodes = level.groupBy("context", "s").agg(F.sum("n").alias("n")).groupBy("context").agg(F.collect_list(F.struct("s", "n")).alias("after"))
+        met = keyed.join(nodes if k > 1 else F.broadcast(nodes), "context", "left")  # 256 contexts of 256 symbols at most
+        new = F.filter("after", lambda x: ~F.array_contains("known", x["s"]))
+        total = F.aggregate("new", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        mine = F.filter("new", lambda x: x["s"] == F.col("symbol"))
+        met = met.withColumn("new", F.coalesce(new, F.array().cast("array<struct<s:int,n:bigint>>"))).withColumn("total", total.cast("double")).withColumn("mine", mine)
+        logp = F.when(F.col("logp").isNull() & (F.size("mine") > 0), F.col("escape") + F.log10((F.col("mine")[0]["n"] - 0.5) / F.col("total"))).otherwise(F.col("logp"))
+        escape = F.when(F.size("new") > 0, F.col("escape") + F.log10(F.size("new") / (2 * F.col("total")))).otherwise(F.col("escape"))
+        known = F.when(F.col("after").isNotNull(), F.transform("after", lambda x: x["s"])).otherwise(F.col("known"))
+        left = table_of(met.select("code", escape.alias("escape"), known.alias("known"), logp.alias("logp")), "lm-unseen")
+    return left.select("code", F.coalesce("logp", F.col("escape") - F.log10(F.greatest(256 - F.size("known"), F.lit(1)))).alias("logp"))
 
 
 _ROWS = "row long, token binary, n long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double"
@@ -191,36 +200,43 @@ _ROWS = "row long, token binary, n long, doc_id long, held_out boolean, n_tokens
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        trie, common = model.trie(), model.common
+        table, common = model.table(), model.common
         row = TaskContext.get().partitionId() << 36
         for batch in by_bytes(batches, "text", 1 << 20):
             texts = [lowered(t) for t in batch.column("text").to_pylist()]
-            scores = trie.score(texts)
-            out: list[list] = [[] for _ in range(9)]
-            rows, tokens, ns, ids, folds, sizes, known, logs, sc = out
-            for t, s, doc_id, fold in zip(texts, scores.tolist(), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+            codes, firsts = codes_of(texts)
+            found, missing = table.look_up(codes)
+            sums = np.add.reduceat(found.astype(np.float64), firsts)
+            owner = np.searchsorted(firsts, missing, side="right") - 1
+            order = np.lexsort((codes[missing], owner))
+            code, owner = codes[missing][order], owner[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, np.int64)
+            gram_n, code, owner = np.diff(np.r_[first, len(code)]), code[first], owner[first]
+            grams = [_GRAM + c[2:] for c in np.frombuffer(code.astype(">i8").tobytes(), "V8").tolist()]
+            rows, tokens, ns, sizes, known, logs = [], [], [], [], [], []
+            for k, t in enumerate(texts):
                 counts = Counter(t.split())
                 counts[b""] = 1
-                n_known, log, rare = 0, 0.0, []
+                n_known, log = 0, 0.0
                 for w, n in counts.items():
                     if (c := common.get(w)) is None:
-                        rare.append((w, n))
+                        rows.append(row + k)
+                        tokens.append(w)
+                        ns.append(n)
                     else:
                         n_known += n
                         log += n * np.log10(c + 1)
-                own = len(rare) + 1
-                rows += [row] * own
-                tokens += [b" %d" % row, *[w for w, _ in rare]]  # no word has a blank: the first row is the document's own
-                ns += [0, *[n for _, n in rare]]
-                ids += [doc_id] + [None] * len(rare)
-                folds += [fold] + [None] * len(rare)
-                sizes += [counts.total()] + [None] * len(rare)
-                known += [n_known] + [None] * len(rare)
-                logs += [log] + [None] * len(rare)
-                sc += [s] + [None] * len(rare)
-                row += 1
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "token", "n", "doc_id", "held_out", "n_tokens", "known", "logs", "score"])
+                sizes.append(counts.total())
+                known.append(n_known)
+                logs.append(log)
+            m, own = len(tokens) + len(grams), len(texts)
+            pad = lambda column, kind: pa.concat_arrays([column.cast(kind), pa.nulls(m, kind)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([row + np.arange(own), np.array(rows, np.int64), row + owner])), pa.array([None] * own + tokens + grams, pa.binary()),
+                pa.array(np.concatenate([np.zeros(own, np.int64), np.array(ns, np.int64), gram_n])), pad(batch.column("doc_id"), pa.int64()), pad(batch.column("held_out"), pa.bool_()),
+                pad(pa.array(sizes), pa.int64()), pad(pa.array(known), pa.int64()), pad(pa.array(logs, pa.float64()), pa.float64()), pad(pa.array(sums), pa.float64()),
+            ], names=["row", "token", "n", "doc_id", "held_out", "n_tokens", "known", "logs", "score"])
+            row += own
 
     return run
 
@@ -232,18 +248,27 @@ def score_documents(docs: DataFrame, training: DataFrame, held_out) -> DataFrame
     Defined cases: a null or empty text is the end alone; without training texts the model is uniform over bytes, no
     token is known and base_score is 0; repeated rows get a row each; other columns are ignored.
     """
-    model, words, total, distinct = train(training)
+    model, words, seen, total, distinct = train(training)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out")).mapInArrow(_scored(sent), _ROWS)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out")).mapInArrow(_scored(sent), _ROWS)
+    found = table_of(found, "lm-rows")
+    own, rest = found.where("token is null"), found.where("token is not null").select("row", "token", "n")
+    is_gram = F.substring("token", 1, 2) == F.lit(_GRAM)
+    code_of = F.conv(F.hex(F.substring("token", 3, ORDER + 1)), 16, 10).cast("long")
+    token_of = F.concat(F.lit(_GRAM), F.unhex(F.lpad(F.hex("code"), 2 * (ORDER + 1), "0")))
+    asked = table_of(rest.where(is_gram).select("token").distinct().select(code_of.alias("code")), "lm-asked")
+    known = seen.join(asked, "code").select("code", "logp")
+    new = unseen_grams(asked.join(seen, "code", "left_anti"), seen)
     rare = words.where(F.col("c") * (1 << SHARE_BITS) < total) if total else words
-    c = F.coalesce("c", F.lit(0))
-    summed = rows.join(rare, "token", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        (F.max("logs") + F.sum(F.col("n") * F.log10(c + 1))).alias("logs"), F.max("score").alias("score"),
+    values = rare.select("token", F.log10(F.col("c") + 1).alias("value")).unionByName(known.unionByName(new).select(token_of.alias("token"), F.col("logp").alias("value")))
+    part = lambda which, x: F.sum(F.when(which, x).otherwise(0))
+    summed = rest.join(values, "token", "left").where("value is not null").groupBy("row").agg(
+        part(~is_gram, F.col("n")).alias("more_known"), part(~is_gram, F.col("n") * F.col("value")).alias("more_logs"), part(is_gram, F.col("n") * F.col("value")).alias("more_score"),
     )
     floor = float(np.log10(total + distinct + 1))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    base = F.col("logs") + zero("more_logs") - F.col("n_tokens") * F.lit(floor)
+    return own.join(summed, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
 
 
 def op4_ppm(spark, sf_dir):

@@ -245,7 +245,9 @@ def test_walk_is_the_embedding():
 # -- language-model scoring
 
 
-def test_ppm_sums_to_one_and_follows_the_definition():
+@pytest.mark.parametrize("bits", [22, 3, 0])  # all grams of training in the broadcast table, few of them, none but a lone one
+def test_ppm_follows_the_definition(spark, monkeypatch, bits):
+    monkeypatch.setattr(lm_scoring, "GRAM_BITS", bits)
     texts = [b"abracadabra", b"abrakadabra", b"banana"]
     joined = Counter()
     for t in texts:
@@ -253,14 +255,6 @@ def test_ppm_sums_to_one_and_follows_the_definition():
         for i in range(len(lm_scoring._PAD), len(s)):
             for k in range(lm_scoring.ORDER + 1):
                 joined[s[i - k : i + 1]] += 1
-    levels = []
-    for k in range(lm_scoring.ORDER + 1):
-        items = sorted((int.from_bytes(g, "big"), n) for g, n in joined.items() if len(g) == k + 1)
-        levels.append((np.array([c for c, _ in items]), np.array([n for _, n in items])))
-    trie = lm_scoring.Trie(levels)
-    seen = trie.width - 1
-    for row in trie.log:
-        assert abs(sum(10 ** row[:seen].astype(float)) + (256 - seen) * 10 ** float(row[seen]) - 1) < 1e-4
 
     def prob(context, symbol):
         out, excluded = 0.0, set()
@@ -276,10 +270,23 @@ def test_ppm_sums_to_one_and_follows_the_definition():
             excluded |= set(after)
         return out - math.log10(256 - len(excluded))
 
-    for t in [b"abracadabra", b"bandana", b"xyz", b""]:
-        s = lm_scoring._PAD + t + b"\0"
+    assert abs(sum(10 ** prob(b"\0\0abr", x) for x in range(256)) - 1) < 1e-9
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate([*texts, b"bandana", b"xyz", b"", b"Abrabandacad zz"])], "doc_id long, text string")
+    got = lm_scoring.score_documents(docs, docs.where("doc_id < 3"), F.lit(False)).collect()
+    text = dict(docs.collect())
+    assert len(got) == 7
+    for r in got:
+        s = lm_scoring._PAD + text[r.doc_id].lower().encode() + b"\0"
         want = sum(prob(s[:i], s[i]) for i in range(len(lm_scoring._PAD), len(s)))
-        assert abs(trie.score([t])[0] - want) < 1e-3
+        assert abs(r.score - want) < 1e-4
+
+
+def test_gram_table():
+    dice = np.random.default_rng(2)
+    codes = np.unique(dice.integers(0, 1 << 48, 5000))
+    table = lm_scoring.GramTable(codes[::2], np.arange(len(codes[::2])).astype(np.float32))
+    found, missing = table.look_up(codes)
+    assert missing.tolist() == list(range(1, len(codes), 2)) and found[::2].tolist() == list(range(len(codes[::2])))
 
 
 def test_base_score(spark):
