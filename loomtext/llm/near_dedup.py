@@ -30,6 +30,8 @@ BANDS, BAND_WIDTH = 32, 6
 MARGIN = 0.07
 #: Classes in a block of the residual comparison, about.
 BLOCK = 64
+#: Shingles of the sets that meet one copy of a hub's set, about.
+PART = 4_000_000
 
 _A = np.array([xxhash.xxh32_intdigest(b"a%d" % i) | 1 for i in range(REGISTERS)], np.uint32)[:, None]
 _B = np.array([xxhash.xxh32_intdigest(b"b%d" % i) for i in range(REGISTERS)], np.uint32)[:, None]
@@ -103,22 +105,21 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest_a, digest_b, registers (null for an empty set) of every row."""
+    """doc_id, n_shingles, digest_a (64 bits), registers (null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler(words)
         for batch in by_bytes(batches, "text"):
-            n, a, b, regs = [], [], [], []
+            n, a, regs = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles_of(text)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 a.append(int.from_bytes(d[:8], "little", signed=True))
-                b.append(int.from_bytes(d[8:], "little", signed=True))
                 regs.append(registers_of(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest_a", "digest_b", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest_a", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, digest_b long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,21 +170,29 @@ def _blocks_compared(least: float):
     return run
 
 
-def _confirmed(words: int, percent: int):
+def _sets(words: int):
+    """id (half of the digest) and the set of each text, as sorted hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of, sets = Shingler(words), {}
-
-        def of(key: int, text: str) -> np.ndarray:
-            if (s := sets.get(key)) is None:
-                if len(sets) >= 256:
-                    sets.clear()
-                s = sets[key] = shingles_of(text)
-            return s
-
-        for batch in by_bytes(batches, "text_a", 8 << 20):
-            keep = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                x, y = of(a, ta), of(b, tb)
+        shingles_of = Shingler(words)
+        for batch in by_bytes(batches, "text"):
+            sets = [shingles_of(t) for t in batch.column("text").to_pylist()]
+            ids = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Pairs that hold on the full sets; rows come sorted by b, so its set is at hand. Nothing else is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "set_a", 8 << 20):
+            keep, at, y = [], None, None
+            for k, b in enumerate(batch.column("b").to_pylist()):
+                if b != at:
+                    at, y = b, np.frombuffer(batch.column("set_b")[k].as_buffer(), np.uint64)
+                x = np.frombuffer(batch.column("set_a")[k].as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -198,14 +207,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     (a shorter text's whole words are one shingle; A-Z in lower case). component_id is the smallest id reachable
     by links, kept marks it.
     Defined cases: a text that is null or without words has an empty set and is linked with nothing; a null id has
-    no component and is kept; repeated rows are one node and get a row each; other columns are ignored.
+    no component and is kept; equal sets are one node, whatever their rows' ids, and each row gets a row; rows that
+    repeat an id with unlike texts are nodes of their own; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = percent / 100 - MARGIN
     sigs = table_of(signatures(docs, words), "signatures")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    digest = ["digest_a", "digest_b"]
-    classes = table_of(full.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers")), "classes")
+    # a node is known by half of its digest; lowest is the smallest id of its rows
+    classes = full.groupBy("digest_a").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = table_of(classes.withColumnRenamed("digest_a", "id"), "classes")
     bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, band int, id long"), "bands")
     hubs = table_of(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
     shared = table_of(bands.join(hubs, "key"), "shared")
@@ -217,11 +228,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.where("doc_id is not null")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that hold on the full sets, as a written table."""
+        """pairs (a, b) that hold on the full sets, as a written table. The set of b meets those of all its pairs, in parts of PART shingles."""
         pairs = table_of(pairs, "pairs")
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return table_of(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words, percent), "a long, b long"), "confirmed")
+        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "lowest", "n"), "id")
+        nodes = table_of(nodes, "nodes")
+        sets = docs_of(texts, nodes).mapInArrow(_sets(words), "id long, shingles binary").join(nodes.select("id"), "id").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = table_of(sets, "sets")
+        load = pairs.join(nodes.select(F.col("id").alias("a"), "n"), "a").groupBy("b").agg(F.expr(f"cast((sum(n) + {PART - 1}) div {PART} as int)").alias("parts"))
+        load = table_of(load, "loads")
+        left = pairs.join(load, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).drop("parts").join(sets.toDF("a", "set_a"), "a")
+        right = load.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part")).join(sets.toDF("b", "set_b"), "b")
+        met = left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "set_a", "set_b")
+        return table_of(met.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
     likely = to_hub.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(_estimated(least), "a long, b long")
     links = linked(likely)
@@ -252,12 +270,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = linked(rest)
     parts = components(links.union(more)) if not more.isEmpty() else parts
 
-    class_part = table_of(classes.join(parts, "id", "left").select(*digest, F.coalesce("component", "id").alias("part")), "class-parts")
-    joined = sigs.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in digest]).join(class_part, digest, "left")
+    named = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
+    class_part = classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select(F.col("id").alias("digest_a"), F.coalesce("part", "lowest").alias("part"))
+    class_part = table_of(class_part, "class-parts")
+    joined = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest_a")).alias("digest_a")).join(class_part, "digest_a", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
     return joined.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 
 
+def docs_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each node and of what else has its lowest id."""
+    return texts.join(nodes.select(F.col("lowest").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+
+
 def likely_pairs(to_hub: DataFrame) -> DataFrame:
     """Pairs compared with their bucket's hub before, larger id first."""
     return to_hub.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -347,6 +347,13 @@ def test_near_duplicates_with_a_large_group_of_near_copies(spark):
     assert got == brute_components(texts, 3, 85)
 
 
+def test_ids_that_repeat_with_unlike_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (3, b + " c"), (3, b + " c"), (None, a), (5, None)]
+    got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).orderBy("doc_id", "n_shingles").collect()]
+    assert got == [(None, 38, None, True), (1, 38, 1, True), (1, 38, 1, True), (2, 38, 1, False), (3, 39, 1, False), (3, 39, 1, False), (5, 0, 5, True)]
+
+
 def test_register_estimates():
     dice = np.random.default_rng(1)
     pool = dice.integers(0, 2**63, 3000).astype(np.uint64)
