@@ -1,10 +1,11 @@
 """Packing of tokenized documents into sequences by a grouping genetic algorithm.
 
-Pieces of documents are dealt to islands of bounded size. On an island a few demes of packings evolve: crossover
-injects whole well-filled bins of one parent into the other, bins that hold an injected piece twice are removed
-and the displaced pieces go where they fit best; the best packing of a deme migrates to the next. Then the
-well-filled bins of an island's best packing stay, and the pieces of its other bins migrate to new islands, round
-after round. Only lengths and places travel, never texts or ids.
+Pieces of documents are dealt to districts of bounded size. A district's pieces are packed by several islands at once,
+each a task with a population of packings of its own: two parents are drawn by tournament, crossover
+injects whole well-filled bins of one into the other, bins that hold an injected piece twice are removed
+and the displaced pieces go where they fit best. After each epoch an island's best packing, its elite, migrates to
+the district's other islands through a table. Then the well-filled bins of the district's best packing stay, and the pieces
+of its other bins go to new districts, round after round. Only lengths and places travel, never texts or ids.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, read_table, table_of
 
 CAPACITY = 2048
-ISLAND_PIECES = 4096
-ROUNDS, DEMES, DEME_SIZE, GENERATIONS = 3, 2, 2, 4
+DISTRICT_PIECES = 4096
+ROUNDS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 2, 6, 12
 #: Share of the capacity from which a bin counts as well filled.
 WELL_FILLED = 0.998
 
@@ -71,11 +73,11 @@ _encoders: dict[str, ByteBpe] = {}
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and salt (the row's place in its batch)."""
+    """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and salt (the row's place in its partition and the partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ByteBpe(tokenizer))
-        end, salt = np.array([end_id], "<u4"), 0
+        end, salt = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in by_bytes(batches, "text"):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -128,54 +130,82 @@ def crossover(one: Packing, other: Packing, sizes: list[int], capacity: int, dic
     return best_fit(kept + [list(b) for b in injected], displaced, sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0) -> Packing:
-    """The best packing after GENERATIONS; ends at once if a packing meets the bound given by the total size."""
+def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, elites: list[Packing] | None = None) -> Packing:
+    """The best packing after GENERATIONS, from the elites given, best fit by falling size and best fits of disturbed orders.
+
+    A packing that meets the bound given by the total size is the best there is, so it ends the search at once.
+    """
     dice, least = random.Random(seed), -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     rank = lambda p: fitness(p, sizes, capacity)
-    first = best_fit([], order, sizes, capacity)
-    if len(first) <= least:
-        return first
-    demes = []
-    for d in range(DEMES):
-        deme = [first] if d == 0 else []
-        while len(deme) < DEME_SIZE:
-            noisy = sorted(order, key=lambda i: -sizes[i] * (1 + 0.3 * dice.random()))
-            deme.append(best_fit([], noisy, sizes, capacity))
-        demes.append(deme)
+    population = [[list(b) for b in p] for p in elites or []] or [best_fit([], order, sizes, capacity)]
+    while len(population) < POPULATION and len(population[0]) > least:
+        noisy = sorted(order, key=lambda i: -sizes[i] * (1 + 0.3 * dice.random()))
+        population.append(best_fit([], noisy, sizes, capacity))
+    population.sort(key=rank, reverse=True)
     for _ in range(GENERATIONS):
-        for deme in demes:
-            one, other = dice.sample(deme, 2)
-            deme.append(crossover(one, other, sizes, capacity, dice))
-            deme.sort(key=rank, reverse=True)
-            del deme[DEME_SIZE:]
-        elite = [deme[0] for deme in demes]
-        for d, deme in enumerate(demes):
-            deme[-1] = elite[d - 1]
-        if any(len(p) <= least for p in elite):
+        if len(population[0]) <= least:
             break
-    return max((p for deme in demes for p in deme), key=rank)
+        drawn = [min(dice.sample(range(len(population)), 2)) for _ in range(2)]  # the better of two
+        if drawn[0] == drawn[1]:
+            drawn[1] = (drawn[0] + 1 + dice.randrange(len(population) - 1)) % len(population)
+        child = crossover(population[drawn[0]], population[drawn[1]], sizes, capacity, dice)
+        if all(rank(child) != rank(p) for p in population):  # the same packing twice is no population
+            population[-1] = child
+            population.sort(key=rank, reverse=True)
+    return population[0]
+
 
+_BASE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, district long"
 
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, island long, bin long, offset long, filled boolean"
 
+def _epoch(capacity: int):
+    """An island's epoch: rows of a district with the elites' bins; gives them back with this island's own bin."""
 
-def _island(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "salt"], ascending=[False, True, True, True], ignore_index=True)
-        sizes = rows["length"].tolist()
-        bins = np.zeros(len(rows), np.int64)
-        offsets, filled = bins.copy(), np.zeros(len(rows), bool)
-        for k, members in enumerate(evolve(sizes, capacity, int(rows["island"][0]))):
-            at = 0
-            for i in members:
-                bins[i], offsets[i], at = k, at, at + sizes[i]
-            filled[members] = at >= WELL_FILLED * capacity
-        return rows.assign(bin=bins, offset=offsets, filled=filled)
+        elites = []
+        for k in range(len(rows["elites"][0])):
+            bins: dict[int, list[int]] = {}
+            for i, b in enumerate(rows["elites"]):
+                bins.setdefault(b[k], []).append(i)
+            elites.append(list(bins.values()))
+        sizes, mine = rows["length"].tolist(), np.zeros(len(rows), np.int64)
+        best = evolve(sizes, capacity, int(rows["district"][0]) * ISLANDS + int(rows["island"][0]), elites)
+        for k, members in enumerate(best):
+            mine[members] = k
+        bins_, squares = fitness(best, sizes, capacity)
+        return rows.drop(columns="elites").assign(bin=mine, bins=-bins_, squares=squares)
 
     return run
 
 
+def _places(capacity: int):
+    """Offsets in the bins of a district's best packing, and which bins are well filled."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bin", "length", "doc_id", "piece", "salt"], ascending=[True, False, True, True, True], ignore_index=True)
+        ends = rows.groupby("bin")["length"].cumsum()
+        total = rows.groupby("bin")["length"].transform("sum")
+        return rows.assign(offset=ends - rows["length"], filled=total >= WELL_FILLED * capacity)
+
+    return run
+
+
+def packed_districts(pieces: DataFrame, capacity: int) -> DataFrame:
+    """pieces with district: adds bin, offset and filled by the best packing that the district's islands found."""
+    names = [c.split()[0] for c in _BASE.split(", ")]
+    current = pieces.select(*names, F.array().cast("array<long>").alias("elites"))
+    schema = f"{_BASE}, island int, bin long, bins long, squares double"
+    for epoch in range(EPOCHS):
+        on_islands = current.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+        found = table_of(on_islands.groupBy("district", "island").applyInPandas(_epoch(capacity), schema), f"epoch-{epoch}")
+        by_rank = F.transform(F.array_sort(F.collect_list(F.struct("bins", (-F.col("squares")).alias("s"), "island", "bin"))), lambda x: x["bin"])
+        current = found.groupBy(*names).agg(by_rank.alias("elites"))  # a piece's bin in each elite, the best first
+    best = current.select(*names, F.col("elites")[0].alias("bin"))
+    return best.groupBy("district").applyInPandas(_places(capacity), f"{_BASE}, bin long, offset long, filled boolean")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -187,12 +217,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     done = [whole.select(*pieces.columns[:5], (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = pieces.where(F.col("length") < capacity)
     for k in range(ROUNDS):
-        islands = max(1, -(-rest.count() // ISLAND_PIECES))
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "salt", F.lit(k)), F.lit(islands)))
-        placed = table_of(dealt.groupBy("island").applyInPandas(_island(capacity), _PLACED), f"packed-{k}")
+        districts = max(1, -(-rest.count() // DISTRICT_PIECES))
+        dealt = rest.withColumn("district", F.pmod(F.xxhash64("doc_id", "piece", "salt", F.lit(k)), F.lit(districts)))
+        placed = table_of(packed_districts(dealt, capacity), f"packed-{k}")
         last = k == ROUNDS - 1
         stays = placed if last else placed.where("filled")
-        done.append(stays.select(*pieces.columns[:5], (F.lit(k << 56) + F.col("island") * (1 << 16) + F.col("bin")).alias("sequence_id"), "offset"))
+        done.append(stays.select(*pieces.columns[:5], (F.lit(k << 56) + F.col("district") * (1 << 16) + F.col("bin")).alias("sequence_id"), "offset"))
         rest = placed.where("not filled").select(*pieces.columns)
     out = done[0]
     for more in done[1:]:
