@@ -20,6 +20,8 @@ from .common import by_bytes, carried, in_fold, read_table
 #: The bound of the sample: so many labelled documents of a language, lowest hash first, and so many of their characters.
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 24_000
+#: So many times its share of the characters a document may give where others are short.
+SHARES = 8
 #: Text is parsed in stretches of so many characters; a stretch's first piece starts anew.
 STRETCH = 256
 #: How sharply the shares of the piece rates are turned into a score.
@@ -78,40 +80,54 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-class CrossParser:
-    """The automata of all languages in one table of transitions.
+class Transitions:
+    """The transitions of all automata by state and character, in open addressing: memory in proportion to the samples, whatever their alphabets."""
+
+    def __init__(self, states: np.ndarray, chars: np.ndarray, to: np.ndarray):
+        keys = states.astype(np.int64) << 21 | chars
+        bits = max(4, int(4 * max(len(keys), 1) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several, the last stays
+            here = self.keys[slot[left]] == keys[left]
+            self.to[slot[left[here]]] = to[left[here]]
+            left = left[~here]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def follow(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is no transition."""
+        keys = states.astype(np.int64) << 21 | chars
+        slot = self._slots(keys)
+        held = self.keys[slot]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            held = self.keys[slot[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return np.where(self.keys[slot] == keys, self.to[slot], -1)
 
-    A cell is the next state; where the automaton has no such transition, the cell is the state that the character
-    leads to from the start and carries the mark of a piece's end.
-    """
 
-    END = np.int32(1 << 30)
+class CrossParser:
+    """The automata of all languages; where one has no transition, a piece ends and the next one begins with the character."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        texts = {k: simplified(v) for k, v in samples.items()}
-        self.alphabet = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]))
-        width = len(self.alphabet) + 1  # the last class: characters that no sample has
-        self.class_of = np.full(0x110000, width - 1, np.int32)
-        self.class_of[self.alphabet] = np.arange(width - 1)
-        tables, self.starts, base = [], [], 0
+        states, chars, to, self.starts, base = [], [], [], [], 0
         for lang in self.langs:
-            moves = suffix_automaton(np.searchsorted(self.alphabet, texts[lang]).tolist())
-            lost = base + len(moves) * width  # after a character that the sample lacks: a piece of its own
-            table = np.full((len(moves) + 1, width), -1, np.int32)
-            for s, to in enumerate(moves):
-                for c, q in to.items():
-                    table[s, c] = base + q * width
-            first = np.where(table[0] >= 0, table[0], lost)
-            table[1:] = np.where(table[1:] >= 0, table[1:], first | self.END)
-            table[0] = first
-            tables.append(table.ravel())
-            self.starts.append(base)
-            base += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def classes(self, codes: np.ndarray) -> np.ndarray:
-        return self.class_of[codes]
+            moves = suffix_automaton(simplified(samples[lang]).tolist())
+            for s, out in enumerate(moves):
+                states += [base + s] * len(out)
+                chars += out.keys()
+                to += [base + q for q in out.values()]
+            self.starts.append((base, base + len(moves)))  # the second: after a character that the sample lacks, a piece of its own
+            base += len(moves) + 1
+        self.table = Transitions(np.array(states, np.int64), np.array(chars, np.int64), np.array(to, np.int32))
 
     def pieces(self, texts: list[np.ndarray]) -> np.ndarray:
         """Pieces for each text and language."""
@@ -124,34 +140,53 @@ class CrossParser:
         size = np.minimum(np.repeat(lengths, stretches) - nth * STRETCH, STRETCH)
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order], size[order]
-        flat = self.classes(np.concatenate(texts)) if len(texts) else np.zeros(0, np.int32)
+        flat = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")  # how many stretches are longer than t
         found = np.zeros((len(texts), len(self.langs)), np.int64)
-        for k, start in enumerate(self.starts):
+        for k, (start, lost) in enumerate(self.starts):
             state = np.full(len(owner), start, np.int32)
             ends = np.ones(len(owner), np.int32)  # the piece under way at the end
             for t in range(STRETCH):
                 n = alive[t]
                 if not n:
                     break
-                to = self.table[state[:n] + flat[begin[:n] + t]]
-                ends[:n] += to >> 30
-                state[:n] = to & (self.END - 1)
+                c = flat[begin[:n] + t]
+                to = self.table.follow(state[:n], c)
+                none = np.flatnonzero(to < 0)
+                if len(none):  # a piece ends before this character, but for the first of a stretch
+                    ends[none] += state[none] != start
+                    to[none] = self.table.follow(np.full(len(none), start), c[none])
+                    to[to < 0] = lost
+                state[:n] = to
             found[:, k] = np.bincount(owner, ends, minlength=len(texts))
         return found
 
 
 def sample_texts(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A bounded sample of each language: the documents whose id has the lowest hash."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    lowest = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_lang)
-    picked = [r.doc_id for r in lowest.select("doc_id").collect()]
-    rows = docs.where(F.col("doc_id").isin(picked)).select("lang", "text", F.xxhash64("doc_id").alias("h")).collect() if picked else []
-    texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang or "", r.h, r.text or "")):
-        if r.lang is not None and len(texts.get(r.lang, "")) < chars:
-            texts[r.lang] = f"{texts.get(r.lang, '')}{r.text or ''} "
-    return {k: v[:chars] for k, v in texts.items() if _letters(simplified(v)).any()}
+    """A bounded sample of each language: a stretch of chars / per_lang characters of each of per_lang documents.
+
+    The documents are those with letters whose id has the lowest hash; rows that repeat an id count as one. A stretch begins
+    at a hashed place and is cut before it leaves Spark. Where texts are short or few, more of each is taken,
+    up to SHARES times its share, until the language has its characters.
+    """
+    share = chars // per_lang
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    once = rows.groupBy("lang", "doc_id", "h").agg(F.min("t").alias("t"))
+    picked = once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_lang).select("lang", "doc_id", "r", "t")
+    spare = F.greatest(F.length("text") - SHARES * share, F.lit(0)) + 1
+    cut = F.substring("text", (F.pmod(F.col("t"), spare.cast("long")) + 1).cast("int"), F.lit(SHARES * share))
+    texts = docs.select("doc_id", "lang", F.xxhash64("text").alias("t"), "text").join(F.broadcast(picked), ["doc_id", "lang", "t"])  # per_lang rows a language
+    got = texts.select("lang", "r", cut.alias("part")).distinct().collect()
+    found: dict[str, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r.lang, r.r, r.part)):
+        found.setdefault(r.lang, []).append(r.part)
+    out = {}
+    for lang, parts in found.items():
+        size = share
+        while size < SHARES * share and sum(min(len(p), size) for p in parts) < chars:
+            size += share
+        out[lang] = " ".join(p[:size] for p in parts)[:chars]
+    return out
 
 
 _parsers: dict[int, CrossParser] = {}

@@ -208,6 +208,20 @@ def test_language_against_plain_parse():
         assert parser.pieces([codes])[0].tolist() == [pieces(text, samples[k]) for k in parser.langs]
 
 
+def test_large_alphabets_take_memory_by_the_sample():
+    samples = {"a": "".join(map(chr, range(0x4E00, 0x4E00 + 6000))), "b": "".join(map(chr, range(0x6800, 0x6800 + 6000)))}
+    parser = language_id.CrossParser(samples)
+    assert len(parser.table.keys) <= 1 << 18
+    found = parser.pieces([language_id.simplified(samples["b"][3000:3100] + samples["b"][:50]), language_id.simplified("abc")])
+    assert found.tolist() == [[150, 2], [3, 3]]
+
+
+def test_language_sample_takes_stretches_of_texts_with_letters(spark):
+    rows = [(i, "long " * 20000 if i == 0 else "" if i % 2 else f"short{'abc'[i % 3]} text {chr(97 + i % 26) * 3}", "x") for i in range(300)]
+    got = language_id.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 48, 24_000)
+    assert got["x"].count("long") <= 900 and got["x"].count("short") >= 40
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.op2_cross_parsing(spark, SF).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
@@ -395,11 +409,34 @@ def test_packing(spark, odd):
         assert len(by) <= 1.02 * math.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
+def fewest_bins(sizes, capacity):
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= capacity:
+                place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best
+
+
 def test_evolution_keeps_every_piece_once():
     dice = random.Random(2)
     sizes = [dice.randrange(300, 1500) for _ in range(400)]
     best = packing.evolve(sizes, 2048, 1)
     assert sorted(i for b in best for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) <= 2048 for b in best)
+    assert packing.evolve(sizes, 2048, 3, [best]) is not best and len(packing.evolve(sizes, 2048, 3, [best])) <= len(best)
+    for seed in range(12):  # the optimum on small tables
+        few = [dice.randrange(300, 1500) for _ in range(7)]
+        assert len(packing.evolve(few, 2048, seed)) == fewest_bins(few, 2048)
     plain = packing.best_fit([], sorted(range(400), key=lambda i: -sizes[i]), sizes, 2048)
     assert len(best) <= len(plain)
 
