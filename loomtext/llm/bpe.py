@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, read_table
+from .common import by_bytes, read_table, with_small_batches
 from .packing import _byte_alphabet
 
 # White space as the tokenizer's patterns see it.
@@ -170,7 +170,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -184,7 +184,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             decoded = [hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_prefix_bpe(spark, sf_dir):

@@ -47,7 +47,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_bytes(batches, column: str, limit: int = 2 << 20):
+#: Rows in an Arrow batch of texts: whole texts are long, and a batch is held several times over on its way to Python and back.
+BATCH_ROWS = 512
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_ROWS rows at most; for tables of whole texts that go to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
+def by_bytes(batches, column: str, limit: int = 1 << 20):
     """Cut record batches so that each has about limit bytes in a text column at most (or one row)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -66,4 +78,4 @@ def carried(docs: DataFrame, held_out: Column, carry: tuple[str, ...], run, sche
     """mapInArrow of run over doc_id, text, held_out and the columns of docs to carry, named carry_ and their name on the way."""
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    return rows.mapInArrow(run, ", ".join([schema, *[f"`carry_{c}` {kinds[c]}" for c in carry]]))
+    return with_small_batches(rows).mapInArrow(run, ", ".join([schema, *[f"`carry_{c}` {kinds[c]}" for c in carry]]))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, in_fold, read_table, table_of
+from .common import by_bytes, in_fold, read_table, table_of, with_small_batches
 
 ORDER = 5
 SHARE_BITS, GRAM_BITS = 19, 22
@@ -154,7 +154,7 @@ class Model:
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, int, int]:
     """The model, the tables of words (token, c) and of grams (code, n, logp), and the sums N and V, from all rows of texts (text)."""
-    counted = table_of(texts.select("text").mapInArrow(_counts, "token binary, code long, n long").groupBy("token", "code").agg(F.sum("n").alias("n")), "lm-counts")
+    counted = table_of(with_small_batches(texts).select("text").mapInArrow(_counts, "token binary, code long, n long").groupBy("token", "code").agg(F.sum("n").alias("n")), "lm-counts")
     words = counted.where("token is not null and n > 0").select("token", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = words.where(F.col("c") * (1 << SHARE_BITS) >= total).collect() if total else []

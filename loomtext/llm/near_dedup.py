@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, read_table, table_of
+from .common import by_bytes, read_table, table_of, with_small_batches
 from .components import components
 
 REGISTERS, MANTISSA_BITS = 512, 3
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 regs.append(registers_of(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest_a", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, registers binary")
+    return with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, carried, in_fold, read_table, table_of
+from .common import by_bytes, carried, in_fold, read_table, table_of, with_small_batches
 
 #: The bound of the labelled sample: so many rows of either label, lowest hash of the id first.
 TRAIN_A_LABEL = 3072
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, a_label: int = TRAIN_A_LABEL)
     texts = docs.select(F.col("doc_id").cast("long").alias("mark_id"), F.col("text").alias("body")).join(marked, "mark_id")
     one = texts.groupBy("mark_id", "mark").agg(F.min_by("body", F.xxhash64("body")).alias("text"))
     rows = one.select(F.col("mark_id").alias("id"), F.col("mark").alias("y"), "text")
-    counted = table_of(rows.mapInArrow(_counted_rows, "id long, y int, f array<long>, n array<int>, g array<long>, m array<int>"), "toxicity-features")
+    counted = table_of(with_small_batches(rows).mapInArrow(_counted_rows, "id long, y int, f array<long>, n array<int>, g array<long>, m array<int>"), "toxicity-features")
     features = chosen_features(counted)
     sent = spark.sparkContext.broadcast(features)
     found = counted.mapInArrow(_chosen_rows(sent), "id long, y int, at binary, n binary, swap_at binary, swap_n binary").toArrow() if len(features) else counted.select("id", "y").toArrow()
