@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.cluster import cut
+from loomtext.operators.weights import edge_strength
 from loomtext.schemas import IMPORTANCE, RETENTION, STRENGTH
 
 SNAKE_TOKENS = 700
@@ -81,6 +82,15 @@ def merge_value(distance: float, strength, both_retention: bool, both_importance
     return (1 - distance / 2) * (base + 3 * both_retention + 3 * both_importance)
 
 
+def merge_values(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """from_id, to_id, value: merge_value of every edge, with the difference of its ends' tokens as distance."""
+    ends = [chunks.select(F.col("id").alias(f"{s}_id"), F.struct("retention", "importance", "tokens").alias(s)) for s in ("from", "to")]
+    rows = edges.join(ends[0], "from_id").join(ends[1], "to_id")
+    distance = F.abs(F.col("from.tokens") - F.col("to.tokens")) / (F.lit(1.0) + F.col("from.tokens") + F.col("to.tokens"))
+    both = [F.when(F.col(f"from.{k}").isNotNull() & F.col(f"to.{k}").isNotNull(), 3).otherwise(0) for k in ("retention", "importance")]
+    return rows.select("from_id", "to_id", ((1 - distance / 2) * (edge_strength() + both[0] + both[1])).alias("value"))
+
+
 def greedy_chains(nodes: list[dict], edges: list[tuple[int, int, str | None]], limit: int) -> list[list[int]]:
     """Clusters of the vertices of one connected component, in order of their first sentence.
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLUES, HEAD_SHARE = 10, 0.75
+#: How a merged clue is called; n is the number of chains in it.
+MERGED_LABEL = "{n} minor threads"
 
 
 def normalised_weights(clues: DataFrame, *keys: str) -> DataFrame:
@@ -21,16 +23,19 @@ def tail(clues: DataFrame, keys: list[str], max_clues: int = MAX_CLUES) -> DataF
     return ranked.where(F.col("rank") >= int(max_clues * HEAD_SHARE))
 
 
-def overlaps(clues: DataFrame, keys: list[str], ids: str = "fragments") -> DataFrame:
-    """Pairs of a key's tail clues, with how many ids they share. A tail has a few dozen clues at most."""
-    cols = [F.col(k) for k in keys]
-    a = clues.select(*cols, F.col("clue_id").alias("clue_a"), F.col("rank").alias("rank_a"), F.col(ids).alias("ids_a"))
-    b = clues.select(*cols, F.col("clue_id").alias("clue_b"), F.col("rank").alias("rank_b"), F.col(ids).alias("ids_b"))
-    met = a.join(b, keys).where("rank_a < rank_b")
-    return met.select(*keys, "clue_a", "clue_b", F.size(F.array_intersect("ids_a", "ids_b")).alias("overlap"))
+def overlaps(clues: DataFrame, members: DataFrame, keys: list[str], shared: str = "fragment_id") -> DataFrame:
+    """Pairs of a key's clues that share anything, with how much: keys, clue_a (the heavier), clue_b, overlap.
+
+    clues: keys, clue_id, rank; members: clue_id and what clues may share. An equi-join on the key and what is shared, so
+    only pairs with an overlap arise.
+    """
+    rows = clues.select(*keys, "clue_id", "rank").join(members.select("clue_id", shared).distinct(), "clue_id")
+    a = rows.select(*keys, shared, F.col("clue_id").alias("clue_a"), F.col("rank").alias("rank_a"))
+    b = rows.select(*keys, shared, F.col("clue_id").alias("clue_b"), F.col("rank").alias("rank_b"))
+    return a.join(b, [*keys, shared]).where("rank_a < rank_b").groupBy(*keys, "clue_a", "clue_b").agg(F.count("*").alias("overlap"))
 
 
-def merged(clues: list[dict], max_clues: int = MAX_CLUES) -> list[dict]:
+def merged(clues: list[dict], max_clues: int = MAX_CLUES, label: str = MERGED_LABEL) -> list[dict]:
     """Merge the tail pair that shares most fragments until max_clues are left; weights then sum to 1.
 
     A clue: clue_id, label, weight, chunks (sorted (sentence id, chunk id) pairs), fragments (set), sources.
@@ -47,7 +52,7 @@ def merged(clues: list[dict], max_clues: int = MAX_CLUES) -> list[dict]:
         made -= 1
         sources = [*a["sources"], *b["sources"]]
         one = {
-            "clue_id": made, "label": f"综合次要线索 ({len(sources)}条)", "weight": a["weight"] + b["weight"], "sources": sources,
+            "clue_id": made, "label": label.format(n=len(sources)), "weight": a["weight"] + b["weight"], "sources": sources,
             "chunks": sorted(a["chunks"] + b["chunks"], key=lambda c: c[0]), "fragments": a["fragments"] | b["fragments"],
         }
         clues = [c for c in clues if c is not a and c is not b] + [one]
@@ -57,7 +62,7 @@ def merged(clues: list[dict], max_clues: int = MAX_CLUES) -> list[dict]:
     return sorted(clues, key=lambda c: -c["weight"])
 
 
-def merge_clues(members: DataFrame, keys: list[str], max_clues: int = MAX_CLUES, overlap_key: str = "fragment") -> DataFrame:
+def merge_clues(members: DataFrame, keys: list[str], max_clues: int = MAX_CLUES, overlap_key: str = "fragment", label: str = MERGED_LABEL) -> DataFrame:
     """Clues of each key. members: keys, snake_id, label, weight (of the chain), chunk_id, chapter_id, fragment_id, sentence_index.
 
     overlap_key: 'fragment' compares fragments, 'chapter' chapters. A key's chains are those of one group.
@@ -72,7 +77,7 @@ def merge_clues(members: DataFrame, keys: list[str], max_clues: int = MAX_CLUES,
                 "clue_id": int(snake), "label": r["label"].iloc[0], "weight": float(r["weight"].iloc[0]), "sources": [int(snake)],
                 "chunks": sorted(zip(sids, r["chunk_id"].tolist(), strict=True)), "fragments": {s[:2] if overlap_key == "fragment" else s[0] for s in sids},
             })
-        out = [(*key, c["clue_id"], c["label"], c["weight"], [i for _, i in c["chunks"]], len(c["sources"]) > 1, c["sources"], k) for k, c in enumerate(merged(clues, max_clues))]
+        out = [(*key, c["clue_id"], c["label"], c["weight"], [i for _, i in c["chunks"]], len(c["sources"]) > 1, c["sources"], k) for k, c in enumerate(merged(clues, max_clues, label))]
         return pd.DataFrame(out, columns=[*keys, "clue_id", "label", "weight", "chunk_ids", "is_merged", "source_snake_ids", "rank"])
 
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)

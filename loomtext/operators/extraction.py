@@ -6,7 +6,6 @@ payload with chunks and links; the default is deterministic. Payloads have the f
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -25,7 +24,7 @@ def stub_extractor(text: str, sentences: list[str], memory: list[dict]) -> dict:
     links = [{"from": f"c{k}", "to": f"c{k - 1}", "strength": ("critical", "important", "helpful")[k % 3]} for k in range(1, len(picked))]
     if memory and picked:
         links.append({"from": memory[-1]["id"], "to": "c0", "strength": "important"})
-    return {"fragment_summary": text[:40], "chunks": chunks, "links": links}
+    return {"synopsis": text[:40], "chunks": chunks, "links": links}
 
 
 class ChapterMemory:
@@ -71,9 +70,9 @@ _OUT = "chapter_id long, kind string, id long, other_id long, generation int, fr
 
 
 def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000) -> DataFrame:
-    """Rows of kind chunk and edge of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
+    """Rows of kind chunk, edge and failed of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
 
-    A fragment whose extraction fails adds nothing; the next one goes on.
+    A fragment whose extraction fails adds a row of kind failed with the reason as content; the next one goes on.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,9 +82,10 @@ def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_c
             listed = list(zip(part["sentence_index"].tolist(), part["text"].tolist(), strict=True))
             try:
                 payload = extractor("".join(t for _, t in listed), [t for _, t in listed], memory.extra)
-            except (ValueError, KeyError, json.JSONDecodeError):
+                chunks, edges = memory.add(payload, listed, int(fragment))
+            except (ValueError, KeyError) as failure:
+                out.append((chapter, "failed", None, None, None, int(fragment), None, None, f"{type(failure).__name__}: {failure}", None, None, None))
                 continue
-            chunks, edges = memory.add(payload, listed, int(fragment))
             out += [(chapter, "chunk", c["id"], None, c["generation"], c["fragment_id"], c["sentence_index"], c["label"], c["content"], c["retention"], c["importance"], None) for c in chunks]
             out += [(chapter, "edge", a, b, None, None, None, None, None, None, None, s) for a, b, s in edges]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])

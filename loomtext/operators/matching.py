@@ -5,29 +5,28 @@ Exact and normalised matches are equi-joins; what is left meets only the sentenc
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.cluster import cut
+
 MIN_CONTAINED, MIN_PART, LCS_SHARE = 10, 5, 0.8
 
-# Punctuation that normalisation drops, as ranges of code points. The curly quotes and $ + < = > stay.
-_PUNCTUATION_RANGES = [
-    (0x21, 0x23), (0x25, 0x2A), (0x2C, 0x2F), (0x3A, 0x3B), (0x3F, 0x40), (0x5B, 0x60), (0x7B, 0x7E),
-    (0xA1, 0xA1), (0xA7, 0xA7), (0xAB, 0xAB), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0xBF), (0x37E, 0x37E), (0x387, 0x387),
-    (0x58A, 0x58A), (0x5BE, 0x5BE), (0x5C0, 0x5C0), (0x5C3, 0x5C3), (0x5C6, 0x5C6), (0x5F3, 0x5F4), (0x609, 0x60A), (0x60C, 0x60F),
-    (0x61B, 0x61B), (0x61E, 0x61F), (0x66A, 0x66D), (0xF0D, 0xF12), (0xF14, 0xF14), (0xF34, 0xF34), (0xF36, 0xF36), (0xF38, 0xF38),
-    (0xF85, 0xF85), (0xFD0, 0xFD4), (0xFD9, 0xFDA), (0x104A, 0x104F), (0x10FB, 0x10FB), (0x1360, 0x1368), (0x166E, 0x166E),
-    (0x17D4, 0x17D6), (0x17D8, 0x17DA), (0x1800, 0x180A), (0x2010, 0x2017), (0x201A, 0x201B), (0x201E, 0x2027), (0x2031, 0x205E),
-    (0x2E00, 0x2E4F), (0x3001, 0x3002), (0x3008, 0x3011), (0x3014, 0x301F), (0x3030, 0x3030), (0x303D, 0x303D), (0x30FB, 0x30FB),
-    (0xFF01, 0xFF03), (0xFF05, 0xFF0A), (0xFF0C, 0xFF0F), (0xFF1A, 0xFF1B), (0xFF1F, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF5B),
-    (0xFF5C, 0xFF5E), (0xFF61, 0xFF65),
-]
-PUNCTUATION = frozenset(chr(c) for a, b in _PUNCTUATION_RANGES for c in range(a, b + 1))
+#: Signs that are no punctuation by their Unicode category but are dropped like it, and quotes that stay although they are.
+DROPPED_SIGNS, KEPT_QUOTES = "^`|~", "“”‘’"
+
+
+def is_punctuation(c: str) -> bool:
+    """Own definition: the Unicode categories P*, but for the two exceptions above."""
+    return c in DROPPED_SIGNS or (unicodedata.category(c)[0] == "P" and c not in KEPT_QUOTES)
+
+
 _HYPHENS = "‐‑‒–—―"
 
 
@@ -53,7 +52,7 @@ def normalized(text: str | None) -> str | None:
             kept.append(c)
     out = []
     for c in kept:
-        if c in PUNCTUATION:
+        if is_punctuation(c):
             continue
         out.append("".join(d for d in unicodedata.normalize("NFD", c.lower()) if unicodedata.category(d) != "Mn") if is_latin(c) else c)
     return "".join(out)
@@ -64,24 +63,21 @@ def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(normalized)
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring."""
+def shares_a_run(a: str, b: str, length: int) -> bool:
+    """Whether a and b have a common substring of so many characters."""
     if len(a) > len(b):
         a, b = b, a
-    low, high = 0, len(a)
-    while low < high:  # a common substring of a length has common substrings of all smaller lengths
-        k = (low + high + 1) // 2
-        if {a[i : i + k] for i in range(len(a) - k + 1)} & {b[i : i + k] for i in range(len(b) - k + 1)}:
-            low = k
-        else:
-            high = k - 1
-    return low
+    return any(a[i : i + length] in b for i in range(len(a) - length + 1))
 
 
 @F.pandas_udf(T.BooleanType())
 def shares_most(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the longest common substring has LCS_SHARE of the shorter text; both of MIN_CONTAINED characters at least."""
-    return pd.Series([min(len(x), len(y)) >= MIN_CONTAINED and longest_common(x, y) >= LCS_SHARE * min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+    """Whether the longest common substring has LCS_SHARE of the shorter text; both of MIN_CONTAINED characters at least.
+
+    A run of that length is enough, and the shorter text has few of them: a fifth of its length.
+    """
+    least = [min(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    return pd.Series([n >= MIN_CONTAINED and shares_a_run(x, y, math.ceil(LCS_SHARE * n)) for n, x, y in zip(least, a, b, strict=True)])
 
 
 _KEYS = ["chapter_id", "fragment_id"]
@@ -115,6 +111,13 @@ def lcs_matches(sources: DataFrame, sentences: DataFrame) -> DataFrame:
     return _candidates(sources, sentences).where(shares_most("a", "b")).select(*_KEYS, "source_id", "sentence_index")
 
 
+def partial_matches(sources: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Contained or in part, over one join; what is contained is not compared run by run."""
+    met = _candidates(sources, sentences).withColumn("inside", contained(F.col("a"), F.col("b")))
+    rest = met.where(f"not inside and length(a) >= {MIN_CONTAINED} and length(b) >= {MIN_CONTAINED}").where(shares_most("a", "b"))
+    return met.where("inside").unionByName(rest).select(*_KEYS, "source_id", "sentence_index").distinct()
+
+
 def ellipsis_matches(sources: DataFrame, sentences: DataFrame, normal=normalize_text) -> DataFrame:
     """Sources with one ellipsis: the sentence begins with the first part and ends with the second."""
     parts = sources.where(F.col("text").contains("...")).withColumn("p", F.split("text", r"\.\.\.")).where("size(p) = 2")
@@ -134,15 +137,19 @@ def split_matches(sources: DataFrame, sentences: DataFrame, normal=normalize_tex
 def match_cascade(sources: DataFrame, sentences: DataFrame) -> DataFrame:
     """source_id, sentence_index, stage: exact, else normalised, else contained or in part, else ellipsis, else split, else
     the fragment's first sentence (fallback)."""
-    s, t = sources.withColumn("norm", normalize_text("text")), sentences.withColumn("norm", normalize_text("text"))
+    s, t = cut(sources.withColumn("norm", normalize_text("text"))), cut(sentences.withColumn("norm", normalize_text("text")))
     key = [*_KEYS, "source_id"]
     stages = [
-        ("exact", exact_matches(s, t)), ("normalized", normalized_matches(s, t)), ("contained", containment_matches(s, t).unionByName(lcs_matches(s, t)).distinct()),
-        ("ellipsis", ellipsis_matches(s, t)), ("split", split_matches(s, t).select(*key, "sentence_index").distinct()),
-        ("fallback", s.join(t.groupBy(*_KEYS).agg(F.min("sentence_index").alias("sentence_index")), _KEYS).select(*key, "sentence_index")),
+        ("exact", exact_matches), ("normalized", normalized_matches), ("contained", lambda s, t: partial_matches(s, t)), ("ellipsis", ellipsis_matches),
+        ("split", lambda s, t: split_matches(s, t).select(*key, "sentence_index").distinct()),
     ]
-    out = None
-    for k, (name, rows) in enumerate(stages):
-        found = rows.withColumn("stage", F.lit(name)).withColumn("k", F.lit(k))
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("best", F.min("k").over(Window.partitionBy(*key))).where("k = best").drop("k", "best")
+    out, left = [], s
+    for name, stage in stages:  # a stage sees what no stage before it has matched
+        found = cut(stage(left, t).select(*key, "sentence_index", F.lit(name).alias("stage")))
+        out.append(found)
+        left = left.join(found.select(*key).distinct(), key, "left_anti")
+    first = t.groupBy(*_KEYS).agg(F.min("sentence_index").alias("sentence_index"))
+    whole = left.join(first, _KEYS).select(*key, "sentence_index", F.lit("fallback").alias("stage"))
+    for found in out:
+        whole = whole.unionByName(found)
+    return whole

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CAPACITY, DECAY = 7, 0.5
 
 
+def decayed(score: str | Column, generation: str | Column, decay: float = DECAY) -> Column:
+    """A score halved, or cut by another decay, for each generation."""
+    return (F.col(score) if isinstance(score, str) else score) * F.pow(F.lit(decay), generation)
+
+
 def spread(start: dict[int, float], out: dict[int, list[int]]) -> dict[int, float]:
     """Scores after one breadth-first wave: a vertex hands on, in equal parts, the score it has when its turn comes."""
     scores, queue, seen = dict(start), deque(start), set(start)

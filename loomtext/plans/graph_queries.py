@@ -9,6 +9,7 @@ from loomtext.functions.sentences import fragment_totals, joined_text
 from loomtext.operators import chains, clues, markup, memory, relations, review, weights
 from loomtext.plans import derived as d
 from loomtext.plans.derived import BASE
+from loomtext.sources import workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,15 +83,15 @@ def external_edges(spark, sf_dir):
     return found.groupBy("place").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("weight")).select("place.chapter_id", "place.fragment_id", "n", "weight")
 
 
-@query("SELECT from_id, to_id, strength FROM e WHERE from_id IN (SELECT id FROM c WHERE fragment_id < 2) AND to_id IN (SELECT id FROM c WHERE fragment_id < 2)")
+@query("SELECT from_id, to_id, strength FROM e WHERE from_id IN (SELECT id FROM c WHERE retention = 'verbatim' OR importance = 'critical') AND to_id IN (SELECT id FROM c WHERE retention = 'verbatim' OR importance = 'critical')")
 def induced_subgraph(spark, sf_dir):
-    return relations.induced_subgraph(d.edge_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir).where("fragment_id < 2"))
+    return relations.induced_subgraph(d.edge_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir).where("retention = 'verbatim' or importance = 'critical'"))
 
 
-@query("""SELECT from_id, to_id, strength, CASE WHEN from_id IN (SELECT id FROM c WHERE fragment_id < 2) THEN 'out' ELSE 'in' END AS side FROM e
-WHERE (from_id IN (SELECT id FROM c WHERE fragment_id < 2)) <> (to_id IN (SELECT id FROM c WHERE fragment_id < 2))""")
+@query("""SELECT from_id, to_id, strength, CASE WHEN from_id IN (SELECT id FROM c WHERE retention = 'verbatim' OR importance = 'critical') THEN 'out' ELSE 'in' END AS side FROM e
+WHERE (from_id IN (SELECT id FROM c WHERE retention = 'verbatim' OR importance = 'critical')) <> (to_id IN (SELECT id FROM c WHERE retention = 'verbatim' OR importance = 'critical'))""")
 def boundary_edges(spark, sf_dir):
-    return relations.boundary_edges(d.edge_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir).where("fragment_id < 2"))
+    return relations.boundary_edges(d.edge_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir).where("retention = 'verbatim' or importance = 'critical'"))
 
 
 @query("""SELECT e.from_id, e.to_id, e.strength, ga.chapter_id, ga.group_id FROM e JOIN c a ON a.id = from_id JOIN c b ON b.id = to_id
@@ -189,15 +190,30 @@ def clue_tail(spark, sf_dir):
     return clues.tail(_clues(spark, sf_dir), ["chapter_id"], max_clues=4).select("chapter_id", "clue_id", "rank")
 
 
-@query(""", late AS (SELECT * FROM (SELECT chapter_id, snake_id, row_number() OVER (PARTITION BY chapter_id ORDER BY weight DESC, snake_id) - 1 AS rank FROM totals) WHERE rank >= 4 AND rank < 24),
-frs AS (SELECT snake_id, list(DISTINCT c.fragment_id) AS f FROM m JOIN c ON c.id = m.chunk_id GROUP BY 1)
-SELECT a.chapter_id, a.snake_id AS clue_a, b.snake_id AS clue_b, len(list_intersect(fa.f, fb.f))::INT AS overlap
-FROM late a JOIN late b ON a.chapter_id = b.chapter_id AND a.rank < b.rank JOIN frs fa ON fa.snake_id = a.snake_id JOIN frs fb ON fb.snake_id = b.snake_id""")
+@query(""", late AS MATERIALIZED (SELECT * FROM (SELECT chapter_id, snake_id, row_number() OVER (PARTITION BY chapter_id ORDER BY weight DESC, snake_id) - 1 AS rank FROM totals) WHERE rank >= 4),
+frs AS MATERIALIZED (SELECT DISTINCT l.chapter_id, l.snake_id, l.rank, c.fragment_id FROM late l JOIN m ON m.snake_id = l.snake_id JOIN c ON c.id = m.chunk_id)
+SELECT a.chapter_id, a.snake_id AS clue_a, b.snake_id AS clue_b, count(*) AS overlap
+FROM frs a JOIN frs b ON a.chapter_id = b.chapter_id AND a.fragment_id = b.fragment_id AND a.rank < b.rank GROUP BY 1, 2, 3""")
 def clue_overlap(spark, sf_dir):
     of = d.member_rows(spark, sf_dir).join(d.chunk_rows(spark, sf_dir).select(F.col("id").alias("chunk_id"), "fragment_id"), "chunk_id")
-    ids = of.groupBy(F.col("snake_id").alias("clue_id")).agg(F.collect_set("fragment_id").alias("fragments"))
-    late = clues.tail(_clues(spark, sf_dir), ["chapter_id"], max_clues=6).where("rank < 24")  # the report's feature: the 20 clues after the head
-    return clues.overlaps(late.join(ids, "clue_id"), ["chapter_id"])
+    return clues.overlaps(clues.tail(_clues(spark, sf_dir), ["chapter_id"], max_clues=6), of.select(F.col("snake_id").alias("clue_id"), "fragment_id"), ["chapter_id"])
+
+
+@query("""SELECT chapter_id, group_id, snake_id, snake_id AS parsed_id, size::BIGINT AS n, first_label, last_label FROM totals""")
+def chains_to_json(spark, sf_dir):
+    made = workspace.chains_json(d.member_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir))
+    parsed = F.from_json("value", "snake_id long, size long, chunks array<struct<id:long,label:string,content:string>>")
+    rows = made.withColumn("x", parsed)
+    return rows.select("chapter_id", "group_id", "snake_id", F.col("x.snake_id").alias("parsed_id"), F.col("x.size").alias("n"), F.col("x.chunks")[0]["label"].alias("first_label"), F.element_at("x.chunks", -1)["label"].alias("last_label"))
+
+
+@query("SELECT chapter_id, fragment_id, 'fragment ' || fragment_id AS synopsis, count(*) AS n, sum(token_count)::BIGINT AS tokens, string_agg(text, '' ORDER BY sentence_index) AS text FROM s GROUP BY 1, 2")
+def fragment_to_json(spark, sf_dir):
+    rows = d.sentence_rows(spark, sf_dir)
+    synopses = rows.select("chapter_id", "fragment_id").distinct().withColumn("synopsis", F.concat(F.lit("fragment "), F.col("fragment_id").cast("string")))
+    made = workspace.fragment_json(rows, synopses).withColumn("x", F.from_json("value", "synopsis string, sentences array<struct<text:string,token_count:long>>"))
+    tokens = F.aggregate("x.sentences", F.lit(0).cast("long"), lambda a, y: a + y["token_count"])
+    return made.select("chapter_id", "fragment_id", "x.synopsis", F.size("x.sentences").cast("long").alias("n"), tokens.alias("tokens"), F.array_join("x.sentences.text", "").alias("text"))
 
 
 @query()
@@ -385,18 +401,13 @@ def snakes_of_chapter(spark, sf_dir):
 
 @query("SELECT id, round(weight * pow(0.5, generation), 6) AS score FROM c")
 def generation_decay(spark, sf_dir):
-    return d.chunk_rows(spark, sf_dir).select("id", r6(F.col("weight") * F.pow(F.lit(0.5), F.col("generation"))).alias("score"))
+    return d.chunk_rows(spark, sf_dir).select("id", r6(memory.decayed("weight", "generation")).alias("score"))
 
 
 @query("""SELECT from_id, to_id, round((1 - d / 2) * (st + CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN ia IS NOT NULL AND ib IS NOT NULL THEN 3 ELSE 0 END), 6) AS value FROM (
   SELECT e.*, a.retention AS ra, b.retention AS rb, a.importance AS ia, b.importance AS ib, abs(a.tokens - b.tokens) / (1.0::DOUBLE + a.tokens + b.tokens) AS d FROM e JOIN c a ON a.id = from_id JOIN c b ON b.id = to_id)""")
 def edge_merge_value(spark, sf_dir):
-    c = d.chunk_rows(spark, sf_dir)
-    a, b = (c.select(F.col("id").alias(f"{s}_id"), F.struct("retention", "importance", "tokens").alias(s)) for s in ("from", "to"))
-    rows = d.edge_rows(spark, sf_dir).join(a, "from_id").join(b, "to_id")
-    distance = F.abs(F.col("from.tokens") - F.col("to.tokens")) / (F.lit(1.0) + F.col("from.tokens") + F.col("to.tokens"))
-    both = [F.when(F.col(f"from.{k}").isNotNull() & F.col(f"to.{k}").isNotNull(), 3).otherwise(0) for k in ("retention", "importance")]
-    return rows.select("from_id", "to_id", r6((1 - distance / 2) * (weights.edge_strength() + both[0] + both[1])).alias("value"))
+    return chains.merge_values(d.edge_rows(spark, sf_dir), d.chunk_rows(spark, sf_dir)).withColumn("value", r6("value"))
 
 
 @query("""SELECT chapter_id, fragment_id, (sum(token_count) OVER (PARTITION BY chapter_id ORDER BY fragment_id) // 1000)::INT AS part FROM (SELECT chapter_id, fragment_id, sum(token_count) AS token_count FROM s GROUP BY 1, 2)""")

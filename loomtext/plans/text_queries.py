@@ -81,15 +81,21 @@ def strip_tags(spark, sf_dir):
     return d.table(spark, sf_dir, "conversations").select("conv_id", "turn", tagged.alias("t")).select("conv_id", "turn", review.without_chunk_tags("t").alias("plain"))
 
 
-_TRIMMED = r"""regexp_replace(regexp_replace("text", '^\s+', ''), '\s+$', '')"""
-
-
-@query(f"SELECT conv_id, turn, {_TRIMMED} AS compressed, 'notes first' AS thinking FROM conversations WHERE \"text\" NOT LIKE '%---%' AND \"text\" NOT LIKE '%**CRITICAL**%'")
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(CASE WHEN b LIKE '%】' THEN "left"(b, length(b) - 1) ELSE b END, '^\s+', ''), '\s+$', '') AS compressed, 'notes first' AS thinking
+FROM (SELECT conv_id, turn, regexp_replace(string_split_regex("text" || '】' || chr(10) || '---', '\n---|\*\*CRITICAL\*\*')[1], '\s+$', '') AS b FROM conversations)""")
 def section_extract(spark, sf_dir):
-    rows = d.table(spark, sf_dir, "conversations").where("text not like '%---%' and text not like '%**CRITICAL**%'")
     full = F.concat(F.lit("notes first\n## Compressed Text\n\n【"), "text", F.lit("】\n---\nmore"))
-    plain = F.regexp_replace(F.regexp_replace(F.col("c"), r"^\s+", ""), r"\s+$", "")
-    return rows.select("conv_id", "turn", full.alias("t")).select("conv_id", "turn", review.compressed_text("t").alias("c"), review.thinking_text("t").alias("thinking")).select("conv_id", "turn", plain.alias("compressed"), "thinking")
+    rows = d.table(spark, sf_dir, "conversations").select("conv_id", "turn", full.alias("t"))
+    return rows.select("conv_id", "turn", review.compressed_text("t").alias("compressed"), review.thinking_text("t").alias("thinking"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, CASE length("text") % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'odd' ELSE 'minor' END AS severity, CASE length("text") % 4 WHEN 0 THEN 9 WHEN 1 THEN 3 ELSE 1 END AS value, (turn % 5 + 1) / 8.0::DOUBLE AS weight FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY value DESC, weight DESC, turn) AS rank, count(*) OVER (PARTITION BY conv_id) AS n FROM i)
+SELECT conv_id, string_agg('- [' || severity || '] turn ' || turn || CASE WHEN turn % 2 = 0 THEN ' -> redo' ELSE '' END, chr(10) ORDER BY rank) || CASE WHEN any_value(n) > 3 THEN chr(10) || '(' || (any_value(n) - 3) || ' more)' ELSE '' END AS feedback
+FROM r WHERE rank <= 3 GROUP BY 1""")
+def feedback_text(spark, sf_dir):
+    rows = _issues(spark, sf_dir).withColumn("problem", F.concat(F.lit("turn "), F.col("turn").cast("string"))).withColumn("suggestion", F.when(F.col("turn") % 2 == 0, "redo"))
+    return review.feedback_text(rows, ["conv_id"], top=3)
 
 
 @query("SELECT event_id, props AS body FROM events")
@@ -223,7 +229,7 @@ def lcs_match(spark, sf_dir):
 
 @query()
 def split_match(spark, sf_dir):
-    src = _sources(spark, sf_dir).where("source_id % 4 = 0").withColumn("text", F.concat("text", F.lit("。"), "text"))
+    src = _sources(spark, sf_dir).withColumn("text", F.concat("text", F.lit("。"), "text"))
     return matching.split_matches(src, d.sentence_rows(spark, sf_dir).withColumn("norm", matching.normalize_text("text")))
 
 

@@ -69,16 +69,43 @@ def save_chains(work: Workspace, members: DataFrame, chunks: DataFrame, edges: D
     work.append("snake_edges", chain_graph(rows, chunks, edges))
 
 
-def read_fragment_json(spark: SparkSession, path: str) -> DataFrame:
-    """path, synopsis, sentence_index, text, token_count of fragment files; the older layout is a bare list without synopsis."""
+def read_fragment_json(spark: SparkSession, path: str, synopsis_field: str = "synopsis") -> DataFrame:
+    """path, synopsis, sentence_index, text, token_count of fragment files; the older layout is a bare list without synopsis.
+
+    synopsis_field: how the files call the synopsis.
+    """
     kind = "array<struct<text:string,token_count:int>>"
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    new = F.from_json("value", f"summary string, sentences {kind}")
+    new = F.from_json("value", f"`{synopsis_field}` string, sentences {kind}")
     bare = F.ltrim("value").startswith("[")
-    rows = raw.select("path", F.when(bare, F.lit("")).otherwise(F.coalesce(new["summary"], F.lit(""))).alias("synopsis"), F.when(bare, F.from_json("value", kind)).otherwise(new["sentences"]).alias("s"))
+    rows = raw.select("path", F.when(bare, F.lit("")).otherwise(F.coalesce(new[synopsis_field], F.lit(""))).alias("synopsis"), F.when(bare, F.from_json("value", kind)).otherwise(new["sentences"]).alias("s"))
     return rows.select("path", "synopsis", F.posexplode("s").alias("sentence_index", "x")).select("path", "synopsis", "sentence_index", "x.text", "x.token_count")
 
 
+def fragment_json(sentences: DataFrame, synopses: DataFrame, synopsis_field: str = "synopsis") -> DataFrame:
+    """chapter_id, fragment_id, value: each fragment as a JSON text of its synopsis (empty without one) and its sentences in order."""
+    keys = ["chapter_id", "fragment_id"]
+    listed = F.array_sort(F.collect_list(F.struct("sentence_index", "text", "token_count")))
+    rows = sentences.groupBy(*keys).agg(F.transform(listed, lambda x: F.struct(x["text"].alias("text"), x["token_count"].alias("token_count"))).alias("s"))
+    whole = F.to_json(F.struct(F.coalesce("synopsis", F.lit("")).alias(synopsis_field), F.col("s").alias("sentences")))
+    return rows.join(synopses.select(*keys, "synopsis"), keys, "left").select(*keys, whole.alias("value"))
+
+
+def write_fragment_json(sentences: DataFrame, synopses: DataFrame, path: str, synopsis_field: str = "synopsis") -> None:
+    """A JSON file for each fragment under chapter_id=.../fragment_id=..., as read_fragment_json reads them."""
+    rows = fragment_json(sentences, synopses, synopsis_field).repartition("chapter_id", "fragment_id")
+    rows.write.partitionBy("chapter_id", "fragment_id").option("maxRecordsPerFile", 1).text(path)
+
+
+def chains_json(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chapter_id, group_id, snake_id, value: each chain as a JSON text of its chunks in order."""
+    rows = members.join(chunks.select(F.col("id").alias("chunk_id"), "label", "content"), "chunk_id")
+    listed = F.array_sort(F.collect_list(F.struct("position", "chunk_id", "label", "content")))
+    chunk = lambda x: F.struct(x["chunk_id"].alias("id"), x["label"].alias("label"), x["content"].alias("content"))
+    made = rows.groupBy("chapter_id", "group_id", "snake_id").agg(F.transform(listed, chunk).alias("chunks"))
+    return made.select("chapter_id", "group_id", "snake_id", F.to_json(F.struct("snake_id", F.size("chunks").alias("size"), "chunks")).alias("value"))
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of a graph file {"nodes": [...], "edges": [{"from", "to"}]}."""
     whole = spark.read.schema("nodes array<struct<id:long,sentence_id:long,label:string,content:string>>, edges array<struct<`from`:long,`to`:long>>").json(path, multiLine=True)

@@ -146,7 +146,7 @@ def test_clue_merge():
 
 def test_normalize_and_match(spark):
     assert matching.normalized("Été  inter‐ national, 中 文 a b") == "ete international中文a b"
-    assert matching.longest_common("abcdefgh", "xxcdefyy") == 4
+    assert matching.shares_a_run("abcdefgh", "xxcdefyy", 4) and not matching.shares_a_run("abcdefgh", "xxcdefyy", 5)
     t = spark.createDataFrame([(0, 0, 0, "The first sentence stands here."), (0, 0, 1, "Another thing was said at length.")], "chapter_id long, fragment_id int, sentence_index int, text string")
     s = spark.createDataFrame(
         [(0, 0, 1, "The first sentence stands here."), (0, 0, 2, "ANOTHER thing was said at length"), (0, 0, 3, "thing was said at"), (0, 0, 4, "Another...at length."), (0, 0, 5, "zzz")],
@@ -225,9 +225,9 @@ def test_workspace(spark, tmp_path):
 
 
 def test_fragment_files(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"summary": "S", "sentences": [{"text": "x", "token_count": 1}]}')
+    (tmp_path / "a.json").write_text('{"gist": "S", "sentences": [{"text": "x", "token_count": 1}]}')
     (tmp_path / "b.json").write_text('[{"text": "y", "token_count": 2}]')
-    assert sorted((r.synopsis, r.text) for r in read_fragment_json(spark, str(tmp_path)).collect()) == [("", "y"), ("S", "x")]
+    assert sorted((r.synopsis, r.text) for r in read_fragment_json(spark, str(tmp_path), "gist").collect()) == [("", "y"), ("S", "x")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
