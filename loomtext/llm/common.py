@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm_dir.get() if jvm_dir.isDefined() else None
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="loomtext-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at
