@@ -5,10 +5,7 @@ own over the set, compressed to its count of leading zeros and MANTISSA_BITS bit
 keys; documents that share a key are candidates, the Jaccard similarity estimated from the registers (corrected
 for registers that agree by chance) drops the hopeless ones, and the rest is confirmed on the full shingle sets.
 
-Groups of any size: equal sets are one class from the start. In a band bucket every class is first compared with
-the bucket's smallest id only, and of the buckets of a class only with two: the smallest and the most frequent of
-these ids. That settles large groups of near copies. What is then still in different
-components of a bucket is compared in blocks, so no pair of classes that shares a key goes unseen.
+Groups of any size: equal sets are one class from the start, and buckets are compared as buckets.py says.
 """
 
 from __future__ import annotations
@@ -21,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import blocks_apart, met_hubs
 from .common import by_bytes, read_table, table_of, with_small_batches
 from .components import components
 
@@ -150,7 +148,7 @@ def _estimated(least: float):
 
 def _blocks_compared(least: float):
     def unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["registers"] for m in members), np.uint8).reshape(-1, REGISTERS))
+        return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["payload"] for m in members), np.uint8).reshape(-1, REGISTERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = full.groupBy("digest_a").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = table_of(classes.withColumnRenamed("digest_a", "id"), "classes")
     bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, band int, id long"), "bands")
-    hubs = table_of(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    shared = table_of(bands.join(hubs, "key"), "shared")
-
+    shared, to_hub = met_hubs(bands)
     regs = classes.select("id", "registers")
-    met_hubs = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
-    two = met_hubs.groupBy("id").agg(F.array_distinct(F.array(F.min("hub"), F.max_by("hub", F.struct("n", -F.col("hub"))))).alias("hubs"))
-    to_hub = table_of(two.select(F.col("id").alias("a"), F.explode("hubs").alias("b")), "to-hub")
     texts = docs.where("doc_id is not null")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -246,25 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = components(links)
 
     # what shares a key and is not in one component yet
-    marked = shared.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    marked = table_of(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_rows = table_of(marked.join(table_of(mixed, "mixed"), "key"), "open")
-    per_part = open_rows.groupBy("key", "component").agg(F.count("*").alias("n")).withColumn("big", F.col("n") >= BLOCK)
-    pool = per_part.withColumn("pool", F.when(F.col("big"), F.col("component")).otherwise(-1))
-    per_pool = table_of(pool.groupBy("key", "pool").agg(F.sum("n").alias("m")), "pools")
-    placed = (
-        open_rows.join(table_of(pool.select("key", "component", "pool"), "part-pools"), ["key", "component"])
-        .join(per_pool, ["key", "pool"])
-        .withColumn("block", F.expr(f"pmod(xxhash64(id), (m + {BLOCK - 1}) div {BLOCK})"))
-    )
-    blocks = table_of(
-        placed.join(regs, "id").groupBy("key", "band", "pool", "block").agg(F.collect_list(F.struct("id", "component", "registers")).alias("members")),
-        "blocks",
-    )
-    left, right = blocks.toDF("key", "band", "pool_a", "block_a", "left"), blocks.drop("band").toDF("key", "pool_b", "block_b", "right")
-    met = left.join(right, "key").where("(pool_a < pool_b or pool_a = pool_b and pool_a = -1 and block_a <= block_b)")
-    rest = met.select("band", "left", "right").mapInArrow(_blocks_compared(least), "a long, b long")
+    met = blocks_apart(shared, parts, regs.withColumnRenamed("registers", "payload"), BLOCK)
+    rest = met.mapInArrow(_blocks_compared(least), "a long, b long")
     done = likely_pairs(to_hub)
     rest = rest.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
     more = linked(rest)
