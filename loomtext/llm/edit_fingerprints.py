@@ -4,7 +4,7 @@ A shared random walk copies a text's characters to an output, each of them as of
 the character and the place in the output. After an edit the walks of two texts fall into step again, so edit
 distance becomes Hamming distance of the outputs. A fingerprint holds the output's characters at sampled places;
 the places of a longer output are a subset of those of a shorter one, so fingerprints of unlike lengths compare on
-the places they share. Bit samples of a fingerprint make band keys, and likeness verifies a pair.
+the places they share. Samples of a fingerprint make band keys, and likeness verifies the pairs that share one.
 
 Documents meet their successor by id: ranges of ids are sorted in tasks of their own, and the first document of a
 range is also sent to the range before.
@@ -21,10 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .buckets import blocks_apart, met_hubs
+from .common import by_bytes, read_table, shuffle_partitions, table_of, with_small_batches
+from .components import components
 
 SAMPLES = 256
-BANDS, BAND_SAMPLES = 16, 8
+#: A pair of likeness s shares no band of a level with probability (1 - s^8)^32: 0.003 at 0.8.
+BANDS, BAND_SAMPLES = 32, 8
+#: Classes in a block of the residual comparison, about.
+BLOCK = 64
 _PERIOD, _CLASSES = 4096, 64
 _SIGNS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
 _BATCH_CHARS = 3 << 20
@@ -77,6 +82,33 @@ class Places:
 _places = Places()
 
 
+class Picks:
+    """Which of n places the bands' samples take: each the one that comes first in an order of its own.
+
+    Of two fingerprints on the same level one has the other's places and some more, so a sample takes the same place
+    of both as often as the longer one's is among the shared ones: samples agree with the probability likeness.
+    """
+
+    def __init__(self):
+        self._grow(2 * SAMPLES)
+
+    def _grow(self, size: int) -> None:
+        h = np.arange(1, size * BANDS * BAND_SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xAEF17502108EF2D9)
+        h = (h ^ (h >> np.uint64(29))).reshape(size, -1)
+        lowest = h == np.minimum.accumulate(h, axis=0)
+        self._table = np.maximum.accumulate(np.where(lowest, np.arange(size, dtype=np.int32)[:, None], 0), axis=0)
+
+    def of(self, n: int) -> np.ndarray:
+        if n > len(self._table):
+            self._grow(2 * n)
+        return self._table[n - 1]
+
+
+_picks = Picks()
+_BAND_SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
+
+
 def level_of(length: int) -> int:
     return max(0, int(np.ceil(np.log2(max(length, 1) / SAMPLES))))
 
@@ -121,15 +153,26 @@ class Fingerprint:
         mine = _places.at(self.level, self.length)
         return self.signs[np.isin(mine, _places.at(level, self.length), assume_unique=True)]
 
-    def bands(self) -> list[int]:
-        """Keys of the bit samples; at the next level too, where a slightly longer text may be."""
+    @classmethod
+    def parsed(cls, text: str) -> Fingerprint:
+        """The fingerprint that str gave."""
+        one = cls.__new__(cls)
+        length, signs = text.split(".")
+        one.length = int(length, 16)
+        one.level, one.signs = level_of(one.length), np.frombuffer(signs.encode(), np.uint8)
+        return one
+
+    def bands(self) -> np.ndarray:
+        """Keys of the samples, BANDS a level; at the next level too, where a slightly longer text may be. None without places."""
         keys = []
         for level in (self.level, self.level + 1):
             signs = self.at_level(level)
-            for b in range(BANDS):
-                picked = signs[[xxhash.xxh32_intdigest(b"%d,%d" % (b, i)) % len(signs) for i in range(BAND_SAMPLES)]] if len(signs) else signs
-                keys.append(xxhash.xxh64_intdigest(b"%d,%d," % (level, b) + picked.tobytes()) - (1 << 63))
-        return keys
+            if not len(signs):
+                continue
+            h = signs[_picks.of(len(signs))].view(np.uint64) + _BAND_SALTS * np.uint64(2 * level + 1)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            keys.append((h ^ (h >> np.uint64(32))).view(np.int64))
+        return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
@@ -244,6 +287,73 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("range", "is_next", "key", "h").select("range", "is_next", "doc_id", "text").mapInArrow(_run, _SCHEMA)
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "text", 4 * _BATCH_CHARS):
+        found = fingerprints([t or "" for t in batch.column("text").to_pylist()])
+        names = [str(f) if f.length else None for f in found]
+        ids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in names]
+        columns = [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array([f.bands() for f in found], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "fingerprint", "bands"])
+
+
+def _alike(least: float):
+    """Pairs of at least that likeness; b is parsed once where its rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, name, y = [], None, None
+            for fa, fb in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True):
+                if fb != name:
+                    name, y = fb, Fingerprint.parsed(fb)
+                keep.append(likeness(Fingerprint.parsed(fa), y) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _blocks_alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for at in range(batch.num_rows):
+                left, right = ([(m["id"], m["component"], Fingerprint.parsed(m["payload"])) for m in batch.column(side)[at].as_py()] for side in ("left", "right"))
+                for i, ci, x in left:
+                    near = [j for j, cj, y in right if cj != ci and likeness(x, y) >= least]
+                    a += [i] * len(near)
+                    b += near
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def near_edits(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id, kept of every row of docs (doc_id, text): near duplicates by likeness of fingerprints.
+
+    Documents of at least that likeness are linked; candidates are those that share a band key. component_id is the
+    smallest id reachable by links, kept marks it.
+    Defined cases: a text that is null or empty is linked with nothing; a null id has no component and is kept; equal
+    fingerprints are one node, whatever their rows' ids, and each row gets a row; rows that repeat an id with unlike
+    texts are nodes of their own; other columns are ignored; an empty table gives no rows.
+    """
+    rows = with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = table_of(rows.mapInArrow(_prints, "doc_id long, id long, fingerprint string, bands array<long>"), "prints")
+    classes = prints.where("id is not null and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("lowest"), F.first("fingerprint").alias("payload"), F.first("bands").alias("bands"))
+    classes = table_of(classes, "classes")
+    shared, to_hub = met_hubs(table_of(classes.select("id", F.posexplode("bands").alias("band", "key")), "bands"))
+    payloads = classes.select("id", "payload")
+    likely = to_hub.join(payloads.toDF("a", "fa"), "a").join(payloads.toDF("b", "fb"), "b")
+    links = table_of(likely.select("a", "b", "fa", "fb").mapInArrow(_alike(least), "a long, b long"), "links")
+    apart = blocks_apart(shared, components(links), payloads, BLOCK)
+    more = table_of(apart.mapInArrow(_blocks_alike(least), "a long, b long").distinct(), "more-links")
+    parts = components(links.union(more))
+
+    named = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
+    class_part = table_of(classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select("id", F.coalesce("part", "lowest").alias("part")), "class-parts")
+    part = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
+    found = prints.select("doc_id", "id").join(class_part, "id", "left")
+    return found.select("doc_id", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
+
+
 def op3_edit_embedding(spark, sf_dir):
     return edit_fingerprints(read_table(spark, sf_dir, "documents"))
 

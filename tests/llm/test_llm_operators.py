@@ -50,6 +50,7 @@ OPERATORS = {
     "pii": lambda d: pii.replace_entities(d, "k"),
     "language": lambda d: language_id.identify_languages(d, d),
     "edit": edit_fingerprints.edit_fingerprints,
+    "near edits": edit_fingerprints.near_edits,
     "ppm": held,
     "near": lambda d: near_dedup.near_duplicates(d, 3, 85),
     "pack": lambda d: packing.pack(d, BYTE).where("piece = 0"),
@@ -256,6 +257,59 @@ def test_walk_is_the_embedding():
     assert ends[0] == j
 
 
+def edited_texts():
+    """A group of near copies, a chain of small steps, unlike texts, copies and texts without characters."""
+    dice = random.Random(21)
+
+    def changed(text, edits):
+        for _ in range(edits):
+            at = dice.randrange(len(text))
+            text = text[:at] + dice.choice(["", "x", " zu"]) + text[at + dice.randrange(2) :]
+        return text
+
+    base = " ".join(dice.choice(WORDS) + str(dice.randrange(50)) for _ in range(120))
+    texts = [changed(base, dice.randrange(12)) for _ in range(150)]
+    chain = " ".join(dice.choice(WORDS) + str(dice.randrange(50)) for _ in range(60))
+    for _ in range(25):
+        texts.append(chain := changed(chain, 4))
+    texts += [" ".join(dice.choice(WORDS) for _ in range(dice.randrange(1, 40))) for _ in range(60)]
+    return [*texts, *texts[:5], "", None, ""]
+
+
+def test_near_edits_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(edit_fingerprints, "BLOCK", 8)
+    texts = edited_texts()
+    prints = edit_fingerprints.fingerprints([t or "" for t in texts])
+    part = list(range(len(texts)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    links = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if texts[a] and texts[b] and edit_fingerprints.likeness(prints[a], prints[b]) >= 0.8:
+            p, q = sorted((root(a), root(b)))
+            part[q], links = p, links + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.kept) for r in edit_fingerprints.near_edits(docs).collect()}
+    assert got == {i: (root(i), root(i) == i) for i in range(len(texts))}
+    assert links > 150 and len({c for c, _ in got.values()}) > 20
+
+
+def test_bands_are_shared_as_often_as_likeness_says():
+    prints = [f for f in edit_fingerprints.fingerprints([t or "" for t in edited_texts()]) if f.length]
+    keys = [set(f.bands().tolist()) for f in prints]
+    near = missed = far = met = 0
+    for a, b in itertools.combinations(range(len(prints)), 2):
+        alike, shared = edit_fingerprints.likeness(prints[a], prints[b]), bool(keys[a] & keys[b])
+        near, missed = near + (alike >= 0.8), missed + (alike >= 0.8 and not shared)
+        far, met = far + (alike < 0.3), met + (alike < 0.3 and shared)
+    assert near > 150 and missed <= 0.01 * near and far > 1000 and met <= 0.02 * far
+    assert all(str(edit_fingerprints.Fingerprint.parsed(str(f))) == str(f) for f in prints)
+
+
 # -- language-model scoring
 
 
