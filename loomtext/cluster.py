@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that spark.checkpoint.dir names; only without one (tests) in a local folder."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir or the context names; only without one, and in one process (tests), a local one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at is None and not named.isDefined():
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
+        at = tempfile.mkdtemp(prefix="loomtext-checkpoint-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at or named.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

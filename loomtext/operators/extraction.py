@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from loomtext.operators.memory import CAPACITY, recalled
 
 Extractor = Callable[[str, list[str], list[dict]], dict]
+#: (fragment text, sentences, memory, the first pass's chunks) -> payload with chunks, links and importance_annotations.
+SecondPass = Callable[[str, list[str], list[dict], list[dict]], dict]
 _FIELDS = ("source_sentences", "source_sences", "source_sentances")
 
 
@@ -27,6 +29,15 @@ def stub_extractor(text: str, sentences: list[str], memory: list[dict]) -> dict:
     return {"synopsis": text[:40], "chunks": chunks, "links": links}
 
 
+def stub_second_pass(text: str, sentences: list[str], memory: list[dict], chunks: list[dict]) -> dict:
+    """Rates each chunk of the first pass by its length; the last sentence is a chunk, linked to all of them."""
+    words = ("critical", "important", "helpful")
+    rated = [{"chunk_id": c["id"], "importance": words[len(c["content"]) % 3]} for c in chunks]
+    last = {"temp_id": "z", "label": sentences[-1][:12], "content": sentences[-1], "source_sentences": [sentences[-1]], "importance": "critical"}
+    links = [{"from": "z", "to": c["id"], "strength": "helpful"} for c in chunks]
+    return {"importance_annotations": rated, "chunks": [last], "links": links}
+
+
 class ChapterMemory:
     """What one chapter has so far: chunks, edges, generation; ids count from first_id."""
 
@@ -35,10 +46,18 @@ class ChapterMemory:
         self.chunks: list[dict] = []
         self.edges: dict[tuple[int, int], str | None] = {}
         self.extra: list[dict] = []
+        self.fresh: list[dict] = []
 
     def add(self, payload: dict, sentences: list[tuple[int, str]], fragment: int) -> tuple[list[dict], list[tuple[int, int, str | None]]]:
-        """New chunks and edges of a fragment. A link leads from the larger id to the smaller; one with an end that is
-        neither a new name nor a visible id is dropped, a repeated one keeps its first strength."""
+        """New chunks and edges of a fragment with one pass."""
+        added = self.take(payload, sentences, fragment)
+        self.close()
+        return added
+
+    def take(self, payload: dict, sentences: list[tuple[int, str]], fragment: int) -> tuple[list[dict], list[tuple[int, int, str | None]]]:
+        """New chunks and edges of a pass over a fragment. A link leads from the larger id to the smaller; one with an end
+        that is neither a new name nor a visible id (recalled, or of this fragment) is dropped, a repeated one keeps its
+        first strength."""
         place = {s: i for i, s in sentences}
         names, new = {}, []
         for c in payload.get("chunks", []):
@@ -48,7 +67,8 @@ class ChapterMemory:
             names[c.get("temp_id")] = self.next_id
             self.next_id += 1
             new.append(chunk)
-        visible = {c["id"] for c in [*self.extra, *new]}
+        self.fresh += new
+        visible = {c["id"] for c in [*self.extra, *self.fresh]}
         edges = []
         for link in payload.get("links", []):
             a, b = (names.get(e) if isinstance(e, str) else e if e in visible else None for e in (link.get("from"), link.get("to")))
@@ -58,21 +78,33 @@ class ChapterMemory:
             if key not in self.edges:
                 self.edges[key] = link.get("strength")
                 edges.append((*key, link.get("strength")))
-        self.chunks += new
-        found = recalled([(c["id"], c["generation"]) for c in self.chunks], [c["id"] for c in new], sorted(self.edges), self.capacity)
+        return new, edges
+
+    def rate(self, annotations: list[dict]) -> None:
+        """Importance of this fragment's chunks; of several notes on a chunk the last holds, others are left out."""
+        by_id = {c["id"]: c for c in self.fresh}
+        for note in annotations or []:
+            if (chunk := by_id.get(note.get("chunk_id"))) is not None:
+                chunk["importance"] = note.get("importance")
+
+    def close(self) -> None:
+        """End the fragment: choose what the next one sees."""
+        self.chunks += self.fresh
+        found = recalled([(c["id"], c["generation"]) for c in self.chunks], [c["id"] for c in self.fresh], sorted(self.edges), self.capacity)
         by_id = {c["id"]: c for c in self.chunks}
         self.extra = [by_id[i] for i, _ in found]
-        self.generation += 1
-        return new, edges
+        self.fresh, self.generation = [], self.generation + 1
 
 
 _OUT = "chapter_id long, kind string, id long, other_id long, generation int, fragment_id int, sentence_index int, label string, content string, retention string, importance string, strength string"
 
 
-def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000) -> DataFrame:
+def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000, second_pass: SecondPass | None = None) -> DataFrame:
     """Rows of kind chunk, edge and failed of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
 
-    A fragment whose extraction fails adds a row of kind failed with the reason as content; the next one goes on.
+    A second pass sees the first one's chunks, rates them and adds chunks of its own; one without chunks changes nothing.
+    A pass that fails adds a row of kind failed with the reason as content; what came before it stays, the next fragment
+    goes on.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -80,12 +112,20 @@ def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_c
         memory, out = ChapterMemory(chapter * ids_a_chapter), []
         for fragment, part in rows.sort_values(["fragment_id", "sentence_index"]).groupby("fragment_id", sort=True):
             listed = list(zip(part["sentence_index"].tolist(), part["text"].tolist(), strict=True))
+            text, texts = "".join(t for _, t in listed), [t for _, t in listed]
+            chunks, edges = [], []
             try:
-                payload = extractor("".join(t for _, t in listed), [t for _, t in listed], memory.extra)
-                chunks, edges = memory.add(payload, listed, int(fragment))
+                chunks, edges = memory.take(extractor(text, texts, memory.extra), listed, int(fragment))
+                more = second_pass(text, texts, memory.extra, chunks) if second_pass is not None else {}
+                if more.get("chunks"):
+                    memory.rate(more.get("importance_annotations"))
+                    late_chunks, late_edges = memory.take(more, listed, int(fragment))
+                    chunks, edges = chunks + late_chunks, edges + late_edges
             except (ValueError, KeyError) as failure:
                 out.append((chapter, "failed", None, None, None, int(fragment), None, None, f"{type(failure).__name__}: {failure}", None, None, None))
-                continue
+                if not chunks:
+                    continue
+            memory.close()
             out += [(chapter, "chunk", c["id"], None, c["generation"], c["fragment_id"], c["sentence_index"], c["label"], c["content"], c["retention"], c["importance"], None) for c in chunks]
             out += [(chapter, "edge", a, b, None, None, None, None, None, None, None, s) for a, b, s in edges]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])

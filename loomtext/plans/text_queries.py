@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from loomtext.cluster import shared_dir
 from loomtext.functions import json_text
 from loomtext.functions.sentences import fragment_totals
 from loomtext.operators import compression, extraction, grouping, matching, requests, review, weights
 from loomtext.plans import derived as d
 from loomtext.plans.derived import BASE
 from loomtext.schemas import RETENTION, level_name, level_value
-from loomtext.sources import html
+from loomtext.sources import html, workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -249,6 +252,42 @@ def extraction_loop(spark, sf_dir):
     return extraction.extract(d.sentence_rows(spark, sf_dir))
 
 
+_TWO_PASSES = """, f AS (
+  SELECT *, row_number() OVER (PARTITION BY chapter_id, fragment_id ORDER BY sentence_index) - 1 AS k, count(*) OVER (PARTITION BY chapter_id, fragment_id) AS n,
+         max(sentence_index) OVER (PARTITION BY chapter_id, fragment_id, text) AS place
+  FROM s
+),
+made AS (
+  SELECT *, 0 AS pass, ['verbatim', 'detailed', 'focused', 'relevant'][1 + length(text) % 4] AS retention, ['critical', 'important', 'helpful'][1 + length(text) % 3] AS importance FROM f WHERE k % 3 = 0
+  UNION ALL
+  SELECT *, 1, NULL, 'critical' FROM f WHERE k = n - 1
+)
+SELECT chapter_id * 1000000 + row_number() OVER (PARTITION BY chapter_id ORDER BY fragment_id, pass, k) - 1 AS id, chapter_id,
+       (dense_rank() OVER (PARTITION BY chapter_id ORDER BY fragment_id) - 1)::INT AS generation, fragment_id, place AS sentence_index, "left"(text, 12) AS label, retention, importance
+FROM made"""
+
+
+@query(_TWO_PASSES, base=True)
+def two_pass_chunks(spark, sf_dir):
+    rows = extraction.extract(d.sentence_rows(spark, sf_dir), second_pass=extraction.stub_second_pass).where("kind = 'chunk'")
+    return rows.select("id", "chapter_id", "generation", "fragment_id", "sentence_index", "label", "retention", "importance")
+
+
+@query("""SELECT chapter_id, fragment_id, to_json({'synopsis': fragment_id::VARCHAR, 'sentences': list({'text': text, 'token_count': token_count} ORDER BY sentence_index)})::VARCHAR AS value FROM s GROUP BY 1, 2""", base=True)
+def fragment_json(spark, sf_dir):
+    rows = d.sentence_rows(spark, sf_dir)
+    return workspace.fragment_json(rows, rows.select("chapter_id", "fragment_id", F.col("fragment_id").cast("string").alias("synopsis")).distinct())
+
+
+@query("SELECT id, generation, chapter_id, fragment_id, sentence_index, label, content, retention, importance, tokens, weight FROM c", base=True)
+def workspace_append(spark, sf_dir):
+    """Two batches that overlap, stored by chapter and read back."""
+    work, rows = workspace.Workspace(spark, f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}"), d.chunk_rows(spark, sf_dir)
+    work.append("chunks", rows.where("sentence_index % 2 = 0"))
+    work.append("chunks", rows)
+    return work.read("chunks")
+
+
 @query("""SELECT conv_id AS group_key, CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 2 END AS iteration, 0.0::DOUBLE AS score FROM conversations GROUP BY 1""")
 def compression_loop(spark, sf_dir):
     groups = d.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("group_key")).agg(F.min_by("text", "turn").alias("text"))

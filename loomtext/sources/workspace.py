@@ -30,12 +30,18 @@ class Workspace:
         return self.spark.read.schema(schema(table)).parquet(f"{self.path}/{table}")
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows whose key is new; of several with one key the first in order of all columns."""
+        """Add rows whose key is new; of several with one key the first by the table's first column. Keys lie within chapters, so
+        only the chapters that rows has are read."""
         names = schema(table).fieldNames()
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)])
-        new = first_wins(self.read(table), typed, KEYS[table], names[0])
-        writer = new.write.mode("append")
-        (writer.partitionBy("chapter_id") if "chapter_id" in names else writer).parquet(f"{self.path}/{table}")
+        stored = self.read(table)
+        if "chapter_id" in names:
+            stored = stored.join(typed.select("chapter_id").distinct(), "chapter_id", "left_semi")
+        new = first_wins(stored, typed, KEYS[table], names[0])
+        if "chapter_id" in names:
+            new.repartition("chapter_id").write.mode("append").partitionBy("chapter_id").parquet(f"{self.path}/{table}")
+        else:
+            new.write.mode("append").parquet(f"{self.path}/{table}")
 
     def require(self) -> Workspace:
         if not self.exists("chunks"):
@@ -59,7 +65,11 @@ def save_chains(work: Workspace, members: DataFrame, chunks: DataFrame, edges: D
     after = work.read("snakes").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     local = members.select("chapter_id", "group_id", "local_snake_id").distinct()
     per_chapter = local.groupBy("chapter_id").agg(F.count("*").alias("n"))
-    ahead = per_chapter.select("chapter_id", (F.sum("n").over(Window.orderBy("chapter_id")) - F.col("n")).alias("ahead"))  # a row per chapter
+    stretch = F.expr("chapter_id div 65536")
+    per_stretch = per_chapter.groupBy(stretch.alias("stretch")).agg(F.sum("n").alias("n"))  # a row for 65,536 chapters
+    before = per_stretch.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("stretch").orderBy("chapter_id")) - F.col("n")
+    ahead = per_chapter.withColumn("stretch", stretch).withColumn("within", within).join(before, "stretch").select("chapter_id", (F.col("before") + F.col("within")).alias("ahead"))
     number = F.row_number().over(Window.partitionBy("chapter_id").orderBy("group_id", "local_snake_id"))
     ids = local.withColumn("r", number).join(ahead, "chapter_id").select("chapter_id", "group_id", "local_snake_id", (F.lit(after) + F.col("ahead") + F.col("r")).alias("snake_id"))
     rows = members.join(ids, ["chapter_id", "group_id", "local_snake_id"])

@@ -243,3 +243,36 @@ def test_stream_equals_batch(spark, tmp_path):
     flat = spark.createDataFrame([(c, f, i, s) for c, f, ss in rows for i, s in enumerate(ss)], "chapter_id long, fragment_id int, sentence_index int, text string")
     batch = extraction.extract(flat).where("kind = 'chunk'")
     assert {(r.id, r.label) for r in spark.table("streamed").collect()} == {(r.id, r.label) for r in batch.collect()}
+
+
+def test_second_pass_rates_and_links_what_the_first_one_found(spark):
+    flat = spark.createDataFrame([(1, f, i, f"s{f}{i} word.") for f in range(3) for i in range(4)], "chapter_id long, fragment_id int, sentence_index int, text string")
+
+    def second(text, sentences, seen, chunks):
+        if text.startswith("s1"):
+            return {"importance_annotations": [{"chunk_id": chunks[0]["id"], "importance": "critical"}], "chunks": [], "links": []}
+        if text.startswith("s2"):
+            raise ValueError("no answer")
+        return extraction.stub_second_pass(text, sentences, seen, chunks)
+
+    rows = extraction.extract(flat, second_pass=second).collect()
+    chunks = {r.id: r for r in rows if r.kind == "chunk"}
+    first = 1_000_000
+    assert [(chunks[i].fragment_id, chunks[i].generation) for i in sorted(chunks)] == [(0, 0)] * 3 + [(1, 1)] * 2 + [(2, 2)] * 2
+    assert chunks[first].importance is not None and chunks[first + 2].importance == "critical" and chunks[first + 3].importance is None
+    edges = {(r.id, r.other_id) for r in rows if r.kind == "edge"}
+    assert {(first + 2, first), (first + 2, first + 1)} <= edges and all(a > b for a, b in edges)
+    assert [(r.fragment_id, r.content) for r in rows if r.kind == "failed"] == [(2, "ValueError: no answer")]
+
+
+def test_chains_are_numbered_across_chapters(spark, tmp_path):
+    from loomtext.sources.workspace import Workspace, save_chains
+
+    chapters = [1, 2, 70_000, 200_000]
+    chunks = [(c * 10 + k, 0, c, 0, k, f"l{k}", f"t{k}", "focused", None, 3, 1.0) for c in chapters for k in range(4)]
+    work = Workspace(spark, str(tmp_path / "w"))
+    work.append("chunks", spark.createDataFrame(chunks, "id long, generation int, chapter_id long, fragment_id int, sentence_index int, label string, content string, retention string, importance string, tokens int, weight double"))
+    members = spark.createDataFrame([(c, 0, k // 2, c * 10 + k, k % 2) for c in chapters for k in range(4)], "chapter_id long, group_id int, local_snake_id int, chunk_id long, position int")
+    edges = spark.createDataFrame([(c * 10 + 3, c * 10, "helpful", 1.0) for c in chapters], "from_id long, to_id long, strength string, weight double")
+    save_chains(work, members, work.read("chunks"), edges)
+    assert [(r.id, r.chapter_id) for r in work.read("snakes").orderBy("id").collect()] == [(k + 1, chapters[k // 2]) for k in range(8)]
