@@ -49,18 +49,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows in an Arrow batch of texts: whole texts are long, and a batch is held several times over on its way to Python and back.
+#: Rows and bytes in an Arrow batch of texts: whole texts are long, and a batch is held several times over on its way to Python and back.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def with_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have BATCH_ROWS rows at most; for tables of whole texts that go to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, BATCH_ROWS)
+    """df, in a session whose Arrow batches have BATCH_ROWS rows and BATCH_BYTES bytes (or one row) at most; for tables of whole texts that go to Python."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        of = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(df.sparkSession.conf.get(of)) <= bound:
+            df.sparkSession.conf.set(of, bound)
     return df
 
 
+def _bytes(value: str) -> int:
+    """A setting's number; a size with a letter other than b counts as not set."""
+    digits = value.lower().removesuffix("b")
+    return int(digits) if digits.lstrip("-").isdigit() else 0
+
+
 def by_bytes(batches, column: str, limit: int = 1 << 20):
     """Cut record batches so that each has about limit bytes in a text column at most (or one row)."""
     import numpy as np
