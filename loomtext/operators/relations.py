@@ -99,6 +99,16 @@ def first_wins(existing: DataFrame, incoming: DataFrame, keys: list[str], order:
     return incoming.join(existing, keys, "left_anti").withColumn("r", rank).where("r = 1").drop("r")
 
 
+def with_links(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """chunks (id, links, ...) with the ids that edges lead from added to the links of the chunk they lead to, each once.
+
+    Links so far keep their places, new ones follow in order of id; null links count as none; edges to no chunk are left out.
+    """
+    new = edges.where("from_id is not null").groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_set("from_id")).alias("new"))
+    none = F.array().cast("array<bigint>")
+    return chunks.join(new, "id", "left").withColumn("links", F.array_union(F.coalesce("links", none), F.coalesce("new", none))).drop("new")
+
+
 def next_ids(table: DataFrame, *cols: str) -> DataFrame:
     return table.agg(*[F.coalesce(F.max(c) + 1, F.lit(0)).alias(f"next_{c}") for c in cols])
 

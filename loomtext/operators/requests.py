@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.cluster import cut
 from loomtext.functions.json_text import cache_key
 
 Client = Callable[[list[dict], dict], str]
@@ -59,7 +60,10 @@ def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def answers(requests: DataFrame, cache: DataFrame, client: Client = stub_client, options: Options = Options(), wait: float = RETRY_WAIT_S) -> tuple[DataFrame, DataFrame]:
-    """requests with their answer, and the new rows of the cache. requests: messages array<struct<role,content>>."""
+    """requests with their answer, and the new rows of the cache. requests: messages array<struct<role,content>>.
+
+    The new answers are kept in the shared folder when this is called, so that no later action asks again.
+    """
     keyed = with_keys(requests, options)
     given = vars(options)
 
@@ -68,5 +72,5 @@ def answers(requests: DataFrame, cache: DataFrame, client: Client = stub_client,
             got = [ask(client, json.loads(m), given, wait=wait) for m in rows["m"]]
             yield pd.DataFrame({"key": rows["key"], "answer": got})
 
-    new = misses(keyed, cache).select("key", F.to_json("messages").alias("m")).mapInPandas(run, "key string, answer string").where("answer is not null")
+    new = cut(misses(keyed, cache).select("key", F.to_json("messages").alias("m")).mapInPandas(run, "key string, answer string").where("answer is not null"))
     return keyed.join(cache.select("key", "answer").unionByName(new), "key", "left"), new

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomtext.cluster import shared_dir
 from loomtext.functions import json_text
 from loomtext.functions.sentences import fragment_totals
-from loomtext.operators import compression, extraction, grouping, matching, requests, review, weights
+from loomtext.operators import compression, extraction, grouping, matching, requests, review, reviewing, weights
 from loomtext.plans import derived as d
 from loomtext.plans.derived import BASE
 from loomtext.schemas import RETENTION, level_name, level_value
@@ -184,6 +184,18 @@ def llm_request(spark, sf_dir):
     return requests.answers(_requests(spark, sf_dir), empty)[0].select("conv_id", "answer")
 
 
+@query("""SELECT doc_id, 'answer ' || "left"(sha256('Rules for: ' || source), 16) AS guidance FROM documents""")
+def guidance(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("intention"))
+    return reviewing.with_guidance(rows, "Rules for: {{ intention }}").select("doc_id", "guidance")
+
+
+@query("""SELECT conv_id, turn, 'answer ' || "left"(sha256('Check [' || role || '] ' || "text"), 16) AS reviewer FROM conversations""")
+def reviewers(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("label"), F.col("text").alias("content"))
+    return reviewing.with_reviewers(rows, "Check [{{ label }}] {{content}}").select("conv_id", "turn", "reviewer")
+
+
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
