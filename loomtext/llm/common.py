@@ -89,3 +89,18 @@ def carried(docs: DataFrame, held_out: Column, carry: tuple[str, ...], run, sche
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     return with_small_batches(rows).mapInArrow(run, ", ".join([schema, *[f"`carry_{c}` {kinds[c]}" for c in carry]]))
+
+
+#: Keys that hold more than this share of all rows are broadcast by join_counted.
+HOT_SHARE = 1 << 13
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], total: int, share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with table, which has one row a key and the number of rows that hold it in ``weight``; a hot key goes to no single task.
+
+    Keys with more than a share-th of total rows are fewer than share * sum(weight) / total, so they are broadcast; of the
+    others none has more than total / share rows, and they are joined by a shuffle.
+    """
+    hot = F.broadcast(table.where(F.col("weight") * share > total))
+    cold = table.where(F.col("weight") * share <= total)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))

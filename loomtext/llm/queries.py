@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, edit_fingerprints, embedding_dedup, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity
+from . import bpe, edit_fingerprints, embedding_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, near_dedup, packing, pii, sharding, spelling, toxicity
 
-_MODULES = [bpe, edit_fingerprints, embedding_dedup, language_id, lm_scoring, near_dedup, packing, pii, sharding, toxicity]
+_MODULES = [bpe, edit_fingerprints, embedding_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, near_dedup, packing, pii, sharding, spelling, toxicity]
 
 
 def queries() -> dict:
