@@ -35,6 +35,20 @@ def table_of(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_ids(classes: DataFrame, name: str) -> DataFrame:
+    """classes (one row for each digest_a, digest_b) as a written table with a number in ``id`` that no two of them share.
+
+    The number is the digest's first half; classes that have it in common with another one, some hundreds in 10^11, get a
+    hash of both halves instead.
+    """
+    classes = table_of(classes, name)
+    shared = table_of(classes.groupBy("digest_a").agg(F.count("*").alias("n")).where("n > 1").select("digest_a", F.lit(True).alias("shared")), f"{name}-clashes")
+    if shared.isEmpty():
+        return classes.withColumn("id", F.col("digest_a"))
+    number = F.when(F.col("shared"), F.xxhash64("digest_a", "digest_b")).otherwise(F.col("digest_a"))
+    return table_of(classes.join(shared, "digest_a", "left").withColumn("id", number).drop("shared"), name)
+
+
 def id_crc(col: str | Column) -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string").cast("binary"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import blocks_apart, met_hubs
-from .common import by_bytes, read_table, shuffle_partitions, table_of, with_small_batches
+from .common import by_bytes, read_table, shuffle_partitions, table_of, with_ids, with_small_batches
 from .components import components
 
 SAMPLES = 256
@@ -291,9 +291,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", 4 * _BATCH_CHARS):
         found = fingerprints([t or "" for t in batch.column("text").to_pylist()])
         names = [str(f) if f.length else None for f in found]
-        ids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in names]
-        columns = [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array([f.bands() for f in found], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "fingerprint", "bands"])
+        digests = [xxhash.xxh3_128_digest(x) if x else None for x in names]
+        halves = [pa.array([None if d is None else int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests], pa.int64()) for k in (0, 8)]
+        columns = [batch.column("doc_id"), *halves, pa.array(names, pa.string()), pa.array([f.bands() for f in found], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest_a", "digest_b", "fingerprint", "bands"])
 
 
 def _alike(least: float):
@@ -336,9 +337,9 @@ def near_edits(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts are nodes of their own; other columns are ignored; an empty table gives no rows.
     """
     rows = with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = table_of(rows.mapInArrow(_prints, "doc_id long, id long, fingerprint string, bands array<long>"), "prints")
-    classes = prints.where("id is not null and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("lowest"), F.first("fingerprint").alias("payload"), F.first("bands").alias("bands"))
-    classes = table_of(classes, "classes")
+    prints = table_of(rows.mapInArrow(_prints, "doc_id long, digest_a long, digest_b long, fingerprint string, bands array<long>"), "prints")
+    classes = prints.where("digest_a is not null and doc_id is not null").groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("lowest"), F.first("fingerprint").alias("payload"), F.first("bands").alias("bands"))
+    classes = with_ids(classes, "classes")
     shared, to_hub = met_hubs(table_of(classes.select("id", F.posexplode("bands").alias("band", "key")), "bands"))
     payloads = classes.select("id", "payload")
     likely = to_hub.join(payloads.toDF("a", "fa"), "a").join(payloads.toDF("b", "fb"), "b")
@@ -348,9 +349,9 @@ def near_edits(docs: DataFrame, least: float = 0.8) -> DataFrame:
     parts = components(links.union(more))
 
     named = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
-    class_part = table_of(classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select("id", F.coalesce("part", "lowest").alias("part")), "class-parts")
+    class_part = table_of(classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select("digest_a", "digest_b", F.coalesce("part", "lowest").alias("part")), "class-parts")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
-    found = prints.select("doc_id", "id").join(class_part, "id", "left")
+    found = prints.select("doc_id", "digest_a", "digest_b").join(class_part, ["digest_a", "digest_b"], "left")
     return found.select("doc_id", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 
 

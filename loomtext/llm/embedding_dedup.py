@@ -23,13 +23,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, table_of
+from .common import read_table, table_of, with_ids
 from .components import components
 
-#: Vectors that the first splits are fitted on (of all lengths together, lowest hash first), and those of a large leaf's own sample, about.
+#: Vectors that the first splits are fitted on (of all lengths together, about), and those of a large leaf's own sample, about.
 SAMPLE, LEAF_SAMPLE = 32_768, 2_048
 #: A node is split only with so many rows of the sample, so that the median is known well.
 LEAST_FIT = 64
@@ -230,9 +230,10 @@ def leaves_of(classes: DataFrame, least: float) -> DataFrame:
     spark = classes.sparkSession
     counts = {r["size"]: r["count"] for r in classes.groupBy("size").count().where(F.col("count") > LEAF).collect()}
     each = max(SAMPLE // max(len(counts), 1), LEAST_FIT)
-    nth = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("id"), "id"))
-    picked = classes.where(F.col("size").isin(list(counts))).select("size", "id").withColumn("nth", nth).where(F.col("nth") <= each) if counts else None
-    sample = classes.join(F.broadcast(picked.select("id")), "id").select("size", "id", "vec").toArrow().sort_by([("size", "ascending"), ("id", "ascending")]) if counts else None
+    # each row by a hash of its own, so no task sees all ids of a size
+    shares = spark.createDataFrame([(size, each / n) for size, n in counts.items()], "size int, share double")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    sample = classes.join(F.broadcast(shares), "size").where(place < F.col("share")).select("size", "id", "vec").toArrow().sort_by([("size", "ascending"), ("id", "ascending")])
     forests = {}
     for size, n in counts.items():
         vecs = sample.filter(pc.equal(sample.column("size"), size)).column("vec").to_pylist()
@@ -268,9 +269,9 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "
     """
     every = table_of(checked(rows, id_col, vector_col), "vectors")
     good = (F.col("size") > 0) & F.col("vec_id").isNotNull()
-    # a class is known by half of its digest, as ids may repeat with unlike vectors
-    classes = every.where(good).groupBy("digest_a").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("vec").alias("vec"))
-    classes = table_of(classes.withColumnRenamed("digest_a", "id"), "vector-classes")
+    # ids may repeat with unlike vectors, so a class is known by its digest
+    classes = every.where(good).groupBy("digest_a", "digest_b").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("vec").alias("vec"))
+    classes = with_ids(classes, "vector-classes")
     leaves = leaves_of(classes, least)
     sizes = table_of(leaves.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1"), "leaf-sizes")
     blocks = F.expr(f"case when m > {2 * BLOCK} then (m + {BLOCK - 1}) div {BLOCK} else 1 end").cast("int")
@@ -286,10 +287,10 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "
     linked = both.join(copies.toDF("to", "n"), "to").groupBy("id").agg(F.sum("n").alias("linked"))
     lowest = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
     part_of = parts.join(lowest, "component").select("id", "part")
-    per_class = table_of(classes.join(linked, "id", "left").join(part_of, "id", "left").select(F.col("id").alias("digest_a"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("part", "lowest").alias("part")), "class-links")
-    keyed = every.select("vec_id", F.when(good, F.col("digest_a")).alias("digest_a"))
+    per_class = table_of(classes.join(linked, "id", "left").join(part_of, "id", "left").select("digest_a", "digest_b", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("part", "lowest").alias("part")), "class-links")
+    keyed = every.select("vec_id", *[F.when(good, F.col(c)).alias(c) for c in ("digest_a", "digest_b")])
     part = F.when(F.col("vec_id").isNotNull(), F.coalesce("part", "vec_id"))
-    return keyed.join(per_class, "digest_a", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec_id") == part, F.lit(True)).alias("kept"))
+    return keyed.join(per_class, ["digest_a", "digest_b"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec_id") == part, F.lit(True)).alias("kept"))
 
 
 def op8_projection_forest(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import blocks_apart, met_hubs
-from .common import by_bytes, read_table, table_of, with_small_batches
+from .common import by_bytes, read_table, table_of, with_ids, with_small_batches
 from .components import components
 
 REGISTERS, MANTISSA_BITS = 512, 3
@@ -103,21 +103,22 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest_a (64 bits), registers (null for an empty set) of every row."""
+    """doc_id, n_shingles, digest_a, digest_b (64 bits each), registers (null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler(words)
         for batch in by_bytes(batches, "text"):
-            n, a, regs = [], [], []
+            n, a, b, regs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles_of(text)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 a.append(int.from_bytes(d[:8], "little", signed=True))
+                b.append(int.from_bytes(d[8:], "little", signed=True))
                 regs.append(registers_of(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest_a", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest_a", "digest_b", "registers"])
 
-    return with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, registers binary")
+    return with_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, digest_b long, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,14 +170,15 @@ def _blocks_compared(least: float):
 
 
 def _sets(words: int):
-    """id (half of the digest) and the set of each text, as sorted hashes."""
+    """The digest's halves and the set of each text, as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler(words)
         for batch in by_bytes(batches, "text"):
             sets = [shingles_of(t) for t in batch.column("text").to_pylist()]
-            ids = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            halves = [pa.array([int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests], pa.int64()) for k in (0, 8)]
+            yield pa.RecordBatch.from_arrays([*halves, pa.array([x.tobytes() for x in sets], pa.binary())], names=["digest_a", "digest_b", "shingles"])
 
     return run
 
@@ -212,9 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = percent / 100 - MARGIN
     sigs = table_of(signatures(docs, words), "signatures")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    # a node is known by half of its digest; lowest is the smallest id of its rows
-    classes = full.groupBy("digest_a").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    classes = table_of(classes.withColumnRenamed("digest_a", "id"), "classes")
+    # lowest is the smallest id of a class's rows
+    classes = full.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = with_ids(classes, "classes")
     bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, band int, id long"), "bands")
     shared, to_hub = met_hubs(bands)
     regs = classes.select("id", "registers")
@@ -223,9 +225,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that hold on the full sets, as a written table. The set of b meets those of all its pairs, in parts of PART shingles."""
         pairs = table_of(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "lowest", "n"), "id")
+        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "lowest", "n", "digest_a", "digest_b"), "id")
         nodes = table_of(nodes, "nodes")
-        sets = docs_of(texts, nodes).mapInArrow(_sets(words), "id long, shingles binary").join(nodes.select("id"), "id").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = docs_of(texts, nodes).mapInArrow(_sets(words), "digest_a long, digest_b long, shingles binary").join(nodes.select("id", "digest_a", "digest_b"), ["digest_a", "digest_b"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
         sets = table_of(sets, "sets")
         load = pairs.join(nodes.select(F.col("id").alias("a"), "n"), "a").groupBy("b").agg(F.expr(f"cast((sum(n) + {PART - 1}) div {PART} as int)").alias("parts"))
         load = table_of(load, "loads")
@@ -247,9 +249,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = components(links.union(more)) if not more.isEmpty() else parts
 
     named = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
-    class_part = classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select(F.col("id").alias("digest_a"), F.coalesce("part", "lowest").alias("part"))
+    class_part = classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select("digest_a", "digest_b", F.coalesce("part", "lowest").alias("part"))
     class_part = table_of(class_part, "class-parts")
-    joined = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest_a")).alias("digest_a")).join(class_part, "digest_a", "left")
+    joined = sigs.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("digest_a", "digest_b")]).join(class_part, ["digest_a", "digest_b"], "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
     return joined.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 

@@ -61,7 +61,9 @@ TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Lady|г-жа", "m": "Mr|
 NAMED_BEFORE = "named|called|Dear|Hi|Hello|name is|I am|I'm|Name:|Contact:|Author:|Signed|Signed,|Sincerely,|Regards,|heiße|heißt|appelle|llamo|llama|зовут"
 SPOKEN_AFTER = "said|says|wrote|writes|asked|told|replied|lives|lived|met|works|worked|was born|called|phoned|emailed|joined|signed|sagte|schrieb|wohnt|dit|habite|dijo|vive|сказал|сказала"
 
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# possessive groups are matched in a loop, others by recursion: of a domain that ends in its top level any number of labels, of
+# one that something else follows (a@b.com-x) as many as names have
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,63})|(?:\.[A-Za-z0-9-]+){0,20}\.[A-Za-z]{2,})"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]?\d)"
 CARD = r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
@@ -142,13 +144,17 @@ def parts_of(kind: Column, mention: Column) -> Column:
 
 
 def _stream(seed: Column, n: Column) -> Column:
-    """Eight hex digits for each of n places, from hashes of the seed and the place's block of 16."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")), lambda k: F.sha2(F.concat_ws("\u0001", seed, k.cast("string")), 512)), "")
+    """Eight hex digits for each of n places, from hashes of the seed and the place's block of 16: an array of blocks, so that a place is reached at once.
+
+    The seed goes in by an array of one, so that it is made once and not for each block.
+    """
+    blocks = F.sequence(F.lit(0), F.floor(n / 16).cast("int"))
+    return F.transform(F.array(seed), lambda s: F.transform(blocks, lambda k: F.sha2(F.concat_ws("\u0001", s, k.cast("string")), 512)))[0]
 
 
 def _drawn(stream: Column, i: Column, n: int) -> Column:
     """A number below n for place i; no two places share digits."""
-    return (F.conv(F.substring(stream, i * 8 + 1, F.lit(8)), 16, 10).cast("long") % n).cast("int")
+    return (F.conv(F.substring(F.element_at(stream, F.floor(i / 16).cast("int") + 1), (i % 16) * 8 + 1, F.lit(8)), 16, 10).cast("long") % n).cast("int")
 
 
 def _cycle(secret: str) -> dict[str, str]:
@@ -189,7 +195,7 @@ def surrogate(secret: str) -> Column:
     kind, norm, gender, attempt, stream = (F.col(c) for c in ("kind", "norm", "gender", "attempt", "stream"))
     like = lambda s: _characters(s, lambda c, i: _like(c, stream, i))
     grown = F.greatest(attempt - KEEP_DRAWS, F.lit(0))
-    extra = F.sha2(stream, 256)
+    extra = F.sha2(F.array_join(stream, ""), 256)
     digits = F.substring(F.translate(extra, "abcdef", "012345"), F.lit(1), grown)
     letters = F.substring(F.translate(extra, "0123456789", "ghijklmnop"), F.lit(1), grown)
     places = F.sequence(F.lit(0), F.greatest(F.length(norm) + grown, F.lit(1)) - 1)
