@@ -417,7 +417,7 @@ def running_budget(spark, sf_dir):
     return totals.select("chapter_id", "fragment_id", F.floor(run / 1000).cast("int").alias("part"))
 
 
-@query("""SELECT c.id, to_json(list_distinct(list(e.from_id) FILTER (e.from_id IS NOT NULL)).list_sort())::VARCHAR AS links FROM c LEFT JOIN e ON e.to_id = c.id GROUP BY 1""")
+@query("""SELECT c.id, to_json(coalesce(list_distinct(list(e.from_id) FILTER (e.from_id IS NOT NULL)).list_sort(), []))::VARCHAR AS links FROM c LEFT JOIN e ON e.to_id = c.id GROUP BY 1""")
 def link_append(spark, sf_dir):
     edges = d.edge_rows(spark, sf_dir)
     chunks = d.chunk_rows(spark, sf_dir).select("id", F.lit(None).cast("array<bigint>").alias("links"))

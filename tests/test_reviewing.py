@@ -23,23 +23,27 @@ def test_guidance_of_null_and_without_answer(spark):
         reviewing.with_guidance(rows, "{{ intention }}", lambda m, o: "").collect()
 
 
-def _critic(messages, options):
-    """One issue less with every earlier round; the system message names the severity."""
-    left = 2 - sum(m["role"] == "assistant" for m in messages)
-    return "```json\n" + json.dumps({"issues": [{"severity": messages[0]["content"], "problem": messages[-1]["content"], "suggestion": ""}] * left}) + "\n```"
+@pytest.fixture()
+def critic():
+    def answer(messages, options):
+        """One issue less with every earlier round; the system message names the severity."""
+        left = 2 - sum(m["role"] == "assistant" for m in messages)
+        return "```json\n" + json.dumps({"issues": [{"severity": messages[0]["content"], "problem": messages[-1]["content"], "suggestion": ""}] * left}) + "\n```"
 
+    return answer
 
-def test_reviews_keep_their_history(spark):
+
+def test_reviews_keep_their_history(spark, critic):
     reviewers = spark.createDataFrame([(1, 1, 0.5, "major"), (1, 2, 0.25, "critical"), (2, 3, 1.0, "minor")], "group_key long, clue_id long, weight double, reviewer string")
     versions = spark.createDataFrame([(1, "v"), (2, "w")], "group_key long, version string")
-    reviews = reviewing.Reviews(reviewers, _critic)
+    reviews = reviewing.Reviews(reviewers, critic)
     first = reviews(versions, 1)
     assert sorted((r.group_key, r.clue_id, r.issue_index, r.severity, r.problem) for r in first.collect()) == [(1, 1, 0, "major", "v"), (1, 1, 1, "major", "v"), (1, 2, 0, "critical", "v"), (1, 2, 1, "critical", "v"), (2, 3, 0, "minor", "w"), (2, 3, 1, "minor", "w")]
     assert reviews(versions.where("group_key = 1"), 2).count() == 2
     assert {(r.clue_id, len(r.past)) for r in reviews.history.collect()} == {(1, 4), (2, 4), (3, 2)}
 
     groups = spark.createDataFrame([(1, "long text"), (2, "other")], "group_key long, text string")
-    best = compression.compress(groups, lambda rows, k: rows.withColumn("version", F.concat(F.lit(f"{k}:"), "text")), reviewing.Reviews(reviewers, _critic))
+    best = compression.compress(groups, lambda rows, k: rows.withColumn("version", F.concat(F.lit(f"{k}:"), "text")), reviewing.Reviews(reviewers, critic))
     assert sorted((r.group_key, r.iteration, r.score, r.text) for r in best.collect()) == [(1, 3, 0.0, "3:long text"), (2, 3, 0.0, "3:other")]
 
 
