@@ -44,7 +44,7 @@ class ChapterMemory:
     def __init__(self, first_id: int = 0, capacity: int = CAPACITY):
         self.next_id, self.capacity, self.generation = first_id, capacity, 0
         self.chunks: list[dict] = []
-        self.edges: dict[tuple[int, int], str | None] = {}
+        self.edges: dict[tuple[int, int], str | None] = {}  # in the order of insertion, in which the memory's wave follows them
         self.extra: list[dict] = []
         self.fresh: list[dict] = []
 
@@ -90,13 +90,40 @@ class ChapterMemory:
     def close(self) -> None:
         """End the fragment: choose what the next one sees."""
         self.chunks += self.fresh
-        found = recalled([(c["id"], c["generation"]) for c in self.chunks], [c["id"] for c in self.fresh], sorted(self.edges), self.capacity)
+        found = recalled([(c["id"], c["generation"]) for c in self.chunks], [c["id"] for c in self.fresh], list(self.edges), self.capacity)
         by_id = {c["id"]: c for c in self.chunks}
         self.extra = [by_id[i] for i, _ in found]
         self.fresh, self.generation = [], self.generation + 1
 
 
-_OUT = "chapter_id long, kind string, id long, other_id long, generation int, fragment_id int, sentence_index int, label string, content string, retention string, importance string, strength string"
+#: ord: the place of an edge among its chapter's, in order of insertion.
+OUT = "chapter_id long, kind string, id long, other_id long, generation int, fragment_id int, sentence_index int, label string, content string, retention string, importance string, strength string, ord int"
+
+
+def fragment_rows(memory: ChapterMemory, chapter: int, fragment: int, listed: list[tuple[int, str]], extractor: Extractor, second_pass: SecondPass | None) -> list[tuple]:
+    """Rows of kind chunk, edge and failed of the chapter's next fragment (its sentences with their indexes); the memory moves on."""
+    text, texts = "".join(t for _, t in listed), [t for _, t in listed]
+    chunks, edges, out = [], [], []
+    try:
+        chunks, edges = memory.take(extractor(text, texts, memory.extra), listed, fragment)
+        more = second_pass(text, texts, memory.extra, chunks) if second_pass is not None else {}
+        if more.get("chunks"):
+            memory.rate(more.get("importance_annotations"))
+            late_chunks, late_edges = memory.take(more, listed, fragment)
+            chunks, edges = chunks + late_chunks, edges + late_edges
+    except (ValueError, KeyError, TypeError, AttributeError) as failure:  # what payloads of another shape lead to
+        out.append((chapter, "failed", None, None, None, fragment, None, None, f"{type(failure).__name__}: {failure}", None, None, None, None))
+        if not chunks:
+            return out
+    memory.close()
+    out += [(chapter, "chunk", c["id"], None, c["generation"], c["fragment_id"], c["sentence_index"], c["label"], c["content"], c["retention"], c["importance"], None, None) for c in chunks]
+    before = len(memory.edges) - len(edges)
+    return out + [(chapter, "edge", a, b, None, fragment, None, None, None, None, None, s, before + k) for k, (a, b, s) in enumerate(edges)]
+
+
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+    return frame.astype({c: "Int64" for c in ("id", "other_id", "generation", "fragment_id", "sentence_index", "ord")})
 
 
 def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000, second_pass: SecondPass | None = None) -> DataFrame:
@@ -112,23 +139,7 @@ def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_c
         memory, out = ChapterMemory(chapter * ids_a_chapter), []
         for fragment, part in rows.sort_values(["fragment_id", "sentence_index"]).groupby("fragment_id", sort=True):
             listed = list(zip(part["sentence_index"].tolist(), part["text"].tolist(), strict=True))
-            text, texts = "".join(t for _, t in listed), [t for _, t in listed]
-            chunks, edges = [], []
-            try:
-                chunks, edges = memory.take(extractor(text, texts, memory.extra), listed, int(fragment))
-                more = second_pass(text, texts, memory.extra, chunks) if second_pass is not None else {}
-                if more.get("chunks"):
-                    memory.rate(more.get("importance_annotations"))
-                    late_chunks, late_edges = memory.take(more, listed, int(fragment))
-                    chunks, edges = chunks + late_chunks, edges + late_edges
-            except (ValueError, KeyError) as failure:
-                out.append((chapter, "failed", None, None, None, int(fragment), None, None, f"{type(failure).__name__}: {failure}", None, None, None))
-                if not chunks:
-                    continue
-            memory.close()
-            out += [(chapter, "chunk", c["id"], None, c["generation"], c["fragment_id"], c["sentence_index"], c["label"], c["content"], c["retention"], c["importance"], None) for c in chunks]
-            out += [(chapter, "edge", a, b, None, None, None, None, None, None, None, s) for a, b, s in edges]
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
-        return frame.astype({c: "Int64" for c in ("id", "other_id", "generation", "fragment_id", "sentence_index")})
-
-    return sentences.groupBy("chapter_id").applyInPandas(run, _OUT)
+            out += fragment_rows(memory, chapter, int(fragment), listed, extractor, second_pass)
+        return framed(out)
+
+    return sentences.groupBy("chapter_id").applyInPandas(run, OUT)

@@ -54,14 +54,15 @@ def recalled(chunks: list[tuple[int, int]], latest: list[int], edges: list[tuple
 def recall(chunks: DataFrame, edges: DataFrame, capacity: int = CAPACITY, decay: float = DECAY) -> DataFrame:
     """chapter_id, id, score, rank: what each chapter recalls after its last fragment.
 
-    chunks: chapter_id, id, fragment_id, generation; edges: from_id, to_id. A chapter is one group: its graph is
-    bounded by the chapter's length.
+    chunks: chapter_id, id, fragment_id, generation; edges: from_id, to_id and, if they have it, ord, the order of insertion
+    in which the wave follows them (else by ids). A chapter is one group: its graph is bounded by the chapter's length.
     """
     of = chunks.select("chapter_id", "id").toDF("chapter_id", "from_id")
-    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id")
+    order = ["ord"] if "ord" in edges.columns else ["from_id", "to_id"]
+    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id", *[c for c in order if c == "ord"])
 
     def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = nodes.sort_values("id"), links.sort_values(["from_id", "to_id"])
+        nodes, links = nodes.sort_values("id"), links.sort_values(order)
         latest = nodes.loc[nodes["fragment_id"] == nodes["fragment_id"].max(), "id"].tolist() if len(nodes) else []
         found = recalled(list(zip(nodes["id"], nodes["generation"], strict=True)), latest, list(zip(links["from_id"], links["to_id"], strict=True)), capacity, decay)
         return pd.DataFrame([(key[0], i, s, r) for r, (i, s) in enumerate(found)], columns=["chapter_id", "id", "score", "rank"])
@@ -72,10 +73,11 @@ def recall(chunks: DataFrame, edges: DataFrame, capacity: int = CAPACITY, decay:
 def forward_scores(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """chapter_id, id, score of the forward wave from each chapter's last fragment."""
     of = chunks.select("chapter_id", "id").toDF("chapter_id", "from_id")
-    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id")
+    order = ["ord"] if "ord" in edges.columns else ["from_id", "to_id"]
+    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id", *[c for c in order if c == "ord"])
 
     def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = nodes.sort_values("id"), links.sort_values(["from_id", "to_id"])
+        nodes, links = nodes.sort_values("id"), links.sort_values(order)
         latest = nodes.loc[nodes["fragment_id"] == nodes["fragment_id"].max(), "id"].tolist() if len(nodes) else []
         scores = wave(latest, list(zip(links["from_id"], links["to_id"], strict=True)), reflect=False) if latest else {}
         return pd.DataFrame([(key[0], i, s) for i, s in scores.items()], columns=["chapter_id", "id", "score"])

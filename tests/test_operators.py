@@ -230,21 +230,6 @@ def test_fragment_files(spark, tmp_path):
     assert sorted((r.synopsis, r.text) for r in read_fragment_json(spark, str(tmp_path), "gist").collect()) == [("", "y"), ("S", "x")]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from loomtext.streaming.chapters import extract_stream
-
-    rows = [(ch, f, [f"s{ch}{f}{i} word." for i in range(4)]) for ch in range(2) for f in range(3)]
-    src = str(tmp_path / "in")
-    spark.createDataFrame(rows, "chapter_id long, fragment_id int, sentences array<string>").write.parquet(src)
-    out = extract_stream(spark.readStream.schema("chapter_id long, fragment_id int, sentences array<string>").parquet(src))
-    q = out.writeStream.format("memory").queryName("streamed").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    flat = spark.createDataFrame([(c, f, i, s) for c, f, ss in rows for i, s in enumerate(ss)], "chapter_id long, fragment_id int, sentence_index int, text string")
-    batch = extraction.extract(flat).where("kind = 'chunk'")
-    assert {(r.id, r.label) for r in spark.table("streamed").collect()} == {(r.id, r.label) for r in batch.collect()}
-
-
 def test_second_pass_rates_and_links_what_the_first_one_found(spark):
     flat = spark.createDataFrame([(1, f, i, f"s{f}{i} word.") for f in range(3) for i in range(4)], "chapter_id long, fragment_id int, sentence_index int, text string")
 
