@@ -1,6 +1,9 @@
 """Matching of quoted sentences to a fragment's sentences: exact, normalised, contained, in part, with ellipsis, split.
 
-Exact and normalised matches are equi-joins; what is left meets only the sentences of its own fragment.
+Exact and normalised matches are equi-joins. What is left meets only the sentences of its own fragment: each of them where the
+fragment is small, else those that share a seed. A run of LCS_SHARE of the shorter text covers that text's middle
+wherever it lies, so the middle stands whole in the longer text; a hash of a piece of it meets the pieces of the longer text by
+equality, and no pair that could match is left out.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ import math
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +99,72 @@ def normalized_matches(sources: DataFrame, sentences: DataFrame) -> DataFrame:
     return sources.join(first, [*_KEYS, "norm"]).select(*_KEYS, "source_id", "sentence_index")
 
 
-def _candidates(sources: DataFrame, sentences: DataFrame) -> DataFrame:
-    return sources.select(*_KEYS, "source_id", "text", F.col("norm").alias("a")).join(sentences.select(*_KEYS, "sentence_index", F.col("norm").alias("b")), _KEYS)
+#: Fragments with more pairs than this are searched by seeds, whose lengths these are.
+MOST_PAIRS, SEED_LENGTHS = 4096, (6, 12, 24, 48)
+_SEED = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("h", T.LongType())])
+
+
+def _middle(n: int) -> tuple[int, int]:
+    """Where the part of a text of n characters lies that every run of LCS_SHARE of it covers."""
+    run = math.ceil(LCS_SHARE * n)
+    return n - run, run
+
+
+def piece_hashes(text: str, q: int) -> np.ndarray:
+    """A hash of each piece of q characters, in order: polynomial, modulo 2^64."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(max(len(codes) - q + 1, 0), np.uint64)
+    for i in range(q):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(out)]
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+@F.pandas_udf(_SEED)
+def seed_of(s: pd.Series) -> pd.DataFrame:
+    """The longest seed that fits in the middle of a text, taken at its begin."""
+    rows = []
+    for t in s:
+        low, high = _middle(len(t))
+        q = max(k for k in SEED_LENGTHS if k <= high - low)
+        rows.append((q, int(piece_hashes(t[low : low + q], q)[0])))
+    return pd.DataFrame(rows, columns=["q", "h"])
+
+
+@F.pandas_udf(T.ArrayType(_SEED))
+def pieces_of(s: pd.Series) -> pd.Series:
+    """Every piece of a text that a seed could be, once."""
+    return s.map(lambda t: [{"q": q, "h": int(h)} for q in SEED_LENGTHS for h in np.unique(piece_hashes(t, q))])
+
+
+def _met_by_seed(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Rows of short (keys, a_id, a) and long (keys, b_id, b), all of MIN_CONTAINED characters or more, a no longer than b, whose b holds a's middle."""
+    seeds = short.withColumn("seed", seed_of("a"))
+    pieces = long.withColumn("seed", F.explode(pieces_of("b")))
+    n = F.length("a")
+    run = F.ceil(F.lit(str(LCS_SHARE)).cast("decimal(3,2)") * n).cast("int")
+    middle = F.substring(F.col("a"), n - run + 1, 2 * run - n)
+    return seeds.join(pieces, [*_KEYS, "seed"]).where((F.length("a") <= F.length("b")) & F.contains("b", middle)).select(*_KEYS, "a_id", "b_id")
+
+
+def seeded_pairs(sources: DataFrame, sentences: DataFrame) -> DataFrame:
+    """keys, source_id, sentence_index of every pair of a fragment that may be contained or match in part."""
+    a, b = (rows.where(F.length("norm") >= MIN_CONTAINED).select(*_KEYS, key, "norm") for rows, key in ((sources, "source_id"), (sentences, "sentence_index")))
+    ahead = _met_by_seed(a.toDF(*_KEYS, "a_id", "a"), b.toDF(*_KEYS, "b_id", "b")).toDF(*_KEYS, "source_id", "sentence_index")
+    back = _met_by_seed(b.toDF(*_KEYS, "a_id", "a"), a.toDF(*_KEYS, "b_id", "b")).select(*_KEYS, F.col("b_id").alias("source_id"), F.col("a_id").alias("sentence_index"))
+    return ahead.unionByName(back).distinct()
+
+
+def _candidates(sources: DataFrame, sentences: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """keys, source_id, text, a (the source's norm), sentence_index, b (the sentence's): the pairs to compare. Both tables are read several times."""
+    s, t = sources.select(*_KEYS, "source_id", "text", "norm"), sentences.select(*_KEYS, "sentence_index", "norm")
+    counts = s.groupBy(*_KEYS).agg(F.count("*").alias("n")).join(t.groupBy(*_KEYS).agg(F.count("*").alias("m")), _KEYS)
+    large = cut(counts.where(F.col("n") * F.col("m") > most_pairs).select(*_KEYS))
+    a, b = s.withColumnRenamed("norm", "a"), t.withColumnRenamed("norm", "b")
+    each = a.join(large, _KEYS, "left_anti").join(b, _KEYS)
+    if large.isEmpty():
+        return each
+    seeded = seeded_pairs(s.join(large, _KEYS, "left_semi"), t.join(large, _KEYS, "left_semi"))
+    return each.unionByName(seeded.join(a, [*_KEYS, "source_id"]).join(b, [*_KEYS, "sentence_index"]).select(*each.columns))
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -122,7 +190,9 @@ def ellipsis_matches(sources: DataFrame, sentences: DataFrame, normal=normalize_
     """Sources with one ellipsis: the sentence begins with the first part and ends with the second."""
     parts = sources.where(F.col("text").contains("...")).withColumn("p", F.split("text", r"\.\.\.")).where("size(p) = 2")
     parts = parts.withColumn("x", normal(F.col("p")[0])).withColumn("y", normal(F.col("p")[1])).where(f"length(x) >= {MIN_PART} and length(y) >= {MIN_PART}")
-    met = parts.select(*_KEYS, "source_id", "x", "y").join(sentences.select(*_KEYS, "sentence_index", "norm"), _KEYS)
+    head = [*_KEYS, "head"]  # what begins with the first part has its first characters
+    begun = parts.select(*_KEYS, F.substring("x", 1, MIN_PART).alias("head"), "source_id", "x", "y")
+    met = begun.join(sentences.select(*_KEYS, F.substring("norm", 1, MIN_PART).alias("head"), "sentence_index", "norm"), head)
     return met.where(F.col("norm").startswith(F.col("x")) & F.col("norm").endswith(F.col("y"))).select(*_KEYS, "source_id", "sentence_index")
 
 
@@ -130,7 +200,10 @@ def split_matches(sources: DataFrame, sentences: DataFrame, normal=normalize_tex
     """Sources of several sentences: for each part the first sentence equal to it, or containing it or contained in it."""
     parts = sources.withColumn("p", F.filter(F.split("text", r"。|(?<=\.)(?=[一-鿿])"), lambda x: F.trim(x) != "")).where("size(p) >= 2")
     each = parts.select(*_KEYS, "source_id", F.posexplode("p").alias("part", "t")).withColumn("a", normal("t")).where(f"length(a) >= {MIN_PART}")
-    met = each.join(sentences.select(*_KEYS, "sentence_index", F.col("norm").alias("b")), _KEYS).where((F.col("a") == F.col("b")) | contained(F.col("a"), F.col("b")))
+    equal = each.join(sentences.select(*_KEYS, "sentence_index", F.col("norm").alias("a")), [*_KEYS, "a"]).select(*_KEYS, "source_id", "part", "sentence_index")
+    distinct = cut(each.select(*_KEYS, "a").where(f"length(a) >= {MIN_CONTAINED}").distinct().select(*_KEYS, F.struct("a").alias("source_id"), F.col("a").alias("text"), F.col("a").alias("norm")))
+    inside = _candidates(distinct, sentences).where(contained(F.col("a"), F.col("b"))).select(*_KEYS, "a", "sentence_index")
+    met = equal.unionByName(each.join(inside, [*_KEYS, "a"]).select(*equal.columns))
     return met.groupBy(*_KEYS, "source_id", "part").agg(F.min("sentence_index").alias("sentence_index"))
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomtext.cluster import shared_dir
+from loomtext.cluster import cut, shared_dir
 from loomtext.functions import json_text
 from loomtext.functions.sentences import fragment_totals
 from loomtext.operators import compression, extraction, grouping, matching, requests, review, reviewing, weights
@@ -201,21 +201,21 @@ _SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 def _sources(spark, sf_dir):
     """Quotations of every sentence, by its place: as it is, without its last mark and in capitals, cut, or with an ellipsis."""
-    s = d.sentence_rows(spark, sf_dir).where("length(text) >= 30")
+    s = d.sentence_rows(spark, sf_dir)
     t, kind = F.col("text"), F.col("sentence_index") % 4
-    quoted = F.when(kind == 0, t).when(kind == 1, F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 2, F.expr("substring(text, 1, length(text) - 8)")).otherwise(F.concat(F.substring(t, 1, 12), F.lit("..."), F.expr("substring(text, length(text) - 11)")))
+    quoted = F.when(kind == 0, t).when(kind == 1, F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 2, F.expr("substring(text, 1, length(text) - 8)")).otherwise(F.concat(F.substring(t, 1, 12), F.lit("..."), F.right(t, F.lit(12))))
     return s.select("chapter_id", "fragment_id", (F.col("chapter_id") * d.IDS + F.col("sentence_index")).alias("source_id"), quoted.alias("text"))
 
 
-@query(""", src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id, CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, length(text) - 8)
-  ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s WHERE length(text) >= 30)
+@query(""", src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id, CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, greatest(length(text) - 8, 0))
+  ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s)
 SELECT s.chapter_id, s.fragment_id, source_id, max(sentence_index) AS sentence_index FROM src JOIN s ON s.chapter_id = src.chapter_id AND s.fragment_id = src.fragment_id AND s.text = src.text GROUP BY 1, 2, 3""", base=True)
 def exact_match(spark, sf_dir):
     return matching.exact_matches(_sources(spark, sf_dir), d.sentence_rows(spark, sf_dir))
 
 
 _SIMPLE = """, nrm AS (SELECT *, lower(text) AS norm FROM s), src AS (SELECT chapter_id, fragment_id, chapter_id * 1000000 + sentence_index AS source_id,
-  CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, length(text) - 8) ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s WHERE length(text) >= 30)
+  CASE sentence_index % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN "left"(text, greatest(length(text) - 8, 0)) ELSE "left"(text, 12) || '...' || "right"(text, 12) END AS text FROM s)
 """
 
 
@@ -226,7 +226,7 @@ def _lower(df):
 @query(_SIMPLE + """SELECT s.chapter_id, s.fragment_id, source_id, sentence_index FROM src JOIN nrm s ON s.chapter_id = src.chapter_id AND s.fragment_id = src.fragment_id
 WHERE length(lower(src.text)) >= 10 AND length(norm) >= 10 AND (contains(lower(src.text), norm) OR contains(norm, lower(src.text)))""", base=True)
 def containment_match(spark, sf_dir):
-    return matching.containment_matches(_lower(_sources(spark, sf_dir)), _lower(d.sentence_rows(spark, sf_dir)))
+    return matching.containment_matches(cut(_lower(_sources(spark, sf_dir))), cut(_lower(d.sentence_rows(spark, sf_dir))))
 
 
 @query(_SIMPLE + """, parts AS (SELECT chapter_id, fragment_id, source_id, string_split(text, '...') AS p FROM src WHERE text LIKE '%...%')
@@ -239,13 +239,13 @@ def ellipsis_match(spark, sf_dir):
 @query()
 def lcs_match(spark, sf_dir):
     norm = matching.normalize_text("text")
-    return matching.lcs_matches(_sources(spark, sf_dir).withColumn("norm", norm), d.sentence_rows(spark, sf_dir).withColumn("norm", norm))
+    return matching.lcs_matches(cut(_sources(spark, sf_dir).withColumn("norm", norm)), cut(d.sentence_rows(spark, sf_dir).withColumn("norm", norm)))
 
 
 @query()
 def split_match(spark, sf_dir):
     src = _sources(spark, sf_dir).withColumn("text", F.concat("text", F.lit("。"), "text"))
-    return matching.split_matches(src, d.sentence_rows(spark, sf_dir).withColumn("norm", matching.normalize_text("text")))
+    return matching.split_matches(cut(src), cut(d.sentence_rows(spark, sf_dir).withColumn("norm", matching.normalize_text("text"))))
 
 
 @query()
