@@ -214,6 +214,19 @@ def fingerprints(chunks: DataFrame, edges: DataFrame, groups: DataFrame) -> Data
     return component_rows(chunks, edges, groups).mapInPandas(run, "source_id long, id long, ink double")
 
 
+def invalid_components(prints: DataFrame, parts: DataFrame) -> DataFrame:
+    """component, n_sources, n_sets of the components whose fingerprints can't be compared: not all are over the same vertices.
+
+    prints: source_id, id, ink; parts: id, component. A vertex without a fingerprint, one that names a vertex of another component, and
+    a component none of whose vertices has one count too.
+    """
+    sets = prints.groupBy("source_id").agg(F.hex(F.sha2(F.array_join(F.array_sort(F.collect_set("id")).cast("array<string>"), ","), 256).cast("binary")).alias("set"), F.count("*").alias("n"))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    own = parts.join(sizes, "component").join(sets, parts.id == sets.source_id, "left")
+    rated = own.groupBy("component").agg(F.count("source_id").alias("n_sources"), F.count_distinct("set").alias("n_sets"), F.max("size").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return rated.where("n_sources < size or n_sets <> 1 or least <> size or most <> size").select("component", "n_sources", "n_sets")
+
+
 def first_layer(edges: DataFrame) -> DataFrame:
     """Ink that reaches the neighbours of each source in the first layer, before normalisation. edges: with weight."""
     both = edges.select(F.col("from_id").alias("source_id"), F.col("to_id").alias("id"), "weight").unionAll(edges.select("to_id", "from_id", "weight"))

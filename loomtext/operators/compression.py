@@ -8,25 +8,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.cluster import cut
-from loomtext.operators.review import best_version, scores
+from loomtext.operators.requests import Client, Options, stub_client
+from loomtext.operators.review import best_version, compressed_text, feedback_text, scores, target_lengths, without_chunk_tags
+from loomtext.operators.reviewing import answered, message, rendered, with_feedback
 
 Step = Callable[[DataFrame, int], DataFrame]
+COMPRESSION = Options(temperature=0.5)
 
 
-def compress(groups: DataFrame, compressor: Step, reviewer: Step, max_iterations: int = 10) -> DataFrame:
+class Compressor:
+    """The compressing side of the loop, with a dialogue for each group: the marked text, then its own attempts and the feedback on them.
+
+    marked: group_key, marked (the text with its spans). The prompt may hold {{ target }}, {{ at_least }} and {{ at_most }}, lengths
+    of the group's own text. The dialogues are a table, kept in the shared folder from round to round.
+    """
+
+    def __init__(self, marked: DataFrame, prompt: str, client: Client = stub_client, options: Options = COMPRESSION, ratio: float = 0.2, top: int = 9):
+        self.marked, self.prompt, self.client, self.options, self.ratio, self.top = marked, prompt, client, options, ratio, top
+        self.dialogues: DataFrame | None = None
+
+    def _begun(self, groups: DataFrame) -> DataFrame:
+        rows = groups.select("group_key", *target_lengths("text", self.ratio)).join(self.marked.select("group_key", "marked"), "group_key")
+        system = rendered(self.prompt, target="target", at_least="at_least", at_most="at_most")
+        return rows.select("group_key", F.array(message("system", system), message("user", "marked")).alias("dialogue"))
+
+    def __call__(self, groups: DataFrame, round_: int) -> DataFrame:
+        """groups (group_key, text) with answer and version: the answer's section of compressed text without its tags."""
+        if self.dialogues is None:
+            self.dialogues = cut(self._begun(groups))
+        made = answered(groups.join(self.dialogues, "group_key"), F.col("dialogue"), "answer_text", self.client, self.options, "a compression")
+        return made.withColumn("section", compressed_text("answer_text")).select("group_key", "text", without_chunk_tags("section").alias("version"), F.col("answer_text").alias("answer"))
+
+    def told(self, versions: DataFrame, issues: DataFrame) -> None:
+        """Adds a round to the dialogues: the answers that versions hold, and the feedback that their issues make."""
+        feedback = feedback_text(issues, ["group_key"], self.top)
+        rows = self.dialogues.join(versions.select("group_key", "answer"), "group_key").join(feedback, "group_key", "left").withColumn("feedback", F.coalesce("feedback", F.lit("")))
+        self.dialogues = cut(rows.select("group_key", with_feedback("dialogue", "answer", "feedback").alias("dialogue")))
+
+
+def compress(groups: DataFrame, compressor: Step | Compressor, reviewer: Step, max_iterations: int = 10) -> DataFrame:
     """group_key, iteration, score, text: the best version of each group, the first on ties.
 
     groups: group_key, text. compressor(open groups, round) adds version; reviewer(those, round) returns issues
-    (group_key, severity, weight). Every round is one job over all groups that still have issues.
+    (group_key, severity, weight). A compressor that can be told the issues of its versions is. Every round is one job over all groups
+    that still have issues.
     """
+    versions = rounds(groups, compressor, reviewer, max_iterations)
+    best = best_version(versions, "group_key")
+    return best.join(versions.drop("score"), ["group_key", "iteration"])
+
+
+def rounds(groups: DataFrame, compressor: Step | Compressor, reviewer: Step, max_iterations: int = 10) -> DataFrame:
+    """group_key, iteration, score, text: all versions of all groups."""
     open_, versions = groups, None
     for k in range(1, max_iterations + 1):
-        made = cut(compressor(open_, k).select("group_key", "text", "version"))
-        found = scores(reviewer(made, k), "group_key")
+        made = compressor(open_, k)
+        made = cut(made.select("group_key", "text", "version", *[c for c in ("answer",) if c in made.columns]))
+        issues = cut(reviewer(made, k))
+        found = scores(issues, "group_key")
         rated = cut(made.join(found, "group_key", "left").select("group_key", F.lit(k).alias("iteration"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("version").alias("text")))
         versions = rated if versions is None else versions.unionByName(rated)
         open_ = groups.join(rated.where("score > 0").select("group_key"), "group_key", "left_semi")
-        if open_.isEmpty():
+        if k == max_iterations or open_.isEmpty():
             break
-    best = best_version(versions, "group_key")
-    return best.join(versions.drop("score"), ["group_key", "iteration"])
+        if hasattr(compressor, "told"):
+            compressor.told(made, issues)
+    return versions

@@ -101,11 +101,12 @@ OUT = "chapter_id long, kind string, id long, other_id long, generation int, fra
 
 
 def fragment_rows(memory: ChapterMemory, chapter: int, fragment: int, listed: list[tuple[int, str]], extractor: Extractor, second_pass: SecondPass | None) -> list[tuple]:
-    """Rows of kind chunk, edge and failed of the chapter's next fragment (its sentences with their indexes); the memory moves on."""
+    """Rows of kind chunk, edge, synopsis and failed of the chapter's next fragment (its sentences with their indexes); the memory moves on."""
     text, texts = "".join(t for _, t in listed), [t for _, t in listed]
     chunks, edges, out = [], [], []
     try:
-        chunks, edges = memory.take(extractor(text, texts, memory.extra), listed, fragment)
+        payload = extractor(text, texts, memory.extra)
+        chunks, edges = memory.take(payload, listed, fragment)
         more = second_pass(text, texts, memory.extra, chunks) if second_pass is not None else {}
         if more.get("chunks"):
             memory.rate(more.get("importance_annotations"))
@@ -116,6 +117,8 @@ def fragment_rows(memory: ChapterMemory, chapter: int, fragment: int, listed: li
         if not chunks:
             return out
     memory.close()
+    if synopsis := payload.get("fragment_summary") or payload.get("synopsis"):
+        out.append((chapter, "synopsis", None, None, None, fragment, None, None, synopsis, None, None, None, None))
     out += [(chapter, "chunk", c["id"], None, c["generation"], c["fragment_id"], c["sentence_index"], c["label"], c["content"], c["retention"], c["importance"], None, None) for c in chunks]
     before = len(memory.edges) - len(edges)
     return out + [(chapter, "edge", a, b, None, fragment, None, None, None, None, None, s, before + k) for k, (a, b, s) in enumerate(edges)]
@@ -127,7 +130,7 @@ def framed(rows: list[tuple]) -> pd.DataFrame:
 
 
 def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000, second_pass: SecondPass | None = None) -> DataFrame:
-    """Rows of kind chunk, edge and failed of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
+    """Rows of kind chunk, edge, synopsis and failed of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
 
     A second pass sees the first one's chunks, rates them and adds chunks of its own; one without chunks changes nothing.
     A pass that fails adds a row of kind failed with the reason as content; what came before it stays, the next fragment

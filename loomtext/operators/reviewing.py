@@ -28,7 +28,7 @@ def message(role: str, content: Column | str) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content") if isinstance(content, Column) else F.col(content).alias("content"))
 
 
-def _answered(rows: DataFrame, messages: Column, out: str, client: Client, options: Options, what: str) -> DataFrame:
+def answered(rows: DataFrame, messages: Column, out: str, client: Client, options: Options, what: str) -> DataFrame:
     """rows with the answer as out; a request that stays without an answer ends the job."""
     empty = rows.sparkSession.createDataFrame([], "key string, answer string")
     got, _ = answers(rows.withColumn("messages", messages), empty, client, options)
@@ -38,13 +38,13 @@ def _answered(rows: DataFrame, messages: Column, out: str, client: Client, optio
 def with_guidance(rows: DataFrame, template: str, client: Client = stub_client, options: Options = GUIDANCE) -> DataFrame:
     """rows with a column guidance for their column intention, asked once for each distinct intention."""
     one = rows.select("intention").where("intention is not null").distinct()
-    made = _answered(one, F.array(message("user", rendered(template, intention="intention"))), "guidance", client, options, "an intention")
+    made = answered(one, F.array(message("user", rendered(template, intention="intention"))), "guidance", client, options, "an intention")
     return rows.join(made, "intention", "left")
 
 
 def with_reviewers(clues: DataFrame, template: str, client: Client = stub_client, options: Options = GUIDANCE) -> DataFrame:
     """clues (group_key, clue_id, weight, label, content) with the text that tells the clue's reviewer what to look for, as reviewer."""
-    return _answered(clues, F.array(message("user", rendered(template, label="label", content="content"))), "reviewer", client, options, "a clue's reviewer")
+    return answered(clues, F.array(message("user", rendered(template, label="label", content="content"))), "reviewer", client, options, "a clue's reviewer")
 
 
 class Reviews:
@@ -65,7 +65,7 @@ class Reviews:
         else:
             rows = rows.join(self.history, ["group_key", "clue_id"], "left").withColumn("past", F.coalesce("past", F.array().cast(MESSAGES)))
         asked = F.concat(F.array(message("system", "reviewer")), F.col("past"), F.array(message("user", "version")))
-        got = cut(_answered(rows, asked, "review", self.client, self.options, "a review"))
+        got = cut(answered(rows, asked, "review", self.client, self.options, "a review"))
         now = got.select("group_key", "clue_id", F.concat("past", F.array(message("user", "version"), message("assistant", "review"))).alias("past"))
         others = None if self.history is None else self.history.join(now, ["group_key", "clue_id"], "left_anti")
         self.history = cut(now if others is None else now.unionByName(others))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+from loomtext import flow
 from loomtext.cluster import cut, shared_dir
 from loomtext.functions import json_text
 from loomtext.functions.sentences import fragment_totals
@@ -306,3 +309,53 @@ def compression_loop(spark, sf_dir):
     shorter = lambda rows, k: rows.withColumn("version", F.expr(f"substring(text, 1, length(text) div {k + 1})"))
     strict = lambda rows, k: rows.where((F.col("group_key") % 4 != 0) & (F.lit(k) < 2)).select("group_key", F.lit("major").alias("severity"), F.lit(0.5).alias("weight"))
     return compression.compress(groups, shorter, strict, max_iterations=4).select("group_key", "iteration", "score")
+
+
+def _shortened(messages, options):
+    """The user's first text, cut the shorter the more attempts there were."""
+    attempts = sum(m["role"] == "assistant" for m in messages)
+    text = messages[1]["content"]
+    return f"Thoughts.\n## Compressed Text\n\n<chunk>{text[: len(text) // (attempts + 2)]}</chunk>\n---\nend"
+
+
+def _fewer_issues(messages, options):
+    """As many issues as the version's length says, one less for each earlier round; the first message names the severity."""
+    left = (len(messages[-1]["content"]) + len(messages[0]["content"])) % 5 - sum(m["role"] == "assistant" for m in messages)
+    return "```json\n" + json.dumps({"issues": [{"severity": messages[0]["content"], "problem": "p", "suggestion": "s"}] * max(left, 0)}) + "\n```"
+
+
+@query("""WITH base AS (SELECT conv_id, regexp_replace(arg_min("text", turn), '^\\s+|\\s+$', '', 'g') AS t, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u FROM conversations GROUP BY 1),
+rounds AS (SELECT conv_id, k, length(t) // (k + 1) AS n, u FROM base, range(1, 5) r(k)),
+rated AS (SELECT conv_id, k, 3 * 0.5::DOUBLE * greatest((n + 5) % 5 - (k - 1), 0) + CASE WHEN u = 1 THEN 9 * 0.25::DOUBLE * greatest((n + 8) % 5 - (k - 1), 0) ELSE 0 END AS score FROM rounds),
+stops AS (SELECT conv_id, min(k) FILTER (score = 0) AS stop FROM rated GROUP BY 1)
+SELECT r.conv_id AS group_key, arg_min(k, (score, k))::INT AS iteration, min(score) AS score FROM rated r JOIN stops s ON r.conv_id = s.conv_id WHERE k <= coalesce(stop, 4) GROUP BY 1""")
+def compression_history(spark, sf_dir):
+    """Compressor and reviewers with their dialogues: both count their earlier rounds, so a history that is lost or doubled shows in the scores."""
+    rows = d.table(spark, sf_dir, "conversations")
+    groups = rows.groupBy(F.col("conv_id").alias("group_key")).agg(F.regexp_replace(F.min_by("text", "turn"), r"^\s+|\s+$", "").alias("text"))
+    one = groups.select("group_key", F.lit(1).cast("long").alias("clue_id"), F.lit(0.5).alias("weight"), F.lit("major").alias("reviewer"))
+    users = rows.where("role = 'user'").select(F.col("conv_id").alias("group_key")).distinct()
+    two = users.select("group_key", F.lit(2).cast("long").alias("clue_id"), F.lit(0.25).alias("weight"), F.lit("critical").alias("reviewer"))
+    compressor = compression.Compressor(groups.withColumnRenamed("text", "marked"), "Shorten to {{ target }}", _shortened)
+    return compression.compress(groups, compressor, reviewing.Reviews(one.unionByName(two), _fewer_issues), max_iterations=4).select("group_key", "iteration", "score")
+
+
+def _kept_spans(messages, options):
+    """A reviewer's text for a clue, a compression of a marked text, or a review, by what is asked."""
+    said = messages[-1]["content"]
+    if messages[0]["content"].startswith("Say what"):
+        return "Look for " + said[:60]
+    if messages[0]["content"].startswith("Shorten"):
+        spans = re.findall(r"<chunk [^>]*>(.*?)</chunk>", messages[1]["content"], re.S)
+        attempts = sum(m["role"] == "assistant" for m in messages)
+        return " ".join(spans[:: attempts + 1])
+    rounds = sum(m["role"] == "assistant" for m in messages)
+    return json.dumps({"issues": [{"severity": "major", "problem": "too long", "suggestion": "cut"}] * (len(said) > 400 and rounds < 2)})
+
+
+@query()
+def summaries(spark, sf_dir):
+    """A text for each document, the whole way: extraction, weights, groups, chains, clues, marked text, compression and reviews."""
+    chapters = d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), "text")
+    settings = flow.Settings(fragment_tokens=d.BUDGET, group_tokens=1000, max_iterations=3, client=_kept_spans)
+    return flow.Flow(spark, f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}", settings).run(chapters)

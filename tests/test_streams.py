@@ -44,7 +44,7 @@ def test_stream_over_batches_equals_batch(spark, tmp_path):
     batch = extraction.extract(flat, fails_once, second_pass=extraction.stub_second_pass)
     names = batch.columns
     assert sorted(map(repr, spark.table("streamed_chapters").select(*names).collect())) == sorted(map(repr, batch.collect()))
-    assert {r.kind for r in batch.collect()} == {"chunk", "edge", "failed"}
+    assert {r.kind for r in batch.collect()} == {"chunk", "edge", "synopsis", "failed"}
 
 
 def test_a_batch_writes_what_it_adds(spark, tmp_path):
