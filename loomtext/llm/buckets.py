@@ -1,8 +1,10 @@
 """Comparing what shares band keys, without all pairs of a bucket.
 
 In a bucket every class is first compared with the bucket's smallest id only, and of the buckets of a class only with
-two: the smallest and the most frequent of these ids. That settles large groups of near copies. What is then still
-in different components of a bucket is compared in blocks, so no pair of classes that shares a key goes unseen.
+two: the smallest and the most frequent of these ids. Where many are still apart, as in a group of copies each of which is
+like a few others only, a quarter of the bands at a time joins each class to what seems most like it in another component, which
+leaves few components. What is then still in different components of a bucket is compared in blocks, so no pair of classes that shares a
+key goes unseen.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table_of
+from .components import components
+
+#: The bands take so many turns; one is left out where no more than so many pairs a row are apart in its bands.
+TURNS, PAIRS_A_ROW = 4, 4
 
 
 def met_hubs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,21 +28,57 @@ def met_hubs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, table_of(two.select(F.col("id").alias("a"), F.explode("hubs").alias("b")), "to-hub")
 
 
+def open_rows(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, band, id, component of the buckets that hold more than one component, as a written table."""
+    marked = shared.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    marked = table_of(marked, "marked")
+    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return table_of(marked.join(table_of(mixed, "mixed"), "key"), "open")
+
+
+def pairs_apart(open_: DataFrame) -> tuple[int, float]:
+    """Rows, and pairs of rows of a bucket that are in different components."""
+    sizes = open_.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
+    per_key = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    found = per_key.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("pairs")).first()
+    return int(found["rows"] or 0), float(found["pairs"] or 0)
+
+
+def joined_by_best(shared: DataFrame, links: DataFrame, done: DataFrame, payloads: DataFrame, block: int, best, compare) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links, components and compared pairs (a, b; larger id first) after the bands' turns.
+
+    best gives, of blocks to compare, pairs (a, b) of each member and what seems most like it in other components; compare gives the links
+    among pairs, as a written table.
+    """
+    parts = components(links)
+    for turn in range(TURNS):
+        open_ = open_rows(shared.where(F.pmod("band", F.lit(TURNS)) == turn), parts)
+        rows, pairs = pairs_apart(open_)
+        if pairs <= PAIRS_A_ROW * rows:
+            continue
+        found = best(blocks_of(open_, payloads, block)).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        met = table_of(found.join(done, ["a", "b"], "left_anti"), "best-pairs")
+        links, done = links.unionByName(compare(met)), done.unionByName(met)
+        parts = components(links)
+    return links, parts, done
+
+
 def blocks_apart(shared: DataFrame, parts: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
+    """blocks_of what is open in all buckets."""
+    return blocks_of(open_rows(shared, parts), payloads, block)
+
+
+def blocks_of(open_: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
     """band, left, right: blocks of about so many members (id, component, payload) to compare where components differ.
 
     Members of one large component make a pool, which meets other pools only; all small components of a bucket are
     in one pool, whose blocks also meet each other.
     """
-    marked = shared.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    marked = table_of(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_rows = table_of(marked.join(table_of(mixed, "mixed"), "key"), "open")
-    per_part = open_rows.groupBy("key", "component").agg(F.count("*").alias("n")).withColumn("big", F.col("n") >= block)
+    per_part = open_.groupBy("key", "component").agg(F.count("*").alias("n")).withColumn("big", F.col("n") >= block)
     pool = per_part.withColumn("pool", F.when(F.col("big"), F.col("component")).otherwise(-1))
     per_pool = table_of(pool.groupBy("key", "pool").agg(F.sum("n").alias("m")), "pools")
     placed = (
-        open_rows.join(table_of(pool.select("key", "component", "pool"), "part-pools"), ["key", "component"])
+        open_.join(table_of(pool.select("key", "component", "pool"), "part-pools"), ["key", "component"])
         .join(per_pool, ["key", "pool"])
         .withColumn("block", F.expr(f"pmod(xxhash64(id), (m + {block - 1}) div {block})"))
     )

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import blocks_apart, met_hubs
+from .buckets import blocks_apart, joined_by_best, met_hubs
 from .common import by_bytes, read_table, table_of, with_ids, with_small_batches
 from .components import components
 
@@ -147,7 +147,9 @@ def _estimated(least: float):
     return run
 
 
-def _blocks_compared(least: float):
+def _blocks_compared(least: float, best: bool = False):
+    """Pairs of unlike components whose estimate is high enough; best: for each member of a left block the one of the highest estimate alone."""
+
     def unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["payload"] for m in members), np.uint8).reshape(-1, REGISTERS))
 
@@ -159,7 +161,14 @@ def _blocks_compared(least: float):
                 band = one.column("band")[0].as_py()
                 (i, ci, ri), (j, cj, rj) = unpack(one.column("left")[0].as_py()), unpack(one.column("right")[0].as_py())
                 for k in range(len(i)):
-                    near = np.flatnonzero((cj != ci[k]) & (estimate(rj, ri[k]) >= least))
+                    guess = np.where(cj != ci[k], estimate(rj, ri[k]), -1.0)
+                    if best:
+                        near = int(guess.argmax())
+                        if guess[near] >= least:
+                            a.append(int(i[k]))
+                            b.append(int(j[near]))
+                        continue
+                    near = np.flatnonzero(guess >= least)
                     same = (rj[near, : BANDS * BAND_WIDTH] == ri[k, : BANDS * BAND_WIDTH]).reshape(-1, BANDS, BAND_WIDTH).all(axis=2)
                     near = near[same.argmax(axis=1) == band] if len(near) else near  # a pair counts in the first band it shares
                     b += j[near].tolist()
@@ -236,15 +245,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         met = left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "set_a", "set_b")
         return table_of(met.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
-    likely = to_hub.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(_estimated(least), "a long, b long")
-    links = linked(likely)
-    parts = components(links)
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among pairs, as a written table: what the registers make likely is confirmed."""
+        likely = pairs.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
+        return linked(likely.mapInArrow(_estimated(least), "a long, b long"))
+
+    payloads = regs.withColumnRenamed("registers", "payload")
+    best = lambda blocks: blocks.mapInArrow(_blocks_compared(least, best=True), "a long, b long")
+    links, parts, done = joined_by_best(shared, compared(to_hub), likely_pairs(to_hub), payloads, BLOCK, best, compared)
 
     # what shares a key and is not in one component yet
-    met = blocks_apart(shared, parts, regs.withColumnRenamed("registers", "payload"), BLOCK)
+    met = blocks_apart(shared, parts, payloads, BLOCK)
     rest = met.mapInArrow(_blocks_compared(least), "a long, b long")
-    done = likely_pairs(to_hub)
-    rest = rest.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    rest = rest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     more = linked(rest)
     parts = components(links.union(more)) if not more.isEmpty() else parts
 

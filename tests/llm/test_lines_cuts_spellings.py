@@ -210,3 +210,39 @@ def test_word_counts(spark, monkeypatch):
                 want[run] = want.get(run, 0) + 1
     got = {r.word: r.n for r in spelling.word_counts(table(spark, rows), one_in=97).collect()}
     assert got == {w: n for w, n in want.items() if n >= 3} and "othe" not in got and any(len(w) > 1_000_000 for w in got)
+
+
+# -- buckets
+
+
+def test_best_partners_in_turns_keep_every_component(spark, monkeypatch):
+    """Groups of copies each of which is like a few others only: the turns change what is compared, not what is found."""
+    from loomtext.llm import buckets, near_dedup
+
+    dice = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for group in range(3):
+        base = dice.choices(words, k=120)
+        for _ in range(90):  # each copy leaves out or changes some words, so two copies are linked or not by chance
+            own = [w if dice.random() > 0.025 else dice.choice(words) for w in base]
+            texts.append((len(texts), " ".join(own)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    shingles = [{tuple(t.split()[k : k + 3]) for k in range(118)} for _, t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            if 100 * len(a & shingles[j]) >= 80 * len(a | shingles[j]) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: top(i) for i in range(len(texts))}
+    for most in (0, 4, 10**9):
+        monkeypatch.setattr(buckets, "PAIRS_A_ROW", most)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 3, 80).collect()}
+        assert got == want
+    assert 3 < len(set(want.values())) < 200
