@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.sentences import fragment_totals, joined_text
-from loomtext.operators import chains, clues, markup, memory, relations, review, weights
+from loomtext.operators import chains, clues, diffusion, markup, memory, relations, review, weights
 from loomtext.plans import derived as d
 from loomtext.plans.derived import BASE
 from loomtext.sources import workspace
@@ -135,9 +135,48 @@ def ink_fingerprint_layer1(spark, sf_dir):
     return chains.first_layer(d.weighted_edges(spark, sf_dir)).select("source_id", "id", F.round("ink", 9).alias("ink"))
 
 
-@query()
+#: Edges within groups, weighed alone; then a layer of ink for each step, the last layer carried along as it closes vertices too.
+_INK = """, ge AS (SELECT from_id, to_id, st FROM e JOIN c a ON a.id = from_id JOIN c b ON b.id = to_id WHERE a.chapter_id = b.chapter_id AND a.fragment_id // 2 = b.fragment_id // 2),
+ginc AS (SELECT id, sum(st) AS total FROM (SELECT from_id AS id, st FROM ge UNION ALL SELECT to_id, st FROM ge) GROUP BY 1),
+gw AS MATERIALIZED (SELECT ge.*, greatest(a.weight * st / ia.total + b.weight * st / ib.total, 0.1::DOUBLE) AS weight
+  FROM ge JOIN c a ON a.id = from_id JOIN c b ON b.id = to_id JOIN ginc ia ON ia.id = from_id JOIN ginc ib ON ib.id = to_id),
+near AS MATERIALIZED (SELECT id, other, sum(weight) AS weight FROM (SELECT from_id AS id, to_id AS other, weight FROM gw UNION ALL SELECT to_id, from_id, weight FROM gw) WHERE id <> other GROUP BY 1, 2),
+flow AS (
+  SELECT id AS source_id, id, 1.0::DOUBLE AS ink, 0 AS layer, 0 AS step FROM c
+  UNION ALL
+  (WITH given AS (
+     SELECT f.source_id, near.other AS id, f.ink * near.weight / sum(near.weight) OVER (PARTITION BY f.source_id, f.id) * 0.75 AS ink, f.step
+     FROM flow f JOIN near ON near.id = f.id
+     WHERE f.layer = f.step AND NOT EXISTS (SELECT 1 FROM flow o WHERE o.source_id = f.source_id AND o.id = near.other)),
+   fresh AS (SELECT source_id, id, sum(ink) AS ink, step + 1 AS layer, step + 1 AS step FROM given GROUP BY source_id, id, step)
+   SELECT * FROM fresh UNION ALL SELECT source_id, id, ink, layer, step + 1 FROM flow WHERE layer = step AND source_id IN (SELECT source_id FROM fresh))
+),
+spread AS MATERIALIZED (SELECT source_id, id, ink FROM flow WHERE layer = step),
+print AS MATERIALIZED (SELECT source_id, id, ink / sum(ink) OVER (PARTITION BY source_id) AS ink FROM spread)
+"""
+
+
+@query(_INK + "SELECT source_id, id, round(ink, 9) AS ink FROM print")
 def ink_fingerprint(spark, sf_dir):
-    return chains.fingerprints(d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir))
+    found = chains.fingerprints(d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir))
+    return found.select("source_id", "id", F.round("ink", 9).alias("ink"))
+
+
+@query(_INK + "SELECT source_id, id, layer, round(ink, 9) AS ink FROM flow WHERE layer = step")
+def ink_layers(spark, sf_dir):
+    c = d.chunk_rows(spark, sf_dir)
+    found = diffusion.ink_layers(diffusion.inner_weights(c, d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir)), c)
+    return found.select("source_id", "id", "layer", F.round("ink", 9).alias("ink"))
+
+
+@query(_INK + """SELECT from_id, to_id, round(sqrt(sum(x * x)), 6) AS distance FROM (
+  SELECT from_id, to_id, id, sum(ink) AS x FROM (
+    SELECT p.from_id, p.to_id, print.id, ink FROM (SELECT DISTINCT from_id, to_id FROM ge) p JOIN print ON source_id = from_id
+    UNION ALL SELECT p.from_id, p.to_id, print.id, -ink FROM (SELECT DISTINCT from_id, to_id FROM ge) p JOIN print ON source_id = to_id) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def ink_distance(spark, sf_dir):
+    c, e, g = d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir)
+    found = diffusion.distances(diffusion.fingerprints(c, e, g), relations.group_edges(c, e, g))
+    return found.select("from_id", "to_id", r6("distance").alias("distance"))
 
 
 @query()
