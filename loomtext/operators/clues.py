@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,34 +41,83 @@ def overlaps(clues: DataFrame, members: DataFrame, keys: list[str], shared: str
 def merged(clues: list[dict], max_clues: int = MAX_CLUES, label: str = MERGED_LABEL) -> list[dict]:
     """Merge the tail pair that shares most fragments until max_clues are left; weights then sum to 1.
 
-    A clue: clue_id, label, weight, chunks (sorted (sentence id, chunk id) pairs), fragments (set), sources.
+    A clue: clue_id, label, weight, chunks (sorted (sentence id, chunk id) pairs), fragments (set), sources. Clues are in order of
+    weight, equal ones by clue_id, merged ones after the others; equally good pairs go by that order, and so do pairs that share nothing.
+
+    The order of two clues never changes, so a pair that shares fragments goes into a heap once, when both its clues are in the tail, and
+    is skipped later if one is gone. Pairs that share nothing are never made.
     """
-    clues, made = sorted(clues, key=lambda c: (-c["weight"], c["clue_id"])), 0
-    while len(clues) > max_clues:
-        clues.sort(key=lambda c: -c["weight"])
-        late = clues[int(max_clues * HEAD_SHARE) :]
-        if len(late) < 2:
-            break
-        pairs = [(len(a["fragments"] & b["fragments"]), -i, -j) for i, a in enumerate(late) for j, b in enumerate(late) if i < j]
-        _, i, j = max(pairs)
-        a, b = late[-i], late[-j]
-        made -= 1
+    head_size = int(max_clues * HEAD_SHARE)
+    order = {c["clue_id"]: (-c["weight"], 0, c["clue_id"]) for c in clues}
+    by_id = {c["clue_id"]: c for c in clues}
+    ranked = sorted(order.values())
+    number = {f: k for k, f in enumerate({f: None for c in clues for f in c["fragments"]})}
+    bits = {c["clue_id"]: sum(1 << number[f] for f in c["fragments"]) for c in clues}
+    head, late = ranked[:head_size], ranked[head_size:]  # both in order
+    near: dict[int, set[int]] = {}  # a tail clue's tail clues with a fragment in common
+    heap: list[tuple] = []
+
+    def push(a: int, b: int) -> None:
+        first, second = sorted((order[a], order[b]))
+        heapq.heappush(heap, (-(bits[a] & bits[b]).bit_count(), first, second))
+
+    def enter(c: int, others: set[int]) -> None:
+        near[c] = others
+        for o in others:
+            near[o].add(c)
+            push(c, o)
+
+    def name(key: tuple) -> int:
+        return key[2]
+
+    holders: dict = {}
+    for key in late:
+        c = name(key)
+        fragments = by_id[c]["fragments"]
+        enter(c, {o for f in fragments for o in holders.get(f, ())})
+        for f in fragments:
+            holders.setdefault(f, []).append(c)
+    made = 0
+    while len(head) + len(late) > max_clues and len(late) >= 2:
+        while heap and (name(heap[0][1]) not in near or name(heap[0][2]) not in near):
+            heapq.heappop(heap)
+        first, second = heapq.heappop(heap)[1:] if heap else late[:2]
+        a, b = by_id.pop(name(first)), by_id.pop(name(second))
+        others = (near.pop(a["clue_id"]) | near.pop(b["clue_id"])) - {a["clue_id"], b["clue_id"]}
+        for o in others:
+            near[o] -= {a["clue_id"], b["clue_id"]}
+        for key in (first, second):
+            del late[bisect.bisect_left(late, key)]
+        made += 1
         sources = [*a["sources"], *b["sources"]]
-        one = {
-            "clue_id": made, "label": label.format(n=len(sources)), "weight": a["weight"] + b["weight"], "sources": sources,
-            "chunks": sorted(a["chunks"] + b["chunks"], key=lambda c: c[0]), "fragments": a["fragments"] | b["fragments"],
-        }
-        clues = [c for c in clues if c is not a and c is not b] + [one]
-    total = sum(c["weight"] for c in clues)
-    for c in clues:
+        new = {"clue_id": -made, "label": label.format(n=len(sources)), "weight": a["weight"] + b["weight"], "sources": sources, "parts": [*a.get("parts", [a]), *b.get("parts", [b])]}
+        key = (-new["weight"], made, -made)
+        by_id[-made], order[-made] = new, key
+        bits[-made] = bits.pop(a["clue_id"]) | bits.pop(b["clue_id"])
+        if head and key < head[-1]:
+            bisect.insort(head, key)
+            key = head.pop()  # the lightest of the head falls into the tail
+            c = name(key)
+            others = {o for o in near if bits[o] & bits[c]}
+        bisect.insort(late, key)
+        enter(name(key), others)
+    total = sum(c["weight"] for c in by_id.values())
+    out = []
+    for c in (by_id[name(key)] for key in head + late):
+        parts = c.pop("parts", None)
+        if parts:
+            c["chunks"] = sorted((x for p in parts for x in p["chunks"]), key=lambda x: x[0])
+            c["fragments"] = set().union(*(p["fragments"] for p in parts))
         c["weight"] = c["weight"] / total if total > 0 else c["weight"]
-    return sorted(clues, key=lambda c: -c["weight"])
+        out.append(c)
+    return out
 
 
 def merge_clues(members: DataFrame, keys: list[str], max_clues: int = MAX_CLUES, overlap_key: str = "fragment", label: str = MERGED_LABEL) -> DataFrame:
     """Clues of each key. members: keys, snake_id, label, weight (of the chain), chunk_id, chapter_id, fragment_id, sentence_index.
 
-    overlap_key: 'fragment' compares fragments, 'chapter' chapters. A key's chains are those of one group.
+    overlap_key: 'fragment' compares fragments, 'chapter' chapters. A key's chains are those of one group and are merged in one
+    task, which holds their rows and the pairs of its tail that share a fragment.
     """
     kinds = dict(members.dtypes)
 
