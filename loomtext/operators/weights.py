@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.cluster import cut
+from loomtext.operators.running_order import RunningOrder
 from loomtext.schemas import IMPORTANCE, RETENTION, STRENGTH, level_value
 
 EDGE_FLOOR = 0.1
@@ -85,13 +87,48 @@ def value_at_rank(values: DataFrame, share: float) -> DataFrame:
     return ranked.where("r = within").select("n", F.col("v").alias("threshold"))
 
 
-def incision_levels(incisions: DataFrame, share: float = 0.98, digits: int = 9) -> DataFrame:
-    """start_level and end_level, 0 to 10, on a logarithmic scale below the share's value; digits rounds float sums first."""
-    rounded = incisions.withColumn("start_incision", F.round("start_incision", digits)).withColumn("end_incision", F.round("end_incision", digits))
-    values = rounded.select(F.explode(F.array("start_incision", "end_incision")).alias("v")).where("v > 0")
+def _corpus_facts(values: DataFrame, share: float) -> DataFrame:
     top = value_at_rank(values, share)
     normal = values.join(F.broadcast(top), F.col("v") < F.col("threshold")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    facts = F.broadcast(normal.join(top, F.lit(True), "left"))  # one row
+    return normal.join(top, F.lit(True), "left")  # one row
+
+
+def _chapter_facts(values: DataFrame, share: float) -> DataFrame:
+    own = Window.partitionBy("chapter_id")
+    placed = values.withColumn("r", F.row_number().over(own.orderBy("v")) - 1).withColumn("n", F.count("*").over(own))
+    top = placed.where(F.col("r") == F.least(F.floor(F.col("n") * share), F.col("n") - 1)).select("chapter_id", F.col("v").alias("threshold"))
+    normal = values.join(top, "chapter_id").where("v < threshold").groupBy("chapter_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return top.join(normal, "chapter_id", "left")
+
+
+def _prefix_facts(values: DataFrame, chapters: DataFrame, share: float) -> DataFrame:
+    """Facts of the values of all chapters up to and including each one, in order of chapter_id."""
+    order = RunningOrder.of(values, chapters)
+    top = cut(order.at(chapters.select("chapter_id").distinct(), F.least(F.floor(F.col("n") * share), F.col("n") - 1)).withColumnRenamed("v", "threshold"))
+    # the smallest value, and the last one below the threshold, are two more places of the same order
+    ends = top.where("less > 0").select("chapter_id", F.explode(F.array(F.lit(0).cast("long"), F.col("less") - 1)).alias("place")).distinct()
+    normal = order.at(ends, F.col("place")).groupBy("chapter_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return top.select("chapter_id", "threshold").join(normal, "chapter_id", "left")
+
+
+def incision_levels(incisions: DataFrame, share: float = 0.98, digits: int = 9, scope: str = "corpus") -> DataFrame:
+    """start_level and end_level, 0 to 10, on a logarithmic scale below the share's value; digits rounds float sums first.
+
+    scope: what a chapter's incisions are measured against: "corpus" all of them, "chapter" its own, "prefix" those of the chapters
+    up to and including it, in order of chapter_id, as when chapters are saved one after another.
+    """
+    rounded = incisions.withColumn("start_incision", F.round("start_incision", digits)).withColumn("end_incision", F.round("end_incision", digits))
+    values = rounded.select("chapter_id", F.explode(F.array("start_incision", "end_incision")).alias("v")).where("v > 0")
+    if scope == "corpus":
+        with_facts = rounded.join(F.broadcast(_corpus_facts(values.select("v"), share)), F.lit(True), "left")
+    elif scope == "chapter":
+        with_facts = rounded.join(_chapter_facts(values, share), "chapter_id", "left")
+    elif scope == "prefix":
+        rounded = cut(rounded)
+        values = rounded.select("chapter_id", F.explode(F.array("start_incision", "end_incision")).alias("v"))
+        with_facts = rounded.join(_prefix_facts(values, rounded, share), "chapter_id", "left")
+    else:
+        raise ValueError(f"scope is corpus, chapter or prefix, not {scope!r}")
 
     def level(name: str) -> Column:
         v = F.col(name)
@@ -99,5 +136,4 @@ def incision_levels(incisions: DataFrame, share: float = 0.98, digits: int = 9)
         scaled = F.bround(1 + (F.log(v) - F.log("low")) / F.when(span == 0, 1.0).otherwise(span) * 9, 0)
         return F.when(v <= 0, 0).when(F.col("low").isNull() | (v >= F.col("threshold")), 10).otherwise(F.least(F.greatest(scaled, F.lit(1)), F.lit(10))).cast("int")
 
-    with_facts = rounded.join(facts, F.lit(True), "left")
     return with_facts.select(*incisions.columns, level("start_incision").alias("start_level"), level("end_incision").alias("end_level"))

@@ -120,6 +120,31 @@ def incision_level(spark, sf_dir):
     return weights.incision_levels(found).select("chapter_id", "fragment_id", "start_level", "end_level")
 
 
+#: Levels whose facts belong to a chapter; scope tells which chapters o count for chapter q.
+_SCOPED = """, rounded AS (SELECT chapter_id, fragment_id, round(start_incision, 9) AS a, round(end_incision, 9) AS b FROM incision),
+own AS (SELECT chapter_id, unnest([a, b]) AS v FROM rounded),
+vals AS (SELECT q.chapter_id, v, row_number() OVER (PARTITION BY q.chapter_id ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY q.chapter_id) AS n
+  FROM (SELECT DISTINCT chapter_id FROM rounded) q JOIN own o ON o.chapter_id {scope} q.chapter_id WHERE v > 0),
+top AS (SELECT chapter_id, v AS threshold FROM vals WHERE r = least(floor(n * 0.98)::BIGINT, n - 1)),
+facts AS (SELECT vals.chapter_id, min(v) AS low, max(v) AS high FROM vals JOIN top ON top.chapter_id = vals.chapter_id WHERE v < threshold GROUP BY 1)
+SELECT rounded.chapter_id, fragment_id, {a} AS start_level, {b} AS end_level FROM rounded LEFT JOIN top ON top.chapter_id = rounded.chapter_id LEFT JOIN facts ON facts.chapter_id = rounded.chapter_id"""
+
+
+def _levels(spark, sf_dir, scope: str):
+    found = weights.fragment_incisions(d.chunk_rows(spark, sf_dir), d.weighted_edges(spark, sf_dir))
+    return weights.incision_levels(found, scope=scope).select("chapter_id", "fragment_id", "start_level", "end_level")
+
+
+@query(_SCOPED.format(scope="<=", a=_LEVEL.format(v="a"), b=_LEVEL.format(v="b")))
+def incision_level_prefix(spark, sf_dir):
+    return _levels(spark, sf_dir, "prefix")
+
+
+@query(_SCOPED.format(scope="=", a=_LEVEL.format(v="a"), b=_LEVEL.format(v="b")))
+def incision_level_chapter(spark, sf_dir):
+    return _levels(spark, sf_dir, "chapter")
+
+
 @query(""", und AS (SELECT from_id AS a, to_id AS b FROM e JOIN c x ON x.id = from_id JOIN c y ON y.id = to_id WHERE x.fragment_id // 2 = y.fragment_id // 2
   UNION ALL SELECT to_id, from_id FROM e JOIN c x ON x.id = from_id JOIN c y ON y.id = to_id WHERE x.fragment_id // 2 = y.fragment_id // 2),
 reach AS (SELECT id, id AS r FROM c UNION SELECT reach.id, und.b FROM reach JOIN und ON reach.r = und.a)
