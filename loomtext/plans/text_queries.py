@@ -16,7 +16,7 @@ from loomtext.operators import compression, extraction, grouping, matching, requ
 from loomtext.plans import derived as d
 from loomtext.plans.derived import BASE
 from loomtext.schemas import RETENTION, level_name, level_value
-from loomtext.sources import html, workspace
+from loomtext.sources import epub_source, html, workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,6 +81,21 @@ def json_repaired(spark, sf_dir):
     return d.table(spark, sf_dir, "events").select("event_id", json_text.repair_json(broken).alias("repaired"))
 
 
+@query(r"""WITH c AS (SELECT 'Documents ' || doc_id // 50 AS book, doc_id, 'Document ' || doc_id AS title, coalesce("text", '') AS body FROM documents),
+p AS (SELECT book, doc_id, title, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM c),
+h AS (SELECT book, doc_id, title, array_to_string(list_transform(lines, lambda x: '<p>' || replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>'), '') AS paragraphs FROM p)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS chapter_id,
+  sha256('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || title || '</title></head><body><h1>' || title || '</h1>' || coalesce(paragraphs, '') || '</body></html>') AS page_sha256
+FROM h""")
+def epub_books(spark, sf_dir):
+    """Fifty documents a book, written as EPUB files and read again."""
+    at = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    book = F.concat(F.lit("Documents "), F.expr("doc_id div 50").cast("string")).alias("book")
+    epub_source.write_books(d.table(spark, sf_dir, "documents").select(book, F.col("doc_id").alias("chapter_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), "text"), at)
+    name = F.regexp_extract("path", r"([^/]+)\.epub$", 1).alias("book")
+    return epub_source.read_books(spark, at).select(name, "chapter_id", F.sha2("html", 256).alias("page_sha256"))
+
+
 @query("""SELECT conv_id, turn, "text" AS plain FROM conversations""")
 def strip_tags(spark, sf_dir):
     tagged = F.concat(F.lit('<chunk retention="verbatim">'), F.substring("text", 1, 20), F.lit("</chunk>"), F.expr("substring(text, 21)"), F.lit("<chunk></chunk>"))

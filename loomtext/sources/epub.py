@@ -18,20 +18,22 @@ from loomtext.sources.html import html_pieces_strict
 _OPF, _CONTAINER = "{http://www.idpf.org/2007/opf}", "{urn:oasis:names:tc:opendocument:xmlns:container}"
 
 
+def document_names(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, place in the file) of a book's documents in reading order, then of those outside it."""
+    package = ET.fromstring(z.read("META-INF/container.xml")).find(f".//{_CONTAINER}rootfile").get("full-path")
+    folder = package.rpartition("/")[0]
+    opf = ET.fromstring(z.read(package))
+    items = {i.get("id"): i for i in opf.iter(f"{_OPF}item")}
+    order = [r.get("idref") for r in opf.iter(f"{_OPF}itemref")]
+    documents = [k for k in [*order, *items] if k in items and items[k].get("media-type") == "application/xhtml+xml"]
+    names = [items[k].get("href") for k in dict.fromkeys(documents)]
+    return [(n, f"{folder}/{n}" if folder else n) for n in names]
+
+
 def spine_documents(book: bytes) -> list[tuple[str, str]]:
     """(name, XHTML) of a book's documents in reading order, then those outside it."""
     with zipfile.ZipFile(io.BytesIO(book)) as z:
-        package = ET.fromstring(z.read("META-INF/container.xml")).find(f".//{_CONTAINER}rootfile").get("full-path")
-        folder = package.rpartition("/")[0]
-        opf = ET.fromstring(z.read(package))
-        items = {i.get("id"): i for i in opf.iter(f"{_OPF}item")}
-        order = [r.get("idref") for r in opf.iter(f"{_OPF}itemref")]
-        documents = [k for k in [*order, *items] if k in items and items[k].get("media-type") == "application/xhtml+xml"]
-        out = []
-        for k in dict.fromkeys(documents):
-            name = items[k].get("href")
-            out.append((name, z.read(f"{folder}/{name}" if folder else name).decode("utf-8", "replace")))
-        return out
+        return [(name, z.read(place).decode("utf-8", "replace")) for name, place in document_names(z)]
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
@@ -55,34 +57,42 @@ def read_epub_sentences(spark: SparkSession, path: str, tokens=proxy_tokens, pat
 _PAGE = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{title}</title></head><body><h1>{title}</h1>{body}</body></html>'
 
 
-def epub_bytes(chapters: list[tuple[str, str]], title: str, author: str = "", language: str = "en") -> bytes:
-    """One book from (title, text) chapters; every non-empty line is a paragraph."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip")
-        z.writestr("META-INF/container.xml", '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        items, refs, links = [], [], []
-        for k, (name, text) in enumerate(chapters):
-            lines = [f"<p>{html.escape(p.strip())}</p>" for p in text.split("\n") if p.strip()]
-            z.writestr(f"OEBPS/chapter_{k}.xhtml", _PAGE.format(title=html.escape(name), body="".join(lines)))
-            items.append(f'<item id="c{k}" href="chapter_{k}.xhtml" media-type="application/xhtml+xml"/>')
-            refs.append(f'<itemref idref="c{k}"/>')
-            links.append(f'<li><a href="chapter_{k}.xhtml">{html.escape(name)}</a></li>')
-        z.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc"><ol>{"".join(links)}</ol></nav></body></html>')
-        z.writestr(
+class BookWriter:
+    """A book written into an open file a chapter at a time; only the names of earlier chapters are kept."""
+
+    def __init__(self, file, title: str, author: str = "", language: str = "en") -> None:
+        self.title, self.author, self.language, self.names = title, author, language, []
+        self.zip = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED)
+        self.zip.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip")
+        self.zip.writestr("META-INF/container.xml", '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+
+    def add(self, name: str | None, text: str | None) -> None:
+        """Every non-empty line of text is a paragraph; a null is empty."""
+        name = name or ""
+        lines = [f"<p>{html.escape(p.strip())}</p>" for p in (text or "").split("\n") if p.strip()]
+        self.zip.writestr(f"OEBPS/chapter_{len(self.names)}.xhtml", _PAGE.format(title=html.escape(name), body="".join(lines)))
+        self.names.append(name)
+
+    def close(self) -> None:
+        title, numbers = html.escape(self.title), range(len(self.names))
+        links = "".join(f'<li><a href="chapter_{k}.xhtml">{html.escape(self.names[k])}</a></li>' for k in numbers)
+        items = "".join(f'<item id="c{k}" href="chapter_{k}.xhtml" media-type="application/xhtml+xml"/>' for k in numbers)
+        refs = "".join(f'<itemref idref="c{k}"/>' for k in numbers)
+        self.zip.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
+        self.zip.writestr(
             "OEBPS/content.opf",
-            f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{html.escape(title)}</dc:identifier>'
-            f"<dc:title>{html.escape(title)}</dc:title><dc:creator>{html.escape(author)}</dc:creator><dc:language>{language}</dc:language></metadata>"
-            f'<manifest><item id="nav" href="nav.xhtml" media-type="text/html" properties="nav"/>{"".join(items)}</manifest><spine>{"".join(refs)}</spine></package>',
+            f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{title}</dc:identifier>'
+            f"<dc:title>{title}</dc:title><dc:creator>{html.escape(self.author)}</dc:creator><dc:language>{self.language}</dc:language></metadata>"
+            f'<manifest><item id="nav" href="nav.xhtml" media-type="text/html" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>',
         )
-    return out.getvalue()
+        self.zip.close()
 
 
-def write_epubs(chapters: DataFrame, author: str = "", language: str = "en") -> DataFrame:
-    """book, content: a book for each value of book. chapters: book, chapter_id, title, text. A book is built in one task."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chapter_id")
-        return pd.DataFrame({"book": [key[0]], "content": [epub_bytes(list(zip(rows["title"], rows["text"], strict=True)), str(key[0]), author, language)]})
-
-    return chapters.groupBy("book").applyInPandas(run, "book string, content binary")
+def epub_bytes(chapters: list[tuple[str, str]], title: str, author: str = "", language: str = "en") -> bytes:
+    """One book from (title, text) chapters."""
+    out = io.BytesIO()
+    book = BookWriter(out, title, author, language)
+    for name, text in chapters:
+        book.add(name, text)
+    book.close()
+    return out.getvalue()
