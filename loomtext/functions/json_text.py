@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.functions.json_repair import repaired
+
 
 def object_text(col: str) -> Column:
     """From the first brace to the last; empty without one."""
@@ -53,32 +54,6 @@ def python_cache_key(messages: list[dict], model: str, temperature: float, top_p
     return hashlib.sha512(json.dumps(data, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
-def repaired(text: str | None) -> str | None:
-    """A JSON text after small repairs: a fence around it, trailing commas, single quotes, missing closing brackets."""
-    if text is None:
-        return None
-    body = re.sub(r"^\s*```(?:json)?|```\s*$", "", text).strip()
-    for attempt in (body, re.sub(r",(\s*[}\]])", r"\1", body), re.sub(r",(\s*[}\]])", r"\1", body.replace("'", '"'))):
-        open_, quoted, skip = [], False, False
-        for c in attempt:
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{[":
-                open_.append("}" if c == "{" else "]")
-            elif not quoted and c in "}]" and open_:
-                open_.pop()
-        closed = attempt + ('"' if quoted else "") + "".join(reversed(open_))
-        try:
-            return json.dumps(json.loads(re.sub(r",(\s*[}\]])", r"\1", closed)), ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
-
-
 @F.pandas_udf(T.StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     return s.map(repaired)
