@@ -2,7 +2,8 @@
 
 BPE has the property that the tokens of a prefix of a word are the first tokens of some encoding: for every prefix
 there is one last token, and the encoding of the word follows from the back-pointers. The tokens that end at a
-place are found with the automaton of the vocabulary and its suffix links; of those, the last token of the prefix
+place are found with the suffix automaton of the vocabulary: its state is the longest stretch that ends there and occurs in
+any token, and suffix links lead from it to the tokens that the stretch ends with. Of those, the last token of the prefix
 is the one whose boundary with the last token of the rest holds: no merge across the boundary would have come
 before the merges that made the two tokens.
 """
@@ -14,7 +15,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -27,10 +27,64 @@ from .packing import _byte_alphabet
 
 # White space as the tokenizer's patterns see it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-KNOWN_WORDS = 900_000
+#: Bounds of what a Python worker remembers: bytes of units with their ids (about), characters of such a unit, and pairs of tokens.
+KNOWN_BYTES = 128 << 20
+KNOWN_CHARS = 256
+KNOWN_PAIRS = 500_000
+_ENTRY_BYTES = 200
 _NEVER = 1 << 30
 
 
+class TokenAutomaton:
+    """Suffix automaton of many strings, with the string that each state stands for.
+
+    A string is the longest of its state, as nothing comes before its own first character; so a state stands for one at most.
+    """
+
+    def __init__(self, strings: dict[str, int]):
+        self.moves: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        ends = {self._add(text): i for text, i in strings.items()}
+        self.token = [ends.get(v, -1) for v in range(len(self.moves))]
+        self.up = [0] * len(self.moves)  #: the nearest state up the suffix links that stands for a string, 0 for none
+        for v in sorted(range(1, len(self.moves)), key=self.length.__getitem__):
+            above = self.link[v]
+            self.up[v] = above if self.token[above] >= 0 else self.up[above]
+
+    def _state(self, length: int, moves: dict[str, int], link: int) -> int:
+        self.moves.append(moves)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.moves) - 1
+
+    def _split(self, p: int, c: str) -> int:
+        """The state that c leads to from p, made one whose longest string is p's with c."""
+        q = self.moves[p][c]
+        if self.length[q] == self.length[p] + 1:
+            return q
+        twin = self._state(self.length[p] + 1, dict(self.moves[q]), self.link[q])
+        self.link[q] = twin
+        while p >= 0 and self.moves[p].get(c) == q:
+            self.moves[p][c] = twin
+            p = self.link[p]
+        return twin
+
+    def _add(self, text: str) -> int:
+        last = 0
+        for c in text:
+            if c in self.moves[last]:
+                last = self._split(last, c)
+                continue
+            new, p = self._state(self.length[last] + 1, {}, 0), last
+            while p >= 0 and c not in self.moves[p]:
+                self.moves[p][c] = new
+                p = self.link[p]
+            if p >= 0:
+                self.link[new] = self._split(p, c)
+            last = new
+        return last
+
+
 class WordBpe:
     """Encoder and decoder for a BPE file with word ends: NFC, lower case, white space dropped."""
 
@@ -57,12 +111,9 @@ class WordBpe:
                 self.made[new], self.parts[new] = rank, (a, b)
         self._holds: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
+        self._known_bytes = 0
         self.byte_names = {b: c for c, b in _byte_alphabet().items()}
-        self.automaton = ahocorasick.Automaton()
-        for name, i in vocab.items():
-            if name not in self.special and self._reached(i):
-                self.automaton.add_word(marked[name], (i, len(marked[name])))
-        self.automaton.make_automaton()
+        self.automaton = TokenAutomaton({marked[name]: i for name, i in vocab.items() if name not in self.special and self._reached(i)})
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.gap = regex.compile(rf"[{_SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space for Python alone
@@ -90,6 +141,8 @@ class WordBpe:
         """Whether the boundary between tokens a and b survives all merges."""
         key = a << 20 | b
         if (known := self._holds.get(key)) is None:
+            if len(self._holds) >= KNOWN_PAIRS:
+                self._holds.clear()
             known = self._holds[key] = self._survives(a, b, _NEVER)
         return known
 
@@ -99,19 +152,28 @@ class WordBpe:
         last: list[int] = [-1] * (n + 2)
         begin = [0] * (n + 2)
         holds = self._holds
-        for at, (token, size) in self.automaton.iter(symbols + " "):
-            e = at + 1
-            if e == n or last[e] >= 0:
+        moves, link, length, token, up = self.automaton.moves, self.automaton.link, self.automaton.length, self.automaton.token, self.automaton.up
+        state = matched = 0
+        for e, c in enumerate(symbols + " ", 1):
+            while (to := moves[state].get(c)) is None and state:
+                state = link[state]
+                matched = length[state]
+            state, matched = (0, 0) if to is None else (to, matched + 1)
+            if e == n:
                 continue  # the last symbol of a word is the one with the mark
-            j = e - size
-            if j:
+            v = state if matched == length[state] and token[state] >= 0 else up[state]
+            while v:
+                j = e - length[v]
+                if j == 0:
+                    last[e] = token[v]
+                    break
                 before = last[j]
-                if before < 0:
-                    continue
-                known = holds.get(before << 20 | token)
-                if not (self.holds(before, token) if known is None else known):
-                    continue
-            last[e], begin[e] = token, j
+                if before >= 0:
+                    known = holds.get(before << 20 | token[v])
+                    if self.holds(before, token[v]) if known is None else known:
+                        last[e], begin[e] = token[v], j
+                        break
+                v = up[v]
         out, e = [], n + 1
         while e > 0:
             out.append(last[e])
@@ -135,9 +197,13 @@ class WordBpe:
         out = []
         for u in units:
             if (ids := known.get(u)) is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                ids = known[u] = self.unit(u)
+                ids = self.unit(u)
+                if len(u) <= KNOWN_CHARS:
+                    self._known_bytes += 4 * len(u) + len(ids) + _ENTRY_BYTES
+                    if self._known_bytes > KNOWN_BYTES:
+                        known.clear()
+                        self._known_bytes = 0
+                    known[u] = ids
             out.append(ids)
         return out
 

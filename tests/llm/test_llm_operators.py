@@ -516,6 +516,36 @@ def test_word_bpe_round_trip():
         assert coder.decode(ids) == tokenizer.decode(e.ids, skip_special_tokens=False)
 
 
+def test_token_automaton_finds_all_tokens_at_every_place():
+    dice = random.Random(11)
+    strings = {"".join(dice.choices("abc", k=dice.randint(1, 6))): i for i, _ in enumerate(range(60))}
+    automaton = bpe.TokenAutomaton(strings)
+    assert sorted(t for t in automaton.token if t >= 0) == sorted(strings.values())
+    text, state, matched = "".join(dice.choices("abcd", k=4000)), 0, 0
+    for e, c in enumerate(text, 1):
+        while c not in automaton.moves[state] and state:
+            state = automaton.link[state]
+            matched = automaton.length[state]
+        state, matched = (automaton.moves[state][c], matched + 1) if c in automaton.moves[state] else (0, 0)
+        v, found = state if matched == automaton.length[state] and automaton.token[state] >= 0 else automaton.up[state], []
+        while v:
+            found.append(automaton.token[v])
+            v = automaton.up[v]
+        assert found == [strings[text[e - k : e]] for k in range(6, 0, -1) if k <= e and text[e - k : e] in strings]
+
+
+def test_word_bpe_remembers_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 50)
+    coder, tokenizer, dice = bpe.WordBpe(WORD), Tokenizer.from_file(WORD), random.Random(12)
+    for _ in range(300):
+        t = " ".join("".join(dice.choices("abetin你", k=dice.choice([2, 5, 300]))) for _ in range(10))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert coder._known_bytes <= 20_000 and len(coder._holds) <= 50 and all(len(u) <= bpe.KNOWN_CHARS for u in coder._known)
+    long = "abet" * 300_000  # one word of 1.2 MB
+    assert np.frombuffer(coder.encode(long), "<u4").tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
 # -- embeddings
 
 
