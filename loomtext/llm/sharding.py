@@ -26,12 +26,13 @@ def interleave_shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, id_co
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Defined cases: a null text has size 8 and the crc32 of nothing (0); a null source is a source of its own;
-    a null id gets the key of the word ``null``; repeated rows are separate rows, each with a slot of its own;
+    a null id counts as the word ``null``; rows that share an id, or have none, are told apart by their texts;
+    repeated rows are separate rows, each with a slot of its own;
     an empty table gives no rows; with fewer rows than shards some shards stay empty. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, _KEY_BITS // 4), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary")))), 1, _KEY_BITS // 4), 16, 10).cast("long")
     rows = table_of(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -88,7 +89,7 @@ WITH RECURSIVE bits AS (
 crc_table AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
 base AS (
   SELECT doc_id, coalesce("text", '') AS body, coalesce('=' || source, 'null') AS stratum,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce("text", ''))), 1, 15))::BIGINT AS k
   FROM documents
 ),
 octets AS (
