@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 import pandas as pd
@@ -41,17 +40,28 @@ def first_filled(*arrays: str) -> Column:
     return F.coalesce(*[F.when(F.size(a) > 0, F.col(a)) for a in arrays])
 
 
-def cache_key(messages: str, model: str, temperature: Column, top_p: Column) -> Column:
-    """SHA-512 of the request as JSON with sorted keys; messages: array of structs role, content."""
-    ordered = F.transform(F.col(messages), lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
-    request = F.struct(ordered.alias("messages"), F.lit(model).alias("model"), temperature.alias("temperature"), top_p.alias("top_p"))
-    return F.sha2(F.to_json(request), 512)
+def quoted(text: Column) -> Column:
+    """A text as a JSON string, with no more escapes than JSON needs; null as the word null."""
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c in map(chr, range(32)):
+        escaped = F.replace(escaped, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+    inside = F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text)
+    return F.coalesce(F.concat(F.lit('"'), inside, F.lit('"')), F.lit("null"))
+
 
+def request_json(messages: str, model: str, temperature: Column, top_p: Column) -> Column:
+    """A request as JSON text: keys sorted, a blank after each comma and colon."""
+    one = lambda m: F.concat(F.lit('{"content": '), quoted(m["content"]), F.lit(', "role": '), quoted(m["role"]), F.lit("}"))
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return F.concat(
+        F.lit('{"messages": ['), F.array_join(F.transform(F.col(messages), one), ", "), F.lit('], "model": '), quoted(F.lit(model)),
+        F.lit(', "temperature": '), number(temperature), F.lit(', "top_p": '), number(top_p), F.lit("}"),
+    )
 
-def python_cache_key(messages: list[dict], model: str, temperature: float, top_p: float) -> str:
-    """The same over Python's own JSON spacing, for caches written that way."""
-    data = {"messages": [{"role": m["role"], "content": m["content"]} for m in messages], "temperature": temperature, "top_p": top_p, "model": model}
-    return hashlib.sha512(json.dumps(data, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+def cache_key(messages: str, model: str, temperature: Column, top_p: Column) -> Column:
+    """SHA-512 of the request as JSON with sorted keys; messages: array of structs role, content."""
+    return F.sha2(request_json(messages, model, temperature, top_p), 512)
 
 
 @F.pandas_udf(T.StringType())

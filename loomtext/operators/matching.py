@@ -9,7 +9,6 @@ equality, and no pair that could match is left out.
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 
 import numpy as np
@@ -22,14 +21,8 @@ from loomtext.cluster import cut
 
 MIN_CONTAINED, MIN_PART, LCS_SHARE = 10, 5, 0.8
 
-#: Signs that are no punctuation by their Unicode category but are dropped like it, and quotes that stay although they are.
-DROPPED_SIGNS, KEPT_QUOTES = "^`|~", "“”‘’"
-
-
-def is_punctuation(c: str) -> bool:
-    """Own definition: the Unicode categories P*, but for the two exceptions above."""
-    return c in DROPPED_SIGNS or (unicodedata.category(c)[0] == "P" and c not in KEPT_QUOTES)
-
+#: Punctuation is what Unicode puts in the categories P*, but for signs that are dropped although they are none, and quotes that stay.
+DROPPED_SIGNS, KEPT_QUOTES = "`^|~", "“”‘’"
 
 _HYPHENS = "‐‑‒–—―"
 
@@ -38,33 +31,39 @@ def is_latin(c: str) -> bool:
     return c.isalpha() and ord(c) < 0x370
 
 
-def normalized(text: str | None) -> str | None:
+def plain_letter(c: str) -> str:
+    """A Latin letter in lower case without marks."""
+    return "".join(d for d in unicodedata.normalize("NFD", c.lower()) if unicodedata.category(d) != "Mn")
+
+
+def _class_of(chars: list[str]) -> str:
+    """The inside of a regular expression's class of chars (in order), as ranges."""
+    ranges: list[list[str]] = []
+    for c in chars:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in ranges)
+
+
+_LETTERS = [chr(c) for c in range(0x370) if is_latin(chr(c))]
+LATIN_CLASS = _class_of(_LETTERS)
+_CHANGED = [c for c in _LETTERS if plain_letter(c) != c]  # each becomes one letter
+#: White space as Unicode and the separators among the control characters have it.
+SPACE_CLASS = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+
+
+def normalize_text(text: str | Column) -> Column:
     """White space collapsed, words rejoined over hyphen and blank, blanks kept only between Latin letters, punctuation
-    dropped, Latin letters in lower case without marks."""
-    if text is None:
-        return None
-    text = re.sub(r"\s+", " ", text).strip()
-    kept: list[str] = []
-    for i, c in enumerate(text):
-        if c == " " and 0 < i < len(text) - 1:
-            after = is_latin(text[i + 1])
-            if len(kept) >= 2 and kept[-1] in _HYPHENS and is_latin(kept[-2]) and after:
-                kept.pop()
-            elif kept and is_latin(kept[-1]) and after:
-                kept.append(c)
-        elif c != " ":
-            kept.append(c)
-    out = []
-    for c in kept:
-        if is_punctuation(c):
-            continue
-        out.append("".join(d for d in unicodedata.normalize("NFD", c.lower()) if unicodedata.category(d) != "Mn") if is_latin(c) else c)
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def normalize_text(s: pd.Series) -> pd.Series:
-    return s.map(normalized)
+    dropped, Latin letters in lower case without marks. Built-in functions only; null stays null."""
+    latin = f"[{LATIN_CLASS}]"
+    c = F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+    c = F.regexp_replace(c, f" (?!{latin})", "")
+    c = F.regexp_replace(c, f"(?<={latin})[{_HYPHENS}] (?={latin})", "")
+    c = F.regexp_replace(c, f"(?<!{latin}) ", "")
+    c = F.regexp_replace(c, rf"[\p{{P}}{DROPPED_SIGNS}&&[^{KEPT_QUOTES}]]", "")
+    return F.translate(c, "".join(_CHANGED), "".join(map(plain_letter, _CHANGED)))
 
 
 def shares_a_run(a: str, b: str, length: int) -> bool:

@@ -32,9 +32,22 @@ def query(sql: str | None = None, base: bool = False):
     return register
 
 
-@query()
+def norm_sql(text: str) -> str:
+    """DuckDB's normal form of an expression. Its patterns look at no neighbours, so what stands beside a blank is taken and put back."""
+    latin = matching.LATIN_CLASS
+    held = "\ue000\ue001\ue002\ue003"
+    x = f"trim(regexp_replace({text}, '[{matching.SPACE_CLASS}]+', ' ', 'g'))"
+    x = f"regexp_replace({x}, ' ([^{latin} ])', '\\1', 'g')"
+    for _ in range(2):  # a letter between two hyphens is taken by the first
+        x = f"regexp_replace({x}, '([{latin}])[‐‑‒–—―] ([{latin}])', '\\1\\2', 'g')"
+    x = f"regexp_replace({x}, '([^{latin}]) ', '\\1', 'g')"
+    x = f"translate(regexp_replace(translate({x}, '“”‘’', '{held}'), '[\\p{{P}}`^|~]', '', 'g'), '{held}', '“”‘’')"
+    return f"list_aggregate(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_full_match(c, '[{latin}]') THEN strip_accents(lower(c)) ELSE c END), 'string_agg', '')"
+
+
+@query(f"SELECT doc_id, md5({norm_sql('text')}) AS norm FROM documents")
 def normalize_text(spark, sf_dir):
-    return d.table(spark, sf_dir, "benchmark").select("item_id", matching.normalize_text("text").alias("norm"))
+    return d.table(spark, sf_dir, "documents").select("doc_id", F.md5(matching.normalize_text("text").cast("binary")).alias("norm"))
 
 
 @query()
@@ -189,6 +202,13 @@ def llm_cache_key(spark, sf_dir):
     return requests.with_keys(_requests(spark, sf_dir)).select("conv_id", "key")
 
 
+@query("""SELECT conv_id, md5('{"messages": [' || string_agg('{"content": ' || to_json("text")::VARCHAR || ', "role": ' || to_json(role)::VARCHAR || '}', ', ' ORDER BY turn, role, "text") || '], "model": "stub", "temperature": 0.6, "top_p": 0.6}') AS request FROM conversations GROUP BY 1""")
+def llm_request_text(spark, sf_dir):
+    """The text under the cache's key, as DuckDB has no SHA-512 for the key itself."""
+    text = json_text.request_json("messages", "stub", F.lit(0.6), F.lit(0.6))
+    return _requests(spark, sf_dir).select("conv_id", F.md5(text.cast("binary")).alias("request"))
+
+
 @query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 <> 0")
 def llm_cache_miss(spark, sf_dir):
     asked = requests.with_keys(_requests(spark, sf_dir))
@@ -254,19 +274,60 @@ def ellipsis_match(spark, sf_dir):
     return matching.ellipsis_matches(_sources(spark, sf_dir), _lower(d.sentence_rows(spark, sf_dir)), normal=F.lower)
 
 
-@query()
+_NORMAL = f"""{_SIMPLE.rstrip().replace("lower(text) AS norm", norm_sql("text") + " AS norm").replace("nrm AS (", "nrm AS MATERIALIZED (")},
+srcn AS MATERIALIZED (SELECT *, {norm_sql("text")} AS norm FROM src),
+pairs AS MATERIALIZED (
+  SELECT a.chapter_id, a.fragment_id, a.source_id, b.sentence_index, contains(a.norm, b.norm) OR contains(b.norm, a.norm) AS inside,
+         CASE WHEN length(a.norm) <= length(b.norm) THEN a.norm ELSE b.norm END AS short, CASE WHEN length(a.norm) <= length(b.norm) THEN b.norm ELSE a.norm END AS long
+  FROM srcn a JOIN nrm b ON a.chapter_id = b.chapter_id AND a.fragment_id = b.fragment_id WHERE length(a.norm) >= 10 AND length(b.norm) >= 10),
+lcs AS MATERIALIZED (
+  SELECT chapter_id, fragment_id, source_id, sentence_index FROM (SELECT *, ceil(0.8::DOUBLE * length(short))::INT AS run FROM pairs)
+  WHERE len(list_filter(range(1, length(short) - run + 2), lambda i: contains(long, substr(short, i, run)))) > 0)
+"""
+
+
+def _split_sql(sources: str) -> str:
+    return f"""pieces AS (SELECT chapter_id, fragment_id, source_id, list_filter(string_split(regexp_replace(text, '\\.([一-鿿])', '.。\\1', 'g'), '。'), lambda x: trim(x) <> '') AS p FROM {sources}),
+each_part AS (SELECT chapter_id, fragment_id, source_id, part::INT AS part, {norm_sql("p[part + 1]")} AS a FROM (SELECT *, unnest(range(len(p))) AS part FROM pieces WHERE len(p) >= 2)),
+splits AS (
+  SELECT e.chapter_id, e.fragment_id, source_id, part, min(sentence_index) AS sentence_index FROM each_part e JOIN nrm b ON b.chapter_id = e.chapter_id AND b.fragment_id = e.fragment_id
+  WHERE length(a) >= 5 AND (a = norm OR (length(a) >= 10 AND length(norm) >= 10 AND (contains(a, norm) OR contains(norm, a)))) GROUP BY 1, 2, 3, 4)
+"""
+
+
+@query(_NORMAL + "SELECT chapter_id, fragment_id, source_id, sentence_index FROM lcs", base=True)
 def lcs_match(spark, sf_dir):
     norm = matching.normalize_text("text")
     return matching.lcs_matches(cut(_sources(spark, sf_dir).withColumn("norm", norm)), cut(d.sentence_rows(spark, sf_dir).withColumn("norm", norm)))
 
 
-@query()
+@query(_NORMAL + ", twice AS (SELECT chapter_id, fragment_id, source_id, text || '。' || text AS text FROM src), " + _split_sql("twice") + "SELECT * FROM splits", base=True)
 def split_match(spark, sf_dir):
     src = _sources(spark, sf_dir).withColumn("text", F.concat("text", F.lit("。"), "text"))
     return matching.split_matches(cut(src), cut(d.sentence_rows(spark, sf_dir).withColumn("norm", matching.normalize_text("text"))))
 
 
-@query()
+_CASCADE = f"""{_NORMAL}, {_split_sql("src")},
+dots AS (SELECT chapter_id, fragment_id, source_id, {norm_sql("p[1]")} AS x, {norm_sql("p[2]")} AS y FROM (SELECT *, string_split(text, '...') AS p FROM src) WHERE len(p) = 2),
+staged AS (
+  SELECT src.chapter_id, src.fragment_id, source_id, max(sentence_index) AS sentence_index, 'exact' AS stage, 1 AS turn
+  FROM src JOIN s ON s.chapter_id = src.chapter_id AND s.fragment_id = src.fragment_id AND s.text = src.text GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT a.chapter_id, a.fragment_id, source_id, min(sentence_index), 'normalized', 2
+  FROM srcn a JOIN nrm b ON b.chapter_id = a.chapter_id AND b.fragment_id = a.fragment_id AND b.norm = a.norm GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT chapter_id, fragment_id, source_id, sentence_index, 'contained', 3 FROM (SELECT * FROM lcs UNION SELECT chapter_id, fragment_id, source_id, sentence_index FROM pairs WHERE inside)
+  UNION ALL
+  SELECT d.chapter_id, d.fragment_id, source_id, sentence_index, 'ellipsis', 4 FROM dots d JOIN nrm b ON b.chapter_id = d.chapter_id AND b.fragment_id = d.fragment_id
+  WHERE length(x) >= 5 AND length(y) >= 5 AND starts_with(norm, x) AND suffix(norm, y)
+  UNION ALL
+  SELECT DISTINCT chapter_id, fragment_id, source_id, sentence_index, 'split', 5 FROM splits
+  UNION ALL
+  SELECT src.chapter_id, src.fragment_id, source_id, min(sentence_index), 'fallback', 6 FROM src JOIN s ON s.chapter_id = src.chapter_id AND s.fragment_id = src.fragment_id GROUP BY 1, 2, 3)
+SELECT chapter_id, fragment_id, source_id, sentence_index, stage FROM staged QUALIFY turn = min(turn) OVER (PARTITION BY chapter_id, fragment_id, source_id)"""
+
+
+@query(_CASCADE, base=True)
 def match_cascade(spark, sf_dir):
     return matching.match_cascade(_sources(spark, sf_dir), d.sentence_rows(spark, sf_dir))
 

@@ -1,6 +1,10 @@
 """Hand-computed cases and properties of the graph and text operators."""
 
+import hashlib
+import json
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -144,8 +148,43 @@ def test_clue_merge():
     assert abs(sum(c["weight"] for c in got) - 1) < 1e-12 and got[-1]["sources"] == [4, 5]
 
 
+def _normal(text: str) -> str:
+    """The normal form a character at a time."""
+    text, kept, out = re.sub(r"\s+", " ", text).strip(), [], []
+    for i, c in enumerate(text):
+        if c != " ":
+            kept.append(c)
+        elif matching.is_latin(text[i + 1]):
+            if len(kept) >= 2 and kept[-1] in "‐‑‒–—―" and matching.is_latin(kept[-2]):
+                kept.pop()
+            elif kept and matching.is_latin(kept[-1]):
+                kept.append(c)
+    for c in kept:
+        if not (c in "^`|~" or (unicodedata.category(c)[0] == "P" and c not in "“”‘’")):
+            out.append(matching.plain_letter(c) if matching.is_latin(c) else c)
+    return "".join(out)
+
+
+def test_normal_form(spark):
+    dice = random.Random(5)
+    pool = list("abÉéÅİıŉſǅøßªʰ  \t\n\x0b\x1c\x85\u00a0\u2003\u3000") + list("‐–—-'“”‘’\"^`|~$+<=>.,!?_«»¿。、「」中文Σйé1²½😀\u0301\u200b")
+    texts = ["", " ", "Été  inter‐ national, 中 文 a b", "a‐ b‐ c", "a - b", "‐ a", "a" * 50 + " b" * 20_000 + "‐ c" * 20_000]
+    texts += ["".join(dice.choices(pool, k=dice.randint(1, 40))) for _ in range(4000)]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, t string").select("id", matching.normalize_text("t").alias("n")).collect()
+    assert {r.id: r.n for r in rows} == {**{i: _normal(t) for i, t in enumerate(texts)}, -1: None}
+
+
+def test_key_is_the_one_of_a_sorted_json_text(spark):
+    odd = ["plain", "", 'quote " and \\ back \\" / slash', "\x00\x01\x0b\x1f\x7f\b\f\n\r\t", "é 中 😀 \u2028", "\\u000B \\n"]
+    rows = [(i, [("system", t), ("user", odd[-1 - i])]) for i, t in enumerate(odd)]
+    asked = spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>")
+    got = {r.id: r.key for r in requests.with_keys(asked, requests.Options(model='m"1', temperature=0.5, top_p=1.0)).collect()}
+    for i, messages in rows:
+        data = {"messages": [{"role": r, "content": c} for r, c in messages], "temperature": 0.5, "top_p": 1.0, "model": 'm"1'}
+        assert got[i] == hashlib.sha512(json.dumps(data, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
 def test_normalize_and_match(spark):
-    assert matching.normalized("Été  inter‐ national, 中 文 a b") == "ete international中文a b"
     assert matching.shares_a_run("abcdefgh", "xxcdefyy", 4) and not matching.shares_a_run("abcdefgh", "xxcdefyy", 5)
     t = spark.createDataFrame([(0, 0, 0, "The first sentence stands here."), (0, 0, 1, "Another thing was said at length.")], "chapter_id long, fragment_id int, sentence_index int, text string")
     s = spark.createDataFrame(
