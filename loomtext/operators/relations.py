@@ -19,6 +19,13 @@ def neighbours(chunks: DataFrame, edges: DataFrame, near: str = "from_id", far:
     return edges.join(chunks.select(F.col("id").alias(far), F.col("label").alias("far_label")), far).select(F.col(near).alias("id"), F.col(far).alias("other_id"), "strength", "far_label")
 
 
+def chain_edges(chains: DataFrame, edges: DataFrame, incoming: bool = False) -> DataFrame:
+    """id, other_id, weight of each chain's edges to other chains, or from them, with the other chain's size and labels."""
+    near, far = ("to_snake_id", "from_snake_id") if incoming else ("from_snake_id", "to_snake_id")
+    other = chains.select(F.col("id").alias(far), F.col("size").alias("other_size"), F.col("first_label").alias("other_first"), F.col("last_label").alias("other_last"))
+    return edges.join(other, far).select(F.col(near).alias("id"), F.col(far).alias("other_id"), "weight", "other_size", "other_first", "other_last")
+
+
 def edges_with_chunks(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     a = chunks.select(F.col("id").alias("from_id"), F.col("label").alias("from_label"))
     b = chunks.select(F.col("id").alias("to_id"), F.col("label").alias("to_label"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from loomtext.cluster import cut, shared_dir
 from loomtext.functions.sentences import fragment_totals, joined_text
 from loomtext.operators import chains, clues, diffusion, markup, memory, relations, review, weights
 from loomtext.plans import derived as d
@@ -486,3 +489,63 @@ def link_append(spark, sf_dir):
     edges = d.edge_rows(spark, sf_dir)
     chunks = d.chunk_rows(spark, sf_dir).select("id", F.lit(None).cast("array<bigint>").alias("links"))
     return relations.with_links(chunks, edges.unionByName(edges)).select("id", F.to_json("links").alias("links"))
+
+
+def _new_workspace(spark):
+    return workspace.Workspace(spark, f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}")
+
+
+def _saved_graph(spark, sf_dir):
+    """Saved in two calls that overlap: some chunks and edges have no weight, odd chunks cover nothing."""
+    work, c = _new_workspace(spark), cut(d.chunk_rows(spark, sf_dir))
+    e = cut(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir)).withColumn("weight", F.when(F.col("from_id") % 5 != 0, F.col("weight"))))
+    c = c.withColumn("weight", F.when(F.col("tokens") % 7 != 0, F.col("weight")))
+    covered = d.chunk_sentence_rows(spark, sf_dir).where("chunk_id % 2 = 0")
+    early = c.where("fragment_id < 3")
+    workspace.save_graph(work, early, e.join(early.select(F.col("id").alias("from_id")), "from_id", "left_semi"), covered)
+    workspace.save_graph(work, c, e, covered)
+    return work
+
+
+@query("SELECT chapter_id, from_id, to_id, strength, round(CASE WHEN from_id % 5 = 0 THEN 0.1 ELSE w.weight END, 6) AS weight FROM w JOIN c ON c.id = from_id")
+def saved_edges(spark, sf_dir):
+    return _saved_graph(spark, sf_dir).read("knowledge_edges").withColumn("weight", r6("weight"))
+
+
+@query("""SELECT id, c.chapter_id, round(CASE WHEN tokens % 7 = 0 THEN 0 ELSE weight END, 6)::DOUBLE AS weight, count(*) AS n_sentences
+FROM c JOIN cs ON cs.chunk_id = c.id AND (id % 2 = 0 OR cs.sentence_index = c.sentence_index) GROUP BY id, c.chapter_id, tokens, weight""")
+def saved_chunks(spark, sf_dir):
+    work = _saved_graph(spark, sf_dir)
+    covered = work.read("chunk_sentences").groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("n_sentences"))
+    return work.read("chunks").join(covered, "id").select("id", "chapter_id", r6("weight").alias("weight"), "n_sentences")
+
+
+@query("SELECT chapter_id, group_id, fragment_id, row_number() OVER (PARTITION BY chapter_id, group_id ORDER BY fragment_id)::INT AS place FROM g")
+def saved_groups(spark, sf_dir):
+    work = _new_workspace(spark)
+    listed = d.group_rows(spark, sf_dir).groupBy("chapter_id", "group_id").agg(F.collect_list("fragment_id").alias("fragment_ids"))
+    workspace.save_groups(work, listed)
+    workspace.save_groups(work, listed)
+    return work.read("fragment_groups").withColumn("place", F.row_number().over(Window.partitionBy("chapter_id", "group_id").orderBy("fragment_id")))
+
+
+@query(""", n AS (SELECT snake_id, row_number() OVER (ORDER BY chapter_id, group_id, snake_id) AS id FROM totals),
+first_at AS (SELECT snake_id, min((c.fragment_id, c.sentence_index)) AS at FROM m JOIN c ON c.id = chunk_id GROUP BY 1),
+crossing AS (
+  SELECT CASE WHEN fa.at < fb.at THEN a.snake_id ELSE b.snake_id END AS x, CASE WHEN fa.at < fb.at THEN b.snake_id ELSE a.snake_id END AS y, sum(w.weight) AS weight
+  FROM w JOIN m a ON a.chunk_id = w.from_id JOIN m b ON b.chunk_id = w.to_id JOIN first_at fa ON fa.snake_id = a.snake_id JOIN first_at fb ON fb.snake_id = b.snake_id
+  WHERE a.snake_id <> b.snake_id GROUP BY 1, 2)
+SELECT 'out' AS side, nx.id, ny.id AS other_id, round(crossing.weight, 6) AS weight, t.size AS other_size, t.first_label AS other_first, t.last_label AS other_last
+FROM crossing JOIN n nx ON nx.snake_id = x JOIN n ny ON ny.snake_id = y JOIN totals t ON t.snake_id = y
+UNION ALL
+SELECT 'in', ny.id, nx.id, round(crossing.weight, 6), t.size, t.first_label, t.last_label
+FROM crossing JOIN n nx ON nx.snake_id = x JOIN n ny ON ny.snake_id = y JOIN totals t ON t.snake_id = x""")
+def saved_chain_edges(spark, sf_dir):
+    """Chains stored under numbers of their own, then each one's edges with the chain at the other end."""
+    work, c = _new_workspace(spark), cut(d.chunk_rows(spark, sf_dir))
+    e = cut(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir)))
+    members = cut(d.member_rows(spark, sf_dir).drop("snake_id"))
+    workspace.save_chains(work, members, c, e)
+    stored, edges = work.read("snakes"), work.read("snake_edges")
+    out = relations.chain_edges(stored, edges).withColumn("side", F.lit("out"))
+    return out.unionByName(relations.chain_edges(stored, edges, incoming=True).withColumn("side", F.lit("in"))).withColumn("weight", r6("weight"))

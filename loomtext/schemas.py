@@ -6,15 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed names. What has no chapter of its own carries that of the vertex it starts from, so that an append reads only its chapters.
 TABLES = {
     "sentences": "chapter_id long, fragment_id int, sentence_index int, text string, token_count int",
     "fragments": "chapter_id long, fragment_id int, synopsis string, token_count int",
     "chunks": "id long, generation int, chapter_id long, fragment_id int, sentence_index int, label string, content string, retention string, importance string, tokens int, weight double",
     "chunk_sentences": "chunk_id long, chapter_id long, fragment_id int, sentence_index int",
-    "knowledge_edges": "from_id long, to_id long, strength string, weight double",
+    "knowledge_edges": "from_id long, to_id long, strength string, weight double, chapter_id long",
     "snakes": "id long, chapter_id long, group_id int, local_snake_id int, size int, first_label string, last_label string, tokens int, weight double",
-    "snake_chunks": "snake_id long, chunk_id long, position int",
-    "snake_edges": "from_snake_id long, to_snake_id long, weight double",
+    "snake_chunks": "snake_id long, chunk_id long, position int, chapter_id long",
+    "snake_edges": "from_snake_id long, to_snake_id long, weight double, chapter_id long",
     "fragment_groups": "chapter_id long, group_id int, fragment_id int",
 }
 #: Columns that identify a row.

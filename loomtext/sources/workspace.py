@@ -53,10 +53,44 @@ class Workspace:
     def group_ids(self, chapter_id: int) -> DataFrame:
         return self.read("fragment_groups").where(F.col("chapter_id") == chapter_id).select("group_id").distinct().orderBy("group_id")
 
+    def group_fragments(self, chapter_id: int, group_id: int) -> DataFrame:
+        rows = self.read("fragment_groups").where((F.col("chapter_id") == chapter_id) & (F.col("group_id") == group_id))
+        return rows.select("fragment_id").orderBy("fragment_id")
+
     def snakes(self, chapter_id: int, group_id: int) -> DataFrame:
         return self.read("snakes").where((F.col("chapter_id") == chapter_id) & (F.col("group_id") == group_id)).orderBy("id")
 
 
+#: What an edge without a weight is stored with.
+EDGE_WEIGHT = 0.1
+
+
+def save_graph(work: Workspace, chunks: DataFrame, edges: DataFrame, covered: DataFrame | None = None) -> None:
+    """Store chunks, the sentences that they cover (chunk_id and the sentence's keys) and edges (from_id, to_id, strength, weight).
+
+    Defined cases: a chunk without a weight has 0, an edge without one EDGE_WEIGHT; a chunk that covers no sentence covers its
+    own; an edge is stored with the chapter of the chunk it leads from, and left out if that chunk is neither new nor stored;
+    what is stored already stays as it is; empty tables add nothing.
+    """
+    sid = ["chapter_id", "fragment_id", "sentence_index"]
+    new = chunks.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    own = new.select(F.col("id").alias("chunk_id"), *sid)
+    if covered is not None:
+        given = covered.select("chunk_id", *sid).join(own.select("chunk_id"), "chunk_id", "left_semi")
+        own = given.unionByName(own.join(given.select("chunk_id"), "chunk_id", "left_anti"))
+    of = new.select("id", "chapter_id").unionByName(work.read("chunks").select("id", "chapter_id"))
+    of = of.groupBy(F.col("id").alias("from_id")).agg(F.min("chapter_id").alias("chapter_id"))
+    placed = edges.select("from_id", "to_id", "strength", F.coalesce("weight", F.lit(EDGE_WEIGHT)).alias("weight")).join(of, "from_id")
+    work.append("chunk_sentences", own)
+    work.append("knowledge_edges", placed)
+    work.append("chunks", new)  # last, so that a save that broke off is found missing and done again
+
+
+def save_groups(work: Workspace, groups: DataFrame) -> None:
+    """Store groups (chapter_id, group_id, fragment_ids), a row for each fragment."""
+    work.append("fragment_groups", groups.select("chapter_id", "group_id", F.explode("fragment_ids").alias("fragment_id")))
+
+
 def save_chains(work: Workspace, members: DataFrame, chunks: DataFrame, edges: DataFrame) -> None:
     """Number the chains of members (chapter_id, group_id, local_snake_id, chunk_id, position) after the stored ones and store them."""
     from loomtext.operators.chains import chain_graph, chain_totals
@@ -74,8 +108,9 @@ def save_chains(work: Workspace, members: DataFrame, chunks: DataFrame, edges: D
     rows = members.join(ids, ["chapter_id", "group_id", "local_snake_id"])
     totals = chain_totals(rows, chunks).withColumnRenamed("snake_id", "id")
     work.append("snakes", totals.join(ids.withColumnRenamed("snake_id", "id"), "id"))
-    work.append("snake_chunks", rows.select("snake_id", "chunk_id", "position"))
-    work.append("snake_edges", chain_graph(rows, chunks, edges))
+    work.append("snake_chunks", rows.select("snake_id", "chunk_id", "position", "chapter_id"))
+    chapters = ids.select(F.col("snake_id").alias("from_snake_id"), "chapter_id")
+    work.append("snake_edges", chain_graph(rows, chunks, edges).join(chapters, "from_snake_id"))
 
 
 def read_fragment_json(spark: SparkSession, path: str, synopsis_field: str = "synopsis") -> DataFrame:

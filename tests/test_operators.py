@@ -18,7 +18,7 @@ from loomtext.operators import chains, clues, extraction, grouping, matching, me
 from loomtext.schemas import schema
 from loomtext.sources.epub import epub_bytes, read_epub_sentences, spine_documents
 from loomtext.sources.html import lenient_pieces, strict_pieces
-from loomtext.sources.workspace import Workspace, read_fragment_json, save_chains
+from loomtext.sources.workspace import Workspace, read_fragment_json, save_chains, save_graph, save_groups
 
 
 def test_packing(spark):
@@ -263,6 +263,26 @@ def test_workspace(spark, tmp_path):
     assert work.read("snake_edges").collect()[0][:2] == (1, 2)
 
 
+def test_saved_graph_has_defaults_and_keeps_what_is_stored(spark, tmp_path):
+    work = Workspace(spark, str(tmp_path / "w"))
+    c, e = _graph(spark)
+    none = c.withColumn("weight", F.lit(None).cast("double"))
+    bare = e.select("from_id", "to_id", "strength", F.lit(None).cast("double").alias("weight"))
+    odd = spark.createDataFrame([(99, 1, None, 1.0), (2, 98, "helpful", 2.0)], "from_id long, to_id long, strength string, weight double")
+    save_graph(work, none.where("false"), bare.where("false"))
+    assert work.read("knowledge_edges").isEmpty()
+    save_graph(work, none.where("id = 1"), bare.where("false"))
+    save_graph(work, none, bare.unionByName(odd), spark.createDataFrame([(2, 7, 0, 5), (2, 7, 0, 6), (50, 7, 0, 1)], "chunk_id long, chapter_id long, fragment_id int, sentence_index int"))
+    save_graph(work, c.withColumn("weight", F.lit(5.0)), odd.withColumn("weight", F.lit(9.0)))
+    assert {(r.id, r.weight) for r in work.read("chunks").collect()} == {(1, 0.0), (2, 0.0)} and work.read("chunks").count() == 2
+    edges = {(r.from_id, r.to_id): (r.weight, r.chapter_id) for r in work.read("knowledge_edges").collect()}
+    assert edges == {**{(r.from_id, r.to_id): (0.1, 7) for r in e.collect()}, (2, 98): (2.0, 7)}
+    own = c.where("id = 1").first().sentence_index
+    assert {(r.chunk_id, r.sentence_index) for r in work.read("chunk_sentences").collect()} >= {(1, own), (2, 5), (2, 6)}
+    save_groups(work, spark.createDataFrame([(7, 0, [2, 1]), (7, 1, [])], "chapter_id long, group_id int, fragment_ids array<int>"))
+    assert [r.fragment_id for r in work.group_fragments(7, 0).collect()] == [1, 2] and work.group_fragments(7, 1).isEmpty()
+
+
 def test_fragment_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"gist": "S", "sentences": [{"text": "x", "token_count": 1}]}')
     (tmp_path / "b.json").write_text('[{"text": "y", "token_count": 2}]')
