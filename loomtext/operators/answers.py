@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +62,10 @@ def parsed(answers: DataFrame, level: str = "retention", repair: bool = False) -
     list of quotations counts as a list of one; of misspelt fields the first that is not empty counts; an end of a link that is neither
     a text nor a whole number is null.
     """
-    found = F.when(object_text("answer") != "", object_text("answer")).otherwise(F.col("answer"))
-    rows = answers.select(*_KEYS, "answer", F.try_parse_json(found).alias("v"))
+    found = F.when(F.col("object") != "", F.col("object")).otherwise(F.col("answer"))
+    rows = answers.withColumn("object", object_text("answer")).select(*_KEYS, "answer", F.try_parse_json(found).alias("v"))
     if repair:
+        rows = cut(rows)
         mended = rows.where("v is null and answer is not null").select(*_KEYS, "answer", F.try_parse_json(repair_json("answer")).alias("v"))
         rows = rows.where("v is not null or answer is null").unionByName(mended)
     reason = F.when(F.col("answer").isNull(), "no answer").when(F.col("v").isNull(), "no JSON object")
@@ -71,7 +73,8 @@ def parsed(answers: DataFrame, level: str = "retention", repair: bool = False) -
         reason = reason.when(_get("v", key, "variant").isNull(), f"no {key}")
     for key in ("chunks", "links"):
         reason = reason.when(_get("v", key, "array<variant>").isNull(), f"{key} is no list")
-    rows = rows.withColumn("reason", reason)
+    # parsed once and written: a filter on the reason, pushed down, would make answers and parse them again for each key
+    rows = cut(rows.withColumn("reason", reason).select(*_KEYS, F.when(F.col("reason").isNull(), F.col("v")).alias("v"), "reason"))
     good = rows.where("reason is null")
     each = good.select(*_KEYS, F.posexplode(_get("v", "chunks", "array<variant>")).alias("pos", "c"))
     quotes = F.array().cast("array<string>")
@@ -138,11 +141,25 @@ def resolved(links: DataFrame, chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Graph:
-    chunks: DataFrame
-    edges: DataFrame
+    """Chunks and edges are computed when they are first asked for; synopses and failures need neither."""
+
+    build: Callable[[], DataFrame]
+    links: DataFrame
     synopses: DataFrame
     failed: DataFrame
 
+    @cached_property
+    def _made(self) -> DataFrame:
+        return self.build()
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self._made.drop("pos", "name")
+
+    @property
+    def edges(self) -> DataFrame:
+        return resolved(self.links, self._made)
+
 
 def graph_of(answers: DataFrame, sentences: DataFrame, second: DataFrame | None = None, ids_a_chapter: int = 1_000_000, repair: bool = False, match=matching.match_cascade) -> Graph:
     """Chunks, edges, synopses and failures of the answers to the first pass over all fragments and, if given, to the second.
@@ -159,11 +176,15 @@ def graph_of(answers: DataFrame, sentences: DataFrame, second: DataFrame | None
         chunks, links = chunks.unionByName(two.chunks.withColumn("pos", later)), links.unionByName(two.links.withColumn("pos", later))
         notes = two.notes.join(two.chunks.select(*_KEYS).distinct(), _KEYS, "left_semi")
         failed = failed.unionByName(two.failed.withColumn("level", F.lit("importance")))
-    made = cut(numbered(placed(chunks, sentences, match), ids_a_chapter))
-    if notes is not None:
+
+    def build() -> DataFrame:
+        made = cut(numbered(placed(cut(chunks), sentences, match), ids_a_chapter))
+        if notes is None:
+            return made
         last = notes.where("chunk_id is not null").groupBy(*_KEYS, F.col("chunk_id").alias("id")).agg(F.max_by("importance", "pos").alias("rated"))
-        made = made.join(last, [*_KEYS, "id"], "left").withColumn("importance", F.coalesce("rated", "importance")).drop("rated")
-    return Graph(made.drop("pos", "name"), resolved(links, made), one.synopses, failed)
+        return made.join(last, [*_KEYS, "id"], "left").withColumn("importance", F.coalesce("rated", "importance")).drop("rated")
+
+    return Graph(build, links, one.synopses, failed)
 
 
 def model_extractor(client: Client, prompt: str, options: Options = Options(), wait: float = RETRY_WAIT_S) -> Callable[[str, list[str], list[dict]], dict]:

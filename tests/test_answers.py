@@ -89,3 +89,15 @@ def test_chapter_loop_over_a_model_agrees_with_the_tables(spark):
     got = answers.graph_of(raw, sentences(spark), match=matching.exact_matches)
     assert {(r.id, r.fragment_id, r.generation, r.label, r.retention) for r in loop if r.kind == "chunk"} == {(r.id, r.fragment_id, r.generation, r.label, r.retention) for r in got.chunks.collect()}
     assert [(r.chapter_id, r.fragment_id) for r in loop if r.kind == "failed"] == [(r.chapter_id, r.fragment_id) for r in got.failed.collect()] == [(1, 1)]
+
+
+def test_answers_are_parsed_once_and_chunks_made_only_when_asked_for(spark):
+    def never(sources, sentences):
+        raise AssertionError("no chunk was asked for")
+
+    raw = spark.createDataFrame([(1, 0, told([{"temp_id": "a"}])), (1, 1, "no object")], KINDS)
+    got = answers.graph_of(raw, sentences(spark), match=never)
+    assert got.synopses.count() == 1 and got.failed.count() == 1
+    found = answers.parsed(raw)
+    for table in (found.chunks, found.links, found.notes, found.synopses, found.failed):
+        assert "parse_json" not in table._jdf.queryExecution().optimizedPlan().toString()
