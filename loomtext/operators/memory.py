@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,35 +52,65 @@ def recalled(chunks: list[tuple[int, int]], latest: list[int], edges: list[tuple
     return sorted(rated, key=lambda x: -x[1])[:capacity]
 
 
+def chapter_graphs(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """chapter_id, nodes (id, fragment_id, generation) by id, links (from_id, to_id) in the order the wave follows them: one row a chapter.
+
+    Links are in the order of ord, if edges have it, else of ids; a chapter's are those that lead from its chunks.
+    """
+    of = chunks.select("chapter_id", "id").toDF("chapter_id", "from_id")
+    order = ["ord", "from_id", "to_id"] if "ord" in edges.columns else ["from_id", "to_id"]
+    links = edges.join(of, "from_id").groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("links"))
+    nodes = chunks.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("id", "fragment_id", "generation"))).alias("nodes"))
+    pair = lambda x: F.struct(x["from_id"].alias("from_id"), x["to_id"].alias("to_id"))
+    return nodes.join(links, "chapter_id", "left").select("chapter_id", "nodes", F.transform("links", pair).alias("links"))
+
+
+#: Chunks of the chapters whose results are handed on together, about.
+_AT_ONCE = 50_000
+
+
+def _of_chapters(find, names: list[str]):
+    """find: (chapter, [(id, generation)], latest ids, [(from, to)]) -> rows; over batches of chapter_graphs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for chapter, nodes, links in zip(*(batch.column(c) for c in ("chapter_id", "nodes", "links")), strict=True):
+                nodes, links = nodes.as_py(), links.as_py() or []
+                last = max((n["fragment_id"] for n in nodes), default=None)
+                latest = [n["id"] for n in nodes if n["fragment_id"] == last]
+                rows += find(chapter.as_py(), [(n["id"], n["generation"]) for n in nodes], latest, [(x["from_id"], x["to_id"]) for x in links])
+                if len(rows) >= _AT_ONCE:
+                    yield _batch(rows, names)
+                    rows = []
+        yield _batch(rows, names)
+
+    return run
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"score": pa.float64(), "rank": pa.int32()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)], names=names)
+
+
 def recall(chunks: DataFrame, edges: DataFrame, capacity: int = CAPACITY, decay: float = DECAY) -> DataFrame:
     """chapter_id, id, score, rank: what each chapter recalls after its last fragment.
 
     chunks: chapter_id, id, fragment_id, generation; edges: from_id, to_id and, if they have it, ord, the order of insertion
-    in which the wave follows them (else by ids). A chapter is one group: its graph is bounded by the chapter's length.
+    in which the wave follows them (else by ids). A chapter is one row: its graph is bounded by the chapter's length.
     """
-    of = chunks.select("chapter_id", "id").toDF("chapter_id", "from_id")
-    order = ["ord"] if "ord" in edges.columns else ["from_id", "to_id"]
-    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id", *[c for c in order if c == "ord"])
 
-    def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = nodes.sort_values("id"), links.sort_values(order)
-        latest = nodes.loc[nodes["fragment_id"] == nodes["fragment_id"].max(), "id"].tolist() if len(nodes) else []
-        found = recalled(list(zip(nodes["id"], nodes["generation"], strict=True)), latest, list(zip(links["from_id"], links["to_id"], strict=True)), capacity, decay)
-        return pd.DataFrame([(key[0], i, s, r) for r, (i, s) in enumerate(found)], columns=["chapter_id", "id", "score", "rank"])
+    def find(chapter: int, nodes: list[tuple], latest: list[int], links: list[tuple]) -> list[tuple]:
+        return [(chapter, i, s, r) for r, (i, s) in enumerate(recalled(nodes, latest, links, capacity, decay))]
 
-    return chunks.groupBy("chapter_id").cogroup(by_chapter.groupBy("chapter_id")).applyInPandas(run, "chapter_id long, id long, score double, rank int")
+    return chapter_graphs(chunks, edges).mapInArrow(_of_chapters(find, ["chapter_id", "id", "score", "rank"]), "chapter_id long, id long, score double, rank int")
 
 
 def forward_scores(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """chapter_id, id, score of the forward wave from each chapter's last fragment."""
-    of = chunks.select("chapter_id", "id").toDF("chapter_id", "from_id")
-    order = ["ord"] if "ord" in edges.columns else ["from_id", "to_id"]
-    by_chapter = edges.join(of, "from_id").select("chapter_id", "from_id", "to_id", *[c for c in order if c == "ord"])
 
-    def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = nodes.sort_values("id"), links.sort_values(order)
-        latest = nodes.loc[nodes["fragment_id"] == nodes["fragment_id"].max(), "id"].tolist() if len(nodes) else []
-        scores = wave(latest, list(zip(links["from_id"], links["to_id"], strict=True)), reflect=False) if latest else {}
-        return pd.DataFrame([(key[0], i, s) for i, s in scores.items()], columns=["chapter_id", "id", "score"])
+    def find(chapter: int, nodes: list[tuple], latest: list[int], links: list[tuple]) -> list[tuple]:
+        return [(chapter, i, s) for i, s in (wave(latest, links, reflect=False) if latest else {}).items()]
 
-    return chunks.groupBy("chapter_id").cogroup(by_chapter.groupBy("chapter_id")).applyInPandas(run, "chapter_id long, id long, score double")
+    return chapter_graphs(chunks, edges).mapInArrow(_of_chapters(find, ["chapter_id", "id", "score"]), "chapter_id long, id long, score double")

@@ -320,3 +320,16 @@ def test_chains_are_numbered_across_chapters(spark, tmp_path):
     edges = spark.createDataFrame([(c * 10 + 3, c * 10, "helpful", 1.0) for c in chapters], "from_id long, to_id long, strength string, weight double")
     save_chains(work, members, work.read("chunks"), edges)
     assert [(r.id, r.chapter_id) for r in work.read("snakes").orderBy("id").collect()] == [(k + 1, chapters[k // 2]) for k in range(8)]
+
+
+def test_waves_of_many_chapters_run_in_batches(spark):
+    chunks = spark.createDataFrame([(c, c * 10 + k, k // 2, k // 2) for c in (1, 2, 3) for k in range(5)], "chapter_id long, id long, fragment_id int, generation int")
+    pairs = [(4, 3), (4, 0), (3, 1), (0, 2), (2, 4)]
+    edges = spark.createDataFrame([(c * 10 + a, c * 10 + b, n) for c in (1, 2) for n, (a, b) in enumerate(pairs)], "from_id long, to_id long, ord int")
+    found = memory.forward_scores(chunks, edges)
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no Python group a chapter
+    want = {(c, i, s) for c in (1, 2, 3) for i, s in memory.wave([c * 10 + 4], [(c * 10 + a, c * 10 + b) for a, b in pairs if c < 3], reflect=False).items()}
+    assert {tuple(r) for r in found.collect()} == want
+    top = [tuple(r) for r in memory.recall(chunks, edges, capacity=2).collect()]
+    nodes = [(k, k // 2) for k in range(5)]
+    assert sorted(top) == sorted((c, c * 10 + i, s, r) for c in (1, 2) for r, (i, s) in enumerate(memory.recalled(nodes, [4], pairs, 2)))
