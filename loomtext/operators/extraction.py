@@ -6,10 +6,13 @@ payload with chunks and links; the default is deterministic. Payloads have the f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomtext.operators.memory import CAPACITY, recalled
 
@@ -129,6 +132,17 @@ def framed(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({c: "Int64" for c in ("id", "other_id", "generation", "fragment_id", "sentence_index", "ord")})
 
 
+#: Rows that are handed on together, about.
+_AT_ONCE = 10_000
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in OUT.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for (_, kind), c in zip(fields, columns, strict=True)], names=[name for name, _ in fields])
+
+
 def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_chapter: int = 1_000_000, second_pass: SecondPass | None = None) -> DataFrame:
     """Rows of kind chunk, edge, synopsis and failed of every chapter. sentences: chapter_id, fragment_id, sentence_index, text.
 
@@ -137,12 +151,18 @@ def extract(sentences: DataFrame, extractor: Extractor = stub_extractor, ids_a_c
     goes on.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chapter = int(key[0])
-        memory, out = ChapterMemory(chapter * ids_a_chapter), []
-        for fragment, part in rows.sort_values(["fragment_id", "sentence_index"]).groupby("fragment_id", sort=True):
-            listed = list(zip(part["sentence_index"].tolist(), part["text"].tolist(), strict=True))
-            out += fragment_rows(memory, chapter, int(fragment), listed, extractor, second_pass)
-        return framed(out)
-
-    return sentences.groupBy("chapter_id").applyInPandas(run, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for key, listed in zip(batch.column("chapter_id"), batch.column("sentences"), strict=True):
+                chapter = int(key.as_py())
+                memory = ChapterMemory(chapter * ids_a_chapter)
+                for fragment, part in groupby(listed.as_py(), key=lambda s: s["fragment_id"]):
+                    out += fragment_rows(memory, chapter, int(fragment), [(s["sentence_index"], s["text"]) for s in part], extractor, second_pass)
+                if len(out) >= _AT_ONCE:
+                    yield _batch(out)
+                    out = []
+        yield _batch(out)
+
+    listed = F.array_sort(F.collect_list(F.struct("fragment_id", "sentence_index", "text"))).alias("sentences")
+    return sentences.where("fragment_id is not null").groupBy("chapter_id").agg(listed).mapInArrow(run, OUT)

@@ -333,3 +333,12 @@ def test_waves_of_many_chapters_run_in_batches(spark):
     top = [tuple(r) for r in memory.recall(chunks, edges, capacity=2).collect()]
     nodes = [(k, k // 2) for k in range(5)]
     assert sorted(top) == sorted((c, c * 10 + i, s, r) for c in (1, 2) for r, (i, s) in enumerate(memory.recalled(nodes, [4], pairs, 2)))
+
+
+def test_chapters_are_extracted_in_batches(spark):
+    rows = [(c, f, 10 * f + k, f"Sentence {k} of fragment {f} in {c}.") for c in (2, 1) for f in (1, 0) for k in (2, 0, 1)]
+    found = extraction.extract(spark.createDataFrame(rows, "chapter_id long, fragment_id int, sentence_index int, text string"))
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no Python group a chapter
+    got = found.collect()
+    assert sorted((r.id, r.generation, r.fragment_id, r.sentence_index) for r in got if r.kind == "chunk") == [(c * 1_000_000 + f, f, f, 10 * f) for c in (1, 2) for f in (0, 1)]
+    assert sorted((r.id, r.other_id, r.ord) for r in got if r.kind == "edge") == []
