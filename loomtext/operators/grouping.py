@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 GROUP_TOKENS = 9600
 
@@ -29,12 +32,18 @@ def cut_places(tokens: list[int], start: list[int], end: list[int], budget: int)
 
 
 def fragment_groups(levels: DataFrame, totals: DataFrame, budget: int = GROUP_TOKENS) -> DataFrame:
-    """chapter_id, group_id, fragment_id. levels: start_level, end_level of fragments; totals: token_count. A chapter is a group of rows."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("fragment_id")
-        groups = cut_places(rows["token_count"].tolist(), rows["start_level"].tolist(), rows["end_level"].tolist(), budget)
-        return pd.DataFrame({"chapter_id": key[0], "group_id": groups, "fragment_id": rows["fragment_id"]})
+    """chapter_id, group_id, fragment_id. levels: start_level, end_level of fragments; totals: token_count. A chapter is a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chapter, fragment, group = [], [], []
+            for key, listed in zip(batch.column("chapter_id"), batch.column("fragments"), strict=True):
+                f = listed.as_py()
+                chapter += [key.as_py()] * len(f)
+                fragment += [x["fragment_id"] for x in f]
+                group += cut_places(*([x[k] for x in f] for k in ("token_count", "start_level", "end_level")), budget)
+            yield pa.RecordBatch.from_arrays([pa.array(chapter, pa.int64()), pa.array(group, pa.int32()), pa.array(fragment, pa.int32())], names=["chapter_id", "group_id", "fragment_id"])
 
     rows = levels.join(totals, ["chapter_id", "fragment_id"])
-    return rows.groupBy("chapter_id").applyInPandas(run, "chapter_id long, group_id int, fragment_id int")
+    listed = F.array_sort(F.collect_list(F.struct("fragment_id", "token_count", "start_level", "end_level"))).alias("fragments")
+    return rows.groupBy("chapter_id").agg(listed).mapInArrow(run, "chapter_id long, group_id int, fragment_id int")

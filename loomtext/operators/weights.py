@@ -117,14 +117,14 @@ def incision_levels(incisions: DataFrame, share: float = 0.98, digits: int = 9,
     scope: what a chapter's incisions are measured against: "corpus" all of them, "chapter" its own, "prefix" those of the chapters
     up to and including it, in order of chapter_id, as when chapters are saved one after another.
     """
-    rounded = incisions.withColumn("start_incision", F.round("start_incision", digits)).withColumn("end_incision", F.round("end_incision", digits))
+    # every fact reads the incisions again, so they are written once
+    rounded = cut(incisions.withColumn("start_incision", F.round("start_incision", digits)).withColumn("end_incision", F.round("end_incision", digits)))
     values = rounded.select("chapter_id", F.explode(F.array("start_incision", "end_incision")).alias("v")).where("v > 0")
     if scope == "corpus":
         with_facts = rounded.join(F.broadcast(_corpus_facts(values.select("v"), share)), F.lit(True), "left")
     elif scope == "chapter":
         with_facts = rounded.join(_chapter_facts(values, share), "chapter_id", "left")
     elif scope == "prefix":
-        rounded = cut(rounded)
         values = rounded.select("chapter_id", F.explode(F.array("start_incision", "end_incision")).alias("v"))
         with_facts = rounded.join(_prefix_facts(values, rounded, share), "chapter_id", "left")
     else:

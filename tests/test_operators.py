@@ -342,3 +342,14 @@ def test_chapters_are_extracted_in_batches(spark):
     got = found.collect()
     assert sorted((r.id, r.generation, r.fragment_id, r.sentence_index) for r in got if r.kind == "chunk") == [(c * 1_000_000 + f, f, f, 10 * f) for c in (1, 2) for f in (0, 1)]
     assert sorted((r.id, r.other_id, r.ord) for r in got if r.kind == "edge") == []
+
+
+def test_groups_of_many_chapters_are_cut_in_batches(spark):
+    tokens, start, end = [30, 50, 40, 60, 20], [0, 3, 1, 2, 5], [4, 1, 1, 0, 2]
+    rows = [(c, f, start[f], end[f]) for c in (1, 2) for f in (3, 1, 4, 0, 2)]
+    levels = spark.createDataFrame(rows, "chapter_id long, fragment_id int, start_level int, end_level int")
+    totals = spark.createDataFrame([(c, f, tokens[f]) for c in (1, 2) for f in range(5)], "chapter_id long, fragment_id int, token_count long")
+    found = grouping.fragment_groups(levels, totals, budget=100)
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no Python group a chapter
+    want = grouping.cut_places(tokens, start, end, 100)
+    assert sorted(tuple(r) for r in found.collect()) == [(c, want[f], f) for c in (1, 2) for f in range(5)]
