@@ -1,7 +1,8 @@
 """Ink diffusion over tables: a layer at a time by joins, for components of any size.
 
 `chains.fingerprints` holds a component as a dense matrix in one task. Here a fingerprint is rows, and a layer is a join of
-the front with the edges, so what a task holds does not grow with a component.
+the front with the edges, so what a task holds does not grow with a component. A join moves every row of a fingerprint, so
+inner_layers and inner_distances leave groups of at most DENSE chunks to the dense form, which moves only chunks and edges.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.cluster import cut
-from loomtext.operators.chains import INK_KEPT
+from loomtext.cluster import cut, kept
+from loomtext.operators.chains import INK_KEPT, group_distances, group_ink_layers
 from loomtext.operators.relations import group_edges
 from loomtext.operators.weights import with_edge_weights, with_node_weights
 
+#: Chunks of a group whose components are held as dense matrices.
+DENSE = 1024
+
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """id, other, weight: both directions of every edge, parallel edges added up, loops left out."""
@@ -82,3 +86,30 @@ def distances(prints: DataFrame, edges: DataFrame) -> DataFrame:
     b = pairs.join(prints, pairs.to_id == prints.source_id).select("from_id", "to_id", "id", (-F.col("ink")).alias("ink"))
     differences = a.unionAll(b).groupBy("from_id", "to_id", "id").agg(F.sum("ink").alias("d"))
     return differences.groupBy("from_id", "to_id").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("distance"))
+
+
+def by_size(chunks: DataFrame, groups: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame | None]:
+    """groups with at most so many chunks, and the larger ones (None if there are none)."""
+    keys = ["chapter_id", "group_id"]
+    large = kept(chunks.join(groups, ["chapter_id", "fragment_id"]).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*keys))
+    if large.isEmpty():
+        return groups, None
+    return groups.join(large, keys, "left_anti"), groups.join(large, keys, "left_semi")
+
+
+def inner_layers(chunks: DataFrame, edges: DataFrame, groups: DataFrame, dense: int = DENSE) -> DataFrame:
+    """source_id, id, layer, ink of every chunk in a group, by the edges inside groups."""
+    small, large = by_size(chunks, groups, dense)
+    found = group_ink_layers(chunks, edges, small)
+    if large is None:
+        return found
+    return found.unionByName(ink_layers(inner_weights(chunks, edges, large), chunks.join(large, ["chapter_id", "fragment_id"])))
+
+
+def inner_distances(chunks: DataFrame, edges: DataFrame, groups: DataFrame, dense: int = DENSE) -> DataFrame:
+    """from_id, to_id, distance of the fingerprints at the ends of every edge inside a group."""
+    small, large = by_size(chunks, groups, dense)
+    found = group_distances(chunks, edges, small)
+    if large is None:
+        return found
+    return found.unionByName(distances(fingerprints(chunks, edges, large), group_edges(chunks, edges, large)))

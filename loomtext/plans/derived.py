@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.cluster import kept
 from loomtext.functions.sentences import sentences
 from loomtext.operators.weights import with_edge_weights, with_node_weights
 
@@ -43,6 +44,11 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_node_weights(rows)
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_rows without their texts, written once for queries that read them several times."""
+    return kept(chunk_rows(spark, sf_dir).drop("content"))
+
+
 def chunk_sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk covers its sentence and the next one of the fragment."""
     s = sentence_rows(spark, sf_dir).select("chapter_id", "fragment_id", "sentence_index")
@@ -51,8 +57,8 @@ def chunk_sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("chunk_id", "chapter_id", "fragment_id", "sentence_index").unionByName(after)
 
 
-def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunk_rows(spark, sf_dir).select("id", "chapter_id", "sentence_index", "tokens", (F.col("sentence_index") / 3).cast("int").alias("ord"))
+def edge_rows(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
+    c = (chunk_rows(spark, sf_dir) if chunks is None else chunks).select("id", "chapter_id", "sentence_index", "tokens", (F.col("sentence_index") / 3).cast("int").alias("ord"))
     to = F.explode(F.array(F.col("ord") - 1, F.col("ord") - 2 - F.col("tokens") % 3)).alias("to_ord")
     linked = c.select("id", "chapter_id", "tokens", to).where("to_ord >= 0")
     return linked.select(F.col("id").alias("from_id"), (F.col("chapter_id") * IDS + F.col("to_ord") * 3).alias("to_id"), _level("tokens", 4, ["critical", "important", "helpful"]).alias("strength"))
@@ -62,14 +68,14 @@ def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edge_weights(chunk_rows(spark, sf_dir), edge_rows(spark, sf_dir))
 
 
-def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_rows(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
     """Two fragments a group."""
-    return chunk_rows(spark, sf_dir).select("chapter_id", (F.col("fragment_id") / 2).cast("int").alias("group_id"), "fragment_id").distinct()
+    return (chunk_rows(spark, sf_dir) if chunks is None else chunks).select("chapter_id", (F.col("fragment_id") / 2).cast("int").alias("group_id"), "fragment_id").distinct()
 
 
-def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def member_rows(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
     """Chains by rule: the chunks of a group with one remainder of their place by 3."""
-    c = chunk_rows(spark, sf_dir).select("id", "chapter_id", "fragment_id", "sentence_index")
+    c = (chunk_rows(spark, sf_dir) if chunks is None else chunks).select("id", "chapter_id", "fragment_id", "sentence_index")
     group, local = (F.col("fragment_id") / 2).cast("int"), F.expr("(sentence_index div 3) % 3")
     rows = c.select("chapter_id", group.alias("group_id"), local.cast("int").alias("local_snake_id"), F.col("id").alias("chunk_id"))
     from pyspark.sql import Window

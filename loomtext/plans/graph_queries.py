@@ -148,13 +148,18 @@ def incision_level_chapter(spark, sf_dir):
     return _levels(spark, sf_dir, "chapter")
 
 
+def _graph(spark, sf_dir):
+    """Chunks without their texts, edges and groups, all from one written table."""
+    c = d.chunk_table(spark, sf_dir)
+    return c, d.edge_rows(spark, sf_dir, c), d.group_rows(spark, sf_dir, c)
+
+
 @query(""", und AS (SELECT from_id AS a, to_id AS b FROM e JOIN c x ON x.id = from_id JOIN c y ON y.id = to_id WHERE x.fragment_id // 2 = y.fragment_id // 2
   UNION ALL SELECT to_id, from_id FROM e JOIN c x ON x.id = from_id JOIN c y ON y.id = to_id WHERE x.fragment_id // 2 = y.fragment_id // 2),
 reach AS (SELECT id, id AS r FROM c UNION SELECT reach.id, und.b FROM reach JOIN und ON reach.r = und.a)
 SELECT id, min(r) AS component FROM reach GROUP BY 1""")
 def components(spark, sf_dir):
-    c = d.chunk_rows(spark, sf_dir)
-    return chains.components(c, relations.group_edges(c, d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir)))
+    return chains.group_components(*_graph(spark, sf_dir))
 
 
 @query("""SELECT source_id, id, round(sum(ink), 9) AS ink FROM (
@@ -186,14 +191,13 @@ print AS MATERIALIZED (SELECT source_id, id, ink / sum(ink) OVER (PARTITION BY s
 
 @query(_INK + "SELECT source_id, id, round(ink, 9) AS ink FROM print")
 def ink_fingerprint(spark, sf_dir):
-    found = chains.fingerprints(d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir))
+    found = chains.fingerprints(*_graph(spark, sf_dir))
     return found.select("source_id", "id", F.round("ink", 9).alias("ink"))
 
 
 @query(_INK + "SELECT source_id, id, layer, round(ink, 9) AS ink FROM flow WHERE layer = step")
 def ink_layers(spark, sf_dir):
-    c = d.chunk_rows(spark, sf_dir)
-    found = diffusion.ink_layers(diffusion.inner_weights(c, d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir)), c)
+    found = diffusion.inner_layers(*_graph(spark, sf_dir))
     return found.select("source_id", "id", "layer", F.round("ink", 9).alias("ink"))
 
 
@@ -202,14 +206,13 @@ def ink_layers(spark, sf_dir):
     SELECT p.from_id, p.to_id, print.id, ink FROM (SELECT DISTINCT from_id, to_id FROM ge) p JOIN print ON source_id = from_id
     UNION ALL SELECT p.from_id, p.to_id, print.id, -ink FROM (SELECT DISTINCT from_id, to_id FROM ge) p JOIN print ON source_id = to_id) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def ink_distance(spark, sf_dir):
-    c, e, g = d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir)
-    found = diffusion.distances(diffusion.fingerprints(c, e, g), relations.group_edges(c, e, g))
+    found = diffusion.inner_distances(*_graph(spark, sf_dir))
     return found.select("from_id", "to_id", r6("distance").alias("distance"))
 
 
 @query()
 def snakes(spark, sf_dir):
-    return chains.chains(d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir), d.group_rows(spark, sf_dir), limit=150)
+    return chains.chains(*_graph(spark, sf_dir), limit=150)
 
 
 @query("SELECT chapter_id, group_id, local_snake_id, chunk_id, position::INT AS position FROM m")
