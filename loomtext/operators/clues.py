@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,21 +118,36 @@ def merged(clues: list[dict], max_clues: int = MAX_CLUES, label: str = MERGED_LA
 def merge_clues(members: DataFrame, keys: list[str], max_clues: int = MAX_CLUES, overlap_key: str = "fragment", label: str = MERGED_LABEL) -> DataFrame:
     """Clues of each key. members: keys, snake_id, label, weight (of the chain), chunk_id, chapter_id, fragment_id, sentence_index.
 
-    overlap_key: 'fragment' compares fragments, 'chapter' chapters. A key's chains are those of one group and are merged in one
-    task, which holds their rows and the pairs of its tail that share a fragment.
+    overlap_key: 'fragment' compares fragments, 'chapter' chapters. A key's chains are those of one group and are one row, many of
+    them a batch; a task holds a row and the pairs of its tail that share a fragment.
     """
     kinds = dict(members.dtypes)
+    names = ["clue_id", "label", "weight", "chunk_ids", "is_merged", "source_snake_ids", "rank"]
+    types = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()), pa.int32()]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def of_key(rows: list[dict]) -> list[tuple]:
         clues = []
-        for snake, r in rows.groupby("snake_id", sort=True):
-            sids = list(zip(r["chapter_id"], r["fragment_id"], r["sentence_index"], strict=True))
+        for snake, found in groupby(rows, key=lambda r: r["snake_id"]):
+            r = list(found)
+            sids = [(x["chapter_id"], x["fragment_id"], x["sentence_index"]) for x in r]
             clues.append({
-                "clue_id": int(snake), "label": r["label"].iloc[0], "weight": float(r["weight"].iloc[0]), "sources": [int(snake)],
-                "chunks": sorted(zip(sids, r["chunk_id"].tolist(), strict=True)), "fragments": {s[:2] if overlap_key == "fragment" else s[0] for s in sids},
+                "clue_id": snake, "label": r[0]["label"], "weight": float(r[0]["weight"]), "sources": [snake],
+                "chunks": list(zip(sids, (x["chunk_id"] for x in r), strict=True)), "fragments": {s[:2] if overlap_key == "fragment" else s[0] for s in sids},
             })
-        out = [(*key, c["clue_id"], c["label"], c["weight"], [i for _, i in c["chunks"]], len(c["sources"]) > 1, c["sources"], k) for k, c in enumerate(merged(clues, max_clues, label))]
-        return pd.DataFrame(out, columns=[*keys, "clue_id", "label", "weight", "chunk_ids", "is_merged", "source_snake_ids", "rank"])
+        return [(c["clue_id"], c["label"], c["weight"], [i for _, i in c["chunks"]], len(c["sources"]) > 1, c["sources"], k) for k, c in enumerate(merged(clues, max_clues, label))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, rows in enumerate(batch.column("members")):
+                found = of_key(rows.as_py())
+                out += found
+                at += [k] * len(found)
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            of = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*keys, *names])
 
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return members.groupBy(*keys).applyInPandas(run, f"{head}, clue_id long, label string, weight double, chunk_ids array<long>, is_merged boolean, source_snake_ids array<long>, rank int")
+    member = F.struct("snake_id", "chapter_id", "fragment_id", "sentence_index", "chunk_id", "label", "weight")
+    listed = members.where("snake_id is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    return listed.mapInArrow(run, f"{head}, clue_id long, label string, weight double, chunk_ids array<long>, is_merged boolean, source_snake_ids array<long>, rank int")

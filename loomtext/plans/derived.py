@@ -49,10 +49,11 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(chunk_rows(spark, sf_dir).drop("content"))
 
 
-def chunk_sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_sentence_rows(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
     """A chunk covers its sentence and the next one of the fragment."""
     s = sentence_rows(spark, sf_dir).select("chapter_id", "fragment_id", "sentence_index")
     own = s.where("sentence_index % 3 = 0").withColumn("chunk_id", F.col("chapter_id") * IDS + F.col("sentence_index"))
+    own = own if chunks is None else chunks.select("chapter_id", "fragment_id", "sentence_index", F.col("id").alias("chunk_id"))
     after = s.where("sentence_index % 3 = 1").join(own.select("chapter_id", "fragment_id", (F.col("sentence_index") + 1).alias("sentence_index"), "chunk_id"), ["chapter_id", "fragment_id", "sentence_index"])
     return own.select("chunk_id", "chapter_id", "fragment_id", "sentence_index").unionByName(after)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from loomtext.cluster import cut, shared_dir
+from loomtext.cluster import kept, shared_dir
 from loomtext.functions.sentences import fragment_totals, joined_text
 from loomtext.operators import chains, clues, diffusion, markup, memory, relations, review, weights
 from loomtext.plans import derived as d
@@ -119,8 +119,7 @@ top AS (SELECT v AS threshold FROM vals WHERE r = least(floor(n * 0.98)::BIGINT,
 facts AS (SELECT min(v) AS low, max(v) AS high FROM vals, top WHERE v < threshold)
 SELECT chapter_id, fragment_id, {_LEVEL.format(v="a")} AS start_level, {_LEVEL.format(v="b")} AS end_level FROM rounded LEFT JOIN top ON true LEFT JOIN facts ON true""")
 def incision_level(spark, sf_dir):
-    found = weights.fragment_incisions(d.chunk_rows(spark, sf_dir), d.weighted_edges(spark, sf_dir))
-    return weights.incision_levels(found).select("chapter_id", "fragment_id", "start_level", "end_level")
+    return _levels(spark, sf_dir, "corpus")
 
 
 #: Levels whose facts belong to a chapter; scope tells which chapters o count for chapter q.
@@ -134,7 +133,8 @@ SELECT rounded.chapter_id, fragment_id, {a} AS start_level, {b} AS end_level FRO
 
 
 def _levels(spark, sf_dir, scope: str):
-    found = weights.fragment_incisions(d.chunk_rows(spark, sf_dir), d.weighted_edges(spark, sf_dir))
+    c = d.chunk_table(spark, sf_dir)
+    found = weights.fragment_incisions(c, kept(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir, c))))
     return weights.incision_levels(found, scope=scope).select("chapter_id", "fragment_id", "start_level", "end_level")
 
 
@@ -244,9 +244,9 @@ def wave_topk(spark, sf_dir):
     return memory.recall(d.chunk_rows(spark, sf_dir), d.edge_rows(spark, sf_dir))
 
 
-def _clues(spark, sf_dir):
-    m = d.member_rows(spark, sf_dir)
-    totals = chains.chain_totals(m, d.chunk_rows(spark, sf_dir))
+def _clues(spark, sf_dir, chunks=None):
+    m = d.member_rows(spark, sf_dir, chunks)
+    totals = chains.chain_totals(m, d.chunk_rows(spark, sf_dir) if chunks is None else chunks)
     return m.select("chapter_id", "group_id", "snake_id").distinct().join(totals, "snake_id").select("chapter_id", "group_id", F.col("snake_id").alias("clue_id"), "weight", F.concat("first_label", F.lit(" → "), "last_label").alias("label"))
 
 
@@ -288,9 +288,9 @@ def fragment_to_json(spark, sf_dir):
 
 @query()
 def clue_merge(spark, sf_dir):
-    c = d.chunk_rows(spark, sf_dir)
-    members = d.member_rows(spark, sf_dir).select("snake_id", "chunk_id")
-    rows = members.join(c.select(F.col("id").alias("chunk_id"), "chapter_id", "fragment_id", "sentence_index"), "chunk_id").join(_clues(spark, sf_dir).select(F.col("clue_id").alias("snake_id"), "label", "weight"), "snake_id")
+    c = d.chunk_table(spark, sf_dir)
+    members = d.member_rows(spark, sf_dir, c).select("snake_id", "chunk_id")
+    rows = members.join(c.select(F.col("id").alias("chunk_id"), "chapter_id", "fragment_id", "sentence_index"), "chunk_id").join(_clues(spark, sf_dir, c).select(F.col("clue_id").alias("snake_id"), "label", "weight"), "snake_id")
     return clues.merge_clues(rows.withColumn("group_id", (F.col("fragment_id") / 8).cast("int")), ["chapter_id", "group_id"], max_clues=6)
 
 
@@ -500,10 +500,10 @@ def _new_workspace(spark):
 
 def _saved_graph(spark, sf_dir):
     """Saved in two calls that overlap: some chunks and edges have no weight, odd chunks cover nothing."""
-    work, c = _new_workspace(spark), cut(d.chunk_rows(spark, sf_dir))
-    e = cut(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir)).withColumn("weight", F.when(F.col("from_id") % 5 != 0, F.col("weight"))))
+    work, c = _new_workspace(spark), kept(d.chunk_rows(spark, sf_dir))
+    covered = kept(d.chunk_sentence_rows(spark, sf_dir, c).where("chunk_id % 2 = 0"))
+    e = kept(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir, c)).withColumn("weight", F.when(F.col("from_id") % 5 != 0, F.col("weight"))))
     c = c.withColumn("weight", F.when(F.col("tokens") % 7 != 0, F.col("weight")))
-    covered = d.chunk_sentence_rows(spark, sf_dir).where("chunk_id % 2 = 0")
     early = c.where("fragment_id < 3")
     workspace.save_graph(work, early, e.join(early.select(F.col("id").alias("from_id")), "from_id", "left_semi"), covered)
     workspace.save_graph(work, c, e, covered)
@@ -545,9 +545,9 @@ SELECT 'in', ny.id, nx.id, round(crossing.weight, 6), t.size, t.first_label, t.l
 FROM crossing JOIN n nx ON nx.snake_id = x JOIN n ny ON ny.snake_id = y JOIN totals t ON t.snake_id = x""")
 def saved_chain_edges(spark, sf_dir):
     """Chains stored under numbers of their own, then each one's edges with the chain at the other end."""
-    work, c = _new_workspace(spark), cut(d.chunk_rows(spark, sf_dir))
-    e = cut(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir)))
-    members = cut(d.member_rows(spark, sf_dir).drop("snake_id"))
+    work, c = _new_workspace(spark), d.chunk_table(spark, sf_dir)
+    e = kept(weights.with_edge_weights(c, d.edge_rows(spark, sf_dir, c)))
+    members = kept(d.member_rows(spark, sf_dir, c).drop("snake_id"))
     workspace.save_chains(work, members, c, e)
     stored, edges = work.read("snakes"), work.read("snake_edges")
     out = relations.chain_edges(stored, edges).withColumn("side", F.lit("out"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.cluster import kept
 from loomtext.operators.relations import first_wins
 from loomtext.schemas import KEYS, TABLES, schema
 
@@ -81,8 +82,9 @@ def save_graph(work: Workspace, chunks: DataFrame, edges: DataFrame, covered: Da
     of = new.select("id", "chapter_id").unionByName(work.read("chunks").select("id", "chapter_id"))
     of = of.groupBy(F.col("id").alias("from_id")).agg(F.min("chapter_id").alias("chapter_id"))
     placed = edges.select("from_id", "to_id", "strength", F.coalesce("weight", F.lit(EDGE_WEIGHT)).alias("weight")).join(of, "from_id")
-    work.append("chunk_sentences", own)
-    work.append("knowledge_edges", placed)
+    # an append reads its rows several times: for their chapters, for the ranges of its files, and to write them
+    work.append("chunk_sentences", kept(own))
+    work.append("knowledge_edges", kept(placed))
     work.append("chunks", new)  # last, so that a save that broke off is found missing and done again
 
 
@@ -104,13 +106,13 @@ def save_chains(work: Workspace, members: DataFrame, chunks: DataFrame, edges: D
     within = F.sum("n").over(Window.partitionBy("stretch").orderBy("chapter_id")) - F.col("n")
     ahead = per_chapter.withColumn("stretch", stretch).withColumn("within", within).join(before, "stretch").select("chapter_id", (F.col("before") + F.col("within")).alias("ahead"))
     number = F.row_number().over(Window.partitionBy("chapter_id").orderBy("group_id", "local_snake_id"))
-    ids = local.withColumn("r", number).join(ahead, "chapter_id").select("chapter_id", "group_id", "local_snake_id", (F.lit(after) + F.col("ahead") + F.col("r")).alias("snake_id"))
-    rows = members.join(ids, ["chapter_id", "group_id", "local_snake_id"])
+    ids = kept(local.withColumn("r", number).join(ahead, "chapter_id").select("chapter_id", "group_id", "local_snake_id", (F.lit(after) + F.col("ahead") + F.col("r")).alias("snake_id")))
+    rows = kept(members.join(ids, ["chapter_id", "group_id", "local_snake_id"]))
     totals = chain_totals(rows, chunks).withColumnRenamed("snake_id", "id")
-    work.append("snakes", totals.join(ids.withColumnRenamed("snake_id", "id"), "id"))
+    work.append("snakes", kept(totals.join(ids.withColumnRenamed("snake_id", "id"), "id")))
     work.append("snake_chunks", rows.select("snake_id", "chunk_id", "position", "chapter_id"))
     chapters = ids.select(F.col("snake_id").alias("from_snake_id"), "chapter_id")
-    work.append("snake_edges", chain_graph(rows, chunks, edges).join(chapters, "from_snake_id"))
+    work.append("snake_edges", kept(chain_graph(rows, chunks, edges).join(chapters, "from_snake_id")))
 
 
 def read_fragment_json(spark: SparkSession, path: str, synopsis_field: str = "synopsis") -> DataFrame:

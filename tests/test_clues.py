@@ -52,3 +52,22 @@ def test_a_group_of_5000_chains():
     assert len(got) == 10 and sorted(s for c in got for s in c["sources"]) == list(range(5000))
     assert abs(sum(c["weight"] for c in got) - 1) < 1e-9
     assert time.monotonic() - start < 120
+
+
+def test_clues_of_many_groups_run_in_batches(spark):
+    """Groups are rows of arrays, not a pandas frame each; a chain's rows may come in any order."""
+    chains_ = [(g, g * 100 + k, f"label {k}", 1.0 + k % 3, k) for g in (1, 2, 3) for k in range(5)]
+    rows = [(g, s, label, w, s * 10 + j, g, (k + j) % 4, j) for g, s, label, w, k in chains_ for j in (1, 0, 2)]
+    table = spark.createDataFrame(rows[::-1], "group_id int, snake_id long, label string, weight double, chunk_id long, chapter_id long, fragment_id int, sentence_index int")
+    found = clues.merge_clues(table, ["group_id"], max_clues=3)
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for g in (1, 2, 3):
+        given = [
+            {"clue_id": s, "label": label, "weight": w, "sources": [s], "chunks": sorted(((g, (k + j) % 4, j), s * 10 + j) for j in range(3)), "fragments": {(g, (k + j) % 4) for j in range(3)}}
+            for h, s, label, w, k in chains_ if h == g
+        ]
+        want |= {(g, c["clue_id"], c["label"], round(c["weight"], 9), tuple(i for _, i in c["chunks"]), tuple(c["sources"]), n) for n, c in enumerate(clues.merged(given, 3))}
+    got = {(r.group_id, r.clue_id, r.label, round(r.weight, 9), tuple(r.chunk_ids), tuple(r.source_snake_ids), r["rank"]) for r in found.collect()}
+    assert got == want and len(got) == 9
+    assert clues.merge_clues(table.limit(0), ["group_id"]).count() == 0

@@ -353,3 +353,23 @@ def test_groups_of_many_chapters_are_cut_in_batches(spark):
     assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no Python group a chapter
     want = grouping.cut_places(tokens, start, end, 100)
     assert sorted(tuple(r) for r in found.collect()) == [(c, want[f], f) for c in (1, 2) for f in range(5)]
+
+
+def test_saving_appends_written_rows(spark, tmp_path, monkeypatch):
+    """An append reads its rows several times, so what it is given is a table and not the joins that made it."""
+    plans, append = {}, Workspace.append
+
+    def recorded(self, table, rows):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        append(self, table, rows)
+
+    monkeypatch.setattr(Workspace, "append", recorded)
+    chunks = spark.createDataFrame([(k, 1, 0, k, "l", "t", "verbatim", None, 5, 1.0, 0) for k in range(4)], "id long, chapter_id long, fragment_id int, sentence_index int, label string, content string, retention string, importance string, tokens int, weight double, generation int")
+    edges = spark.createDataFrame([(k, k - 1, "critical", 1.0) for k in range(1, 4)], "from_id long, to_id long, strength string, weight double")
+    work = Workspace(spark, str(tmp_path / "work"))
+    save_graph(work, chunks, edges, spark.createDataFrame([(0, 1, 0, 0), (0, 1, 0, 1)], "chunk_id long, chapter_id long, fragment_id int, sentence_index int"))
+    members = spark.createDataFrame([(1, 0, k % 2, k, k // 2) for k in range(4)], "chapter_id long, group_id int, local_snake_id int, chunk_id long, position int")
+    save_chains(work, members, chunks, edges)
+    assert {"chunk_sentences", "knowledge_edges", "snakes", "snake_edges"} <= plans.keys()
+    assert not [t for t in ("chunk_sentences", "knowledge_edges", "snakes", "snake_edges") if "Join" in plans[t]]
+    assert work.read("chunk_sentences").count() == 5 and work.read("knowledge_edges").count() == 3 and work.read("snakes").count() == 2 and work.read("snake_edges").count() == 1
