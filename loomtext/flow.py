@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.cluster import kept
 from loomtext.functions.sentences import FRAGMENT_TOKENS, fragment_totals, joined_text, sentences
 from loomtext.operators import chains, clues, compression, extraction, grouping, markup, reviewing, weights
 from loomtext.operators.requests import Client, stub_client
@@ -164,9 +165,11 @@ class Flow:
         members = merged.select(self._group_key(), "clue_id", "weight", "label", F.posexplode("chunk_ids").alias("place", "id")).join(chunks.select("id", "content"), "id")
         content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "\n")
         listed = members.groupBy("group_key", "clue_id", "weight", "label").agg(content.alias("content"))
-        reviewers = reviewing.with_reviewers(listed, s.reviewer_prompt, s.client)
+        # every round reads the groups' texts and their reviewers
+        reviewers = kept(reviewing.with_reviewers(listed, s.reviewer_prompt, s.client))
+        own = kept(own.join(marked.select("group_key"), "group_key", "left_semi"))
         compressor = compression.Compressor(marked, s.compress_prompt, s.client, ratio=s.ratio)
-        return compression.compress(own.join(marked.select("group_key"), "group_key", "left_semi"), compressor, reviewing.Reviews(reviewers, s.client), s.max_iterations)
+        return compression.compress(own, compressor, reviewing.Reviews(reviewers, s.client), s.max_iterations)
 
     @staticmethod
     def _joined(chapters: DataFrame, best: DataFrame) -> DataFrame:

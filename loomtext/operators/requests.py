@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.cluster import cut
+from loomtext.cluster import cut, kept
 from loomtext.functions.json_text import cache_key
 
 Client = Callable[[list[dict], dict], str]
@@ -62,9 +62,9 @@ def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def answers(requests: DataFrame, cache: DataFrame, client: Client = stub_client, options: Options = Options(), wait: float = RETRY_WAIT_S) -> tuple[DataFrame, DataFrame]:
     """requests with their answer, and the new rows of the cache. requests: messages array<struct<role,content>>.
 
-    The new answers are kept in the shared folder when this is called, so that no later action asks again.
+    The requests and the new answers are kept in the shared folder when this is called, so that no later action makes a request or asks again.
     """
-    keyed = with_keys(requests, options)
+    keyed = kept(with_keys(requests, options))
     given = vars(options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

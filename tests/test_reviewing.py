@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import compression, relations, reviewing
+from loomtext.operators import compression, relations, requests, reviewing
 
 
 def test_rendered(spark):
@@ -51,3 +51,13 @@ def test_links_are_appended_once(spark):
     chunks = spark.createDataFrame([(1, [9]), (2, None), (3, [])], "id long, links array<long>")
     edges = spark.createDataFrame([(3, 1), (2, 1), (3, 1), (9, 1), (3, 2), (4, 7)], "from_id long, to_id long")
     assert {r.id: r.links for r in relations.with_links(chunks, edges).collect()} == {1: [9, 2, 3], 2: [3], 3: []}
+
+
+def test_a_request_is_made_once(spark):
+    """A request that would come out otherwise when it is made again still gets its answer."""
+    import uuid
+
+    other = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
+    rows = spark.range(6).select("id", F.array(F.struct(F.lit("user").alias("role"), other().alias("content"))).alias("messages"))
+    got, new = requests.answers(rows, spark.createDataFrame([], "key string, answer string"))
+    assert new.count() == 6 and sorted((r.id, r.answer is not None) for r in got.collect()) == [(i, True) for i in range(6)]
