@@ -2,9 +2,9 @@
 
 In a bucket every class is first compared with the bucket's smallest id only, and of the buckets of a class only with
 two: the smallest and the most frequent of these ids. Where many are still apart, as in a group of copies each of which is
-like a few others only, a quarter of the bands at a time joins each class to what seems most like it in another component, which
+like a few others only, a quarter of the bands at a time joins each class to a few of those like it in other components, which
 leaves few components. What is then still in different components of a bucket is compared in blocks, so no pair of classes that shares a
-key goes unseen.
+key goes unseen. Blocks are compared inside tasks, and only what passes leaves them.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import table_of
 from .components import components
 
-#: The bands take so many turns; one is left out where no more than so many pairs a row are apart in its bands.
-TURNS, PAIRS_A_ROW = 4, 4
+#: The bands take so many turns; they end where no more than so many pairs a row are apart, or after a turn with links for less than one row in FEW.
+TURNS, PAIRS_A_ROW, FEW = 4, 4, 100
 
 
 def met_hubs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def met_hubs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def open_rows(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """key, band, id, component of the buckets that hold more than one component, as a written table."""
-    marked = shared.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    marked = shared.select("key", "band", "id").join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     marked = table_of(marked, "marked")
     mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return table_of(marked.join(table_of(mixed, "mixed"), "key"), "open")
@@ -44,23 +44,34 @@ def pairs_apart(open_: DataFrame) -> tuple[int, float]:
     return int(found["rows"] or 0), float(found["pairs"] or 0)
 
 
+def stars(parts: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components parts: a row for each id but the smallest, however many links there were."""
+    return parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def joined_by_best(shared: DataFrame, links: DataFrame, done: DataFrame, payloads: DataFrame, block: int, best, compare) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """links, components and compared pairs (a, b; larger id first) after the bands' turns.
+    """components, rows still open and compared pairs (a, b; larger id first) after the bands' turns.
 
-    best gives, of blocks to compare, pairs (a, b) of each member and what seems most like it in other components; compare gives the links
-    among pairs, as a written table.
+    best gives, of blocks to compare, at most a few pairs (a, b) for each member and what is like it in other components; compare gives the
+    links among pairs, as a written table.
     """
     parts = components(links)
+    open_ = open_rows(shared, parts)
     for turn in range(TURNS):
-        open_ = open_rows(shared.where(F.pmod("band", F.lit(TURNS)) == turn), parts)
         rows, pairs = pairs_apart(open_)
         if pairs <= PAIRS_A_ROW * rows:
-            continue
-        found = best(blocks_of(open_, payloads, block)).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            break
+        of_turn = open_.where(F.pmod("band", F.lit(TURNS)) == turn)
+        found = best(blocks_of(of_turn, payloads, block)).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         met = table_of(found.join(done, ["a", "b"], "left_anti"), "best-pairs")
-        links, done = links.unionByName(compare(met)), done.unionByName(met)
-        parts = components(links)
-    return links, parts, done
+        more, done = compare(met), done.unionByName(met)
+        new = more.count()
+        if new:
+            parts = components(stars(parts).union(more))
+            open_ = open_rows(open_, parts)
+        if new * FEW < rows:
+            break
+    return parts, open_, done
 
 
 def blocks_apart(shared: DataFrame, parts: DataFrame, payloads: DataFrame, block: int) -> DataFrame:

@@ -5,7 +5,8 @@ own over the set, compressed to its count of leading zeros and MANTISSA_BITS bit
 keys; documents that share a key are candidates, the Jaccard similarity estimated from the registers (corrected
 for registers that agree by chance) drops the hopeless ones, and the rest is confirmed on the full shingle sets.
 
-Groups of any size: equal sets are one class from the start, and buckets are compared as buckets.py says.
+Groups of any size: equal sets are one class from the start, and buckets are compared as buckets.py says. In blocks, sketches
+of the sets (Sketch) bound the similarity from above, so that little more than links is left to confirm.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import blocks_apart, joined_by_best, met_hubs
+from .buckets import blocks_of, joined_by_best, met_hubs, stars
 from .common import by_bytes, read_table, table_of, with_ids, with_small_batches
 from .components import components
 
@@ -28,6 +29,12 @@ BANDS, BAND_WIDTH = 32, 6
 MARGIN = 0.07
 #: Classes in a block of the residual comparison, about.
 BLOCK = 64
+#: Sets of at most NARROW shingles are sketched whole, 16 bits a shingle; larger ones by 32 bits, and those of more than WIDE by a sample of WIDE / 2 to WIDE.
+NARROW, WIDE = 2048, 4096
+#: What the similarity of two samples may fall short of the threshold: over 4 standard deviations at 2048 shingles.
+SAMPLE_MARGIN = 0.035
+#: Pages of 2^15 bits of the bitmap of ids that is broadcast (2 MB).
+PAGES = 512
 #: Shingles of the sets that meet one copy of a hub's set, about.
 PART = 4_000_000
 
@@ -147,39 +154,106 @@ def _estimated(least: float):
     return run
 
 
-def _blocks_compared(least: float, best: bool = False):
-    """Pairs of unlike components whose estimate is high enough; best: for each member of a left block the one of the highest estimate alone."""
+class Sketch:
+    """A set of shingles in short: the high bits of their hashes (of a sample, if it is large), and how many fell together.
 
-    def unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (np.array([m["id"] for m in members]), np.array([m["component"] for m in members]), np.frombuffer(b"".join(m["payload"] for m in members), np.uint8).reshape(-1, REGISTERS))
+    Of whole sets the shingles in common are at most the bits in common and those that fell together in one set, so the similarity is never
+    taken for lower than it is.
+    """
+
+    def __init__(self, data: bytes):
+        self.n, self.shift, self.kept = np.frombuffer(data, np.int32, 3).tolist()
+        self.bits = np.frombuffer(data, np.uint16 if self.shift < 0 else np.uint32, offset=12)
+
+    @staticmethod
+    def of(shingles: np.ndarray) -> bytes:
+        n, high = len(shingles), (shingles >> np.uint64(32)).astype(np.uint32)
+        if n <= NARROW:
+            shift, kept, bits = -1, n, np.unique((high >> np.uint32(16)).astype(np.uint16))
+        else:
+            shift = max(0, ((n - 1) // WIDE).bit_length())
+            high = high[high.astype(np.int64) < 1 << 32 - shift]
+            kept, bits = len(high), np.unique(high)
+        return np.array([n, shift, kept], np.int32).tobytes() + bits.tobytes()
+
+    @property
+    def lost(self) -> int:
+        return self.kept - len(self.bits)
+
+    def at(self, shift: int) -> tuple[np.ndarray, int]:
+        """Bits at a coarser level, and how many shingles fell together there at most."""
+        if shift == self.shift:
+            return self.bits, self.lost
+        if shift < 0:
+            bits = np.unique((self.bits >> np.uint32(16)).astype(np.uint16))
+            return bits, self.kept - len(bits)
+        return self.bits[self.bits.astype(np.int64) < 1 << 32 - shift], self.lost
+
+    def most_alike(self, other: Sketch, percent: int) -> tuple[float, bool]:
+        """The similarity at most, and whether it may reach the threshold."""
+        if 100 * min(self.n, other.n) < percent * max(self.n, other.n):
+            return 0.0, False
+        shift = max(self.shift, other.shift) if min(self.shift, other.shift) >= 0 else -1
+        (x, x_lost), (y, y_lost) = self.at(shift), other.at(shift)
+        both = len(np.intersect1d(x, y, assume_unique=True)) + min(x_lost, y_lost)
+        if shift <= 0:
+            union = self.n + other.n - both
+            return both / union, 100 * both >= percent * union
+        like = both / max(1, len(x) + len(y) + max(x_lost, y_lost) - both)
+        return like, like >= percent / 100 - SAMPLE_MARGIN
+
+
+class _Block:
+    def __init__(self, members: pa.StructArray):
+        self.ids, self.components = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
+        self.sketches = [Sketch(x) for x in members.field("payload").to_pylist()]
+        self.n, self.lost = (np.array([getattr(x, c) for x in self.sketches]) for c in ("n", "lost"))
+        narrow = np.array([x.shift < 0 for x in self.sketches])
+        self.narrow, self.wide = np.flatnonzero(narrow), np.flatnonzero(~narrow)
+        bits = [self.sketches[k].bits for k in self.narrow]
+        self.bits = np.concatenate(bits) if bits else np.zeros(0, np.uint16)
+        self.starts = np.cumsum([0, *map(len, bits)])[:-1]
+
+
+def _blocks_compared(percent: int, best: bool = False):
+    """Pairs of unlike components that may be links by their sketches; best: for each member of a left block the likest and the smallest id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << 16, np.uint8)
         for batch in batches:
-            a, b = [], []
+            a, b, likes = [], [], []
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                band = one.column("band")[0].as_py()
-                (i, ci, ri), (j, cj, rj) = unpack(one.column("left")[0].as_py()), unpack(one.column("right")[0].as_py())
-                for k in range(len(i)):
-                    guess = np.where(cj != ci[k], estimate(rj, ri[k]), -1.0)
-                    if best:
-                        near = int(guess.argmax())
-                        if guess[near] >= least:
-                            a.append(int(i[k]))
-                            b.append(int(j[near]))
+                left, right = (_Block(batch.column(c).slice(at, 1).flatten()) for c in ("left", "right"))
+                for k, one in enumerate(left.sketches):
+                    apart = right.components != left.components[k]
+                    if not apart.any():
                         continue
-                    near = np.flatnonzero(guess >= least)
-                    same = (rj[near, : BANDS * BAND_WIDTH] == ri[k, : BANDS * BAND_WIDTH]).reshape(-1, BANDS, BAND_WIDTH).all(axis=2)
-                    near = near[same.argmax(axis=1) == band] if len(near) else near  # a pair counts in the first band it shares
-                    b += j[near].tolist()
-                    a += [int(i[k])] * len(near)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    like, passed = np.zeros(len(apart)), np.zeros(len(apart), bool)
+                    slow = range(len(apart))
+                    if one.shift < 0:
+                        if len(right.narrow):
+                            held[one.bits] = 1
+                            both = np.add.reduceat(held[right.bits], right.starts, dtype=np.int64) + np.minimum(one.lost, right.lost[right.narrow])
+                            held[one.bits] = 0
+                            union = one.n + right.n[right.narrow] - both
+                            like[right.narrow], passed[right.narrow] = both / union, 100 * both >= percent * union
+                        slow = right.wide.tolist()
+                    for j in slow:
+                        if apart[j]:
+                            like[j], passed[j] = one.most_alike(right.sketches[j], percent)
+                    near = np.flatnonzero(passed & apart)
+                    if best and len(near) > 1:
+                        near = np.unique([near[like[near].argmax()], near[right.ids[near].argmin()]])
+                    a += [int(left.ids[k])] * len(near)
+                    b += right.ids[near].tolist()
+                    likes += like[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likes, pa.float64())], names=["a", "b", "like"])
 
     return run
 
 
 def _sets(words: int):
-    """The digest's halves and the set of each text, as sorted hashes."""
+    """The digest's halves, the set of each text, as sorted hashes, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler(words)
@@ -187,7 +261,7 @@ def _sets(words: int):
             sets = [shingles_of(t) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             halves = [pa.array([int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests], pa.int64()) for k in (0, 8)]
-            yield pa.RecordBatch.from_arrays([*halves, pa.array([x.tobytes() for x in sets], pa.binary())], names=["digest_a", "digest_b", "shingles"])
+            yield pa.RecordBatch.from_arrays([*halves, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([Sketch.of(x) for x in sets], pa.binary())], names=["digest_a", "digest_b", "shingles", "sketch"])
 
     return run
 
@@ -228,19 +302,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = with_ids(classes, "classes")
     bands = table_of(classes.select("id", "registers").mapInArrow(_band_rows, "key long, band int, id long"), "bands")
     shared, to_hub = met_hubs(bands)
-    regs = classes.select("id", "registers")
-    texts = docs.where("doc_id is not null")
+    # what shares no key is in no pair: from here on only the others' registers, sets and sketches move
+    near = table_of(classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "lowest", "n", "digest_a", "digest_b", "registers"), "near")
+    regs = near.select("id", "registers")
+    found = docs_of(docs.where("doc_id is not null"), near).mapInArrow(_sets(words), "digest_a long, digest_b long, shingles binary, sketch binary")
+    found = found.groupBy("digest_a", "digest_b").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    stored = table_of(found.join(near.select("id", "digest_a", "digest_b"), ["digest_a", "digest_b"]).select("id", "shingles", "sketch"), "sets")
+    sets, payloads = stored.select("id", "shingles"), stored.select("id", F.col("sketch").alias("payload"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that hold on the full sets, as a written table. The set of b meets those of all its pairs, in parts of PART shingles."""
         pairs = table_of(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "lowest", "n", "digest_a", "digest_b"), "id")
-        nodes = table_of(nodes, "nodes")
-        sets = docs_of(texts, nodes).mapInArrow(_sets(words), "digest_a long, digest_b long, shingles binary").join(nodes.select("id", "digest_a", "digest_b"), ["digest_a", "digest_b"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
-        sets = table_of(sets, "sets")
-        load = pairs.join(nodes.select(F.col("id").alias("a"), "n"), "a").groupBy("b").agg(F.expr(f"cast((sum(n) + {PART - 1}) div {PART} as int)").alias("parts"))
+        load = pairs.join(near.select(F.col("id").alias("a"), "n"), "a").groupBy("b").agg(F.expr(f"cast((sum(n) + {PART - 1}) div {PART} as int)").alias("parts"))
         load = table_of(load, "loads")
-        left = pairs.join(load, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).drop("parts").join(sets.toDF("a", "set_a"), "a")
+        placed = table_of(pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part")), "placed")
+        left = placed.join(sets.toDF("a", "set_a"), "a")
         right = load.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part")).join(sets.toDF("b", "set_b"), "b")
         met = left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "set_a", "set_b")
         return table_of(met.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
@@ -250,16 +326,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         likely = pairs.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
         return linked(likely.mapInArrow(_estimated(least), "a long, b long"))
 
-    payloads = regs.withColumnRenamed("registers", "payload")
-    best = lambda blocks: blocks.mapInArrow(_blocks_compared(least, best=True), "a long, b long")
-    links, parts, done = joined_by_best(shared, compared(to_hub), likely_pairs(to_hub), payloads, BLOCK, best, compared)
+    def best(blocks: DataFrame) -> DataFrame:
+        """Two pairs a member at most; the smallest id is one that many choose, so components grow fast."""
+        like = blocks.mapInArrow(_blocks_compared(percent, best=True), "a long, b long, like double")
+        two = like.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max_by("b", F.struct("like", -F.col("b"))))).alias("both"))
+        return two.select("a", F.explode("both").alias("b"))
+
+    parts, open_, done = joined_by_best(shared, compared(to_hub), likely_pairs(to_hub), payloads, BLOCK, best, linked)
 
     # what shares a key and is not in one component yet
-    met = blocks_apart(shared, parts, payloads, BLOCK)
-    rest = met.mapInArrow(_blocks_compared(least), "a long, b long")
+    rest = blocks_of(open_, payloads, BLOCK).mapInArrow(_blocks_compared(percent), "a long, b long, like double")
     rest = rest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     more = linked(rest)
-    parts = components(links.union(more)) if not more.isEmpty() else parts
+    parts = components(stars(parts).union(more)) if not more.isEmpty() else parts
 
     named = parts.join(classes.select("id", "lowest"), "id").groupBy("component").agg(F.min("lowest").alias("part"))
     class_part = classes.join(parts.join(named, "component").select("id", "part"), "id", "left").select("digest_a", "digest_b", F.coalesce("part", "lowest").alias("part"))
@@ -270,8 +349,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def docs_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text of each node and of what else has its lowest id."""
-    return texts.join(nodes.select(F.col("lowest").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    """The texts of all rows that have a node's lowest id, and of a few others.
+
+    The ids are looked up in a bitmap of PAGES pages of 4 KB, so that texts are not shuffled to find out.
+    """
+    bits = 1 << 15
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(PAGES * bits))
+    pages = nodes.select(slot("lowest").alias("slot")).groupBy(F.expr(f"slot div {bits}").alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % bits).alias("bits"))
+    placed = texts.select("text", slot("doc_id").alias("slot")).withColumn("page", F.expr(f"slot div {bits}"))
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(slot % {bits} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed.join(F.broadcast(pages), "page").where(F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1).select("text")
 
 
 def likely_pairs(to_hub: DataFrame) -> DataFrame:
