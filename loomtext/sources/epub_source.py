@@ -1,7 +1,7 @@
 """Books as a Spark data source: spark.read.format("epub") and df.write.format("epub").
 
-A reading task takes some documents of one book, so large books are read by several tasks; a writing task holds one chapter
-at a time. Folders and files may be on any file system that pyarrow knows.
+A reading task takes some documents of one large book or many small books, so tasks grow with bytes, not with books; a writing task
+holds one chapter at a time. Folders and files may be on any file system that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from loomtext.sources.epub import BookWriter, document_names
 READ_SCHEMA = "path string, chapter_id long, title string, html string"
 WRITE_COLUMNS = ("book", "chapter_id", "title", "text")
 BYTES_PER_TASK = 8 << 20
+#: Small books are put together to about so many tasks, of 1 / LEAST of the bytes of a task at least and a task's bytes at most.
+TASKS, LEAST = 256, 32
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -33,11 +35,9 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Documents(InputPartition):
-    """The documents of a book whose place lies in the share part of parts."""
+    """Shares (path, part, parts): the documents of a book whose place lies in the share part of parts."""
 
-    path: str
-    part: int
-    parts: int
+    shares: list[tuple[str, int, int]]
 
 
 class EpubReader(DataSourceReader):
@@ -45,26 +45,36 @@ class EpubReader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("bytesPerTask", BYTES_PER_TASK))
 
     def partitions(self) -> list[InputPartition]:
-        """Files are listed, not opened: a book of so many bytes is so many partitions."""
+        """Files are listed, not opened: a book of so many bytes is so many partitions, and small books share one."""
         store, at = file_system(self.path)
         found = store.get_file_info(at)
         if found.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [found] if found.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".epub") and not any(p.startswith(("_", ".")) for p in f.path[len(at) :].split("/"))]
-        shares = ((f.path, max(1, -(-f.size // self.size))) for f in sorted(files, key=lambda f: f.path))
-        return [Documents(path, k, n) for path, n in shares for k in range(n)]
+        full = min(self.size, max(self.size // LEAST, sum(f.size for f in files) // TASKS))
+        out, held = [], full
+        for f in sorted(files, key=lambda f: f.path):
+            n = max(1, -(-f.size // self.size))
+            for k in range(n):
+                if held + f.size // n > full:
+                    out.append(Documents([]))
+                    held = 0
+                out[-1].shares.append((f.path, k, n))
+                held += f.size // n
+        return out
 
     def read(self, partition: Documents) -> Iterator[tuple]:
         store, _ = file_system(self.path)
-        with store.open_input_file(partition.path) as file:
-            try:
-                with zipfile.ZipFile(file) as z:
-                    names = document_names(z)
-                    first, last = (len(names) * k // partition.parts for k in (partition.part, partition.part + 1))
-                    for k in range(first, last):
-                        yield partition.path, k, names[k][0], z.read(names[k][1]).decode("utf-8", "replace")
-            except (zipfile.BadZipFile, KeyError, AttributeError, SyntaxError) as e:
-                raise ValueError(f"{partition.path} is no EPUB: {e}") from e
+        for path, part, parts in partition.shares:
+            with store.open_input_file(path) as file:
+                try:
+                    with zipfile.ZipFile(file) as z:
+                        names = document_names(z)
+                        first, last = (len(names) * k // parts for k in (part, part + 1))
+                        for k in range(first, last):
+                            yield path, k, names[k][0], z.read(names[k][1]).decode("utf-8", "replace")
+                except (zipfile.BadZipFile, KeyError, AttributeError, SyntaxError) as e:
+                    raise ValueError(f"{path} is no EPUB: {e}") from e
 
 
 @dataclass

@@ -60,3 +60,12 @@ def test_refusals_leave_nothing(spark, tmp_path):
         read_books(spark, str(tmp_path / "bad.epub")).collect()
     with pytest.raises(Exception, match="nowhere"):
         read_books(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_small_books_share_tasks(spark, tmp_path):
+    at = str(tmp_path / "many")
+    write_books(spark.createDataFrame([(f"B{b}", c, f"t{c}", f"text {b} {c}") for b in range(300) for c in range(2)], COLUMNS), at)
+    found = read_books(spark, at)
+    assert found.rdd.getNumPartitions() < 30  # not one for each book
+    assert sorted((r.path.rsplit("/", 1)[1], r.chapter_id) for r in found.collect()) == sorted((f"B{b}.epub", c) for b in range(300) for c in range(2))
+    assert read_books(spark, at, bytesPerTask="1000").where("chapter_id = 1").count() == 300
