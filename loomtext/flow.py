@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.cluster import kept
-from loomtext.functions.sentences import FRAGMENT_TOKENS, fragment_totals, joined_text, sentences
+from loomtext.cluster import kept, scratch
+from loomtext.functions.sentences import FRAGMENT_TOKENS, fragment_totals, sentences
 from loomtext.operators import chains, clues, compression, extraction, grouping, markup, reviewing, weights
 from loomtext.operators.requests import Client, stub_client
 
@@ -65,7 +65,8 @@ class Flow:
     def stage(self, batch: int, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         at = f"{self.path}/batch={batch}/{name}"
         if not self.done(batch, name):
-            build().write.mode("overwrite").parquet(at)
+            with scratch(self.spark):
+                build().write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.parquet(at)
 
     def table(self, name: str) -> DataFrame | None:
@@ -161,12 +162,13 @@ class Flow:
 
     def _compressed(self, merged: DataFrame, chunks: DataFrame, marked: DataFrame, sents: DataFrame, groups: DataFrame) -> DataFrame:
         s = self.settings
-        own = joined_text(sents.join(groups, ["chapter_id", "fragment_id"]).withColumn("group_key", self._group_key()), ["group_key"], " ")
+        fragments = sents.groupBy("chapter_id", "fragment_id").agg(F.sum(F.length("text") + 1).alias("n")).join(groups, ["chapter_id", "fragment_id"])
+        own = fragments.groupBy(self._group_key()).agg((F.sum("n") - 1).alias("n_chars"))  # the sentences a blank apart
         members = merged.select(self._group_key(), "clue_id", "weight", "label", F.posexplode("chunk_ids").alias("place", "id")).join(chunks.select("id", "content"), "id")
         content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "\n")
         listed = members.groupBy("group_key", "clue_id", "weight", "label").agg(content.alias("content"))
-        # every round reads the groups' texts and their reviewers
-        reviewers = kept(reviewing.with_reviewers(listed, s.reviewer_prompt, s.client))
+        # every round reads the groups' lengths and their reviewers
+        reviewers = kept(reviewing.reviewer_texts(kept(listed), s.reviewer_prompt, s.client))
         own = kept(own.join(marked.select("group_key"), "group_key", "left_semi"))
         compressor = compression.Compressor(marked, s.compress_prompt, s.client, ratio=s.ratio)
         return compression.compress(own, compressor, reviewing.Reviews(reviewers, s.client), s.max_iterations)

@@ -65,12 +65,28 @@ def answers(requests: DataFrame, cache: DataFrame, client: Client = stub_client,
     The requests and the new answers are kept in the shared folder when this is called, so that no later action makes a request or asks again.
     """
     keyed = kept(with_keys(requests, options))
-    given = vars(options)
+    new = cut(_asked(misses(keyed, cache), ["key"], client, options, wait).where("answer is not null"))
+    return keyed.join(cache.select("key", "answer").unionByName(new), "key", "left"), new
+
+
+def _asked(requests: DataFrame, ids: list[str], client: Client, options: Options, wait: float) -> DataFrame:
+    given, kinds = vars(options), dict(requests.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            got = [ask(client, json.loads(m), given, wait=wait) for m in rows["m"]]
-            yield pd.DataFrame({"key": rows["key"], "answer": got})
+            yield rows[ids].assign(answer=[ask(client, json.loads(m), given, wait=wait) for m in rows["m"]])
 
-    new = cut(misses(keyed, cache).select("key", F.to_json("messages").alias("m")).mapInPandas(run, "key string, answer string").where("answer is not null"))
-    return keyed.join(cache.select("key", "answer").unionByName(new), "key", "left"), new
+    return requests.select(*ids, F.to_json("messages").alias("m")).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ids) + ", answer string")
+
+
+def answers_by_id(requests: Callable[[DataFrame | None], DataFrame], ids: list[str], client: Client = stub_client, options: Options = Options(), wait: float = RETRY_WAIT_S) -> DataFrame:
+    """ids and answer (null without one) of every request; a request that several ids make is made once.
+
+    requests(but) gives ids, which name a row, and messages, without the rows of but (ids; None: all rows). It is called twice and has to make the
+    same messages again, so it reads written tables. Keys and answers are stored, messages are not.
+    """
+    keyed = kept(with_keys(requests(None), options).select(*ids, F.unhex("key").alias("key")))
+    of = F.struct(*ids)
+    placed = kept(keyed.join(keyed.groupBy("key").agg(F.min(of).alias("first")), "key").select(*ids, "first"))
+    new = kept(_asked(requests(placed.where(of != F.col("first")).select(*ids)), ids, client, options, wait))
+    return placed.join(new.select(of.alias("first"), "answer"), "first", "left").select(*ids, "answer")

@@ -96,9 +96,9 @@ def fenced_json(col: str) -> Column:
     return _strip(F.when(inner != "", inner).otherwise(F.col(col)))
 
 
-def target_lengths(col: str, ratio: float = 0.2) -> list[Column]:
-    """Target length of a compression, and the bounds that are accepted."""
-    target = F.floor(F.length(col) * ratio)
+def target_lengths(of: str | Column, ratio: float = 0.2) -> list[Column]:
+    """Target length of a compression, and the bounds that are accepted. of: the name of a text, or its length."""
+    target = F.floor((F.length(of) if isinstance(of, str) else of) * ratio)
     return [target.alias("target"), F.floor(target * 0.85).alias("at_least"), F.floor(target * 1.15).alias("at_most")]
 
 
