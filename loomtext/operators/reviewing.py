@@ -123,9 +123,3 @@ def _in_rounds(tables: list[DataFrame], now: DataFrame, *columns: str) -> DataFr
     for more in rows[1:]:
         whole = whole.unionByName(more)
     return whole.join(now.select("group_key"), "group_key", "left_semi").groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("round", *columns))).alias("rounds"))
-
-
-def with_feedback(messages: str, version: str, feedback: str) -> Column:
-    """A compressor's messages for its next attempt: those so far, its version, and the feedback on it; unchanged without feedback."""
-    more = F.concat(F.col(messages), F.array(message("assistant", version), message("user", feedback)))
-    return F.when(F.length(F.col(feedback)) > 0, more).otherwise(F.col(messages))
